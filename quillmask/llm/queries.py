@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, store, warc, wavelet
+from . import bpe, cascade, compaction, graphann, mixing, neardup, quotes, resample, store, warc, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -37,6 +37,52 @@ def op8_wavelet_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return wavelet.with_starts(read).select("doc_id", "start", "n_tokens", "ids_crc32")
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op1_byte_bpe, op4_warc_revisits, op8_wavelet_shards)}
+#: Rows of a block of the mix; weights go with the square root of a source's rows.
+MIX_BLOCK_ROWS, MIX_EXPONENT = 32, 0.5
 
-SQL: dict[str, str] = {}
+
+def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source")
+    return mixing.mixed(docs, MIX_BLOCK_ROWS, exponent=MIX_EXPONENT).select("doc_id", "source", "mix_block", "mix_slot", "mix_position")
+
+
+def op3_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The table's turns, which quote nothing, are first made replies that quote what they answer."""
+    messages = quotes.replies(table(spark, sf_dir, "conversations"))
+    out = quotes.linked(messages)
+    return out.select("conv_id", "turn", "parent_turn", "root_turn", "reply_depth", F.sha2("own_text", 256).alias("own_sha256"))
+
+
+def op5_rule_cascade(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return cascade.judged(docs).select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
+
+
+def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    sharded = compaction.ingested(table(spark, sf_dir, "documents"), store.fresh_dir(spark, "sharded"))
+    return sharded.read().select("doc_id", "lang", "source", "n_chars", F.sha2("text", 256).alias("text_sha256"))
+
+
+def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    weights, condition, _ = resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return weights.select("doc_id", "log_weight", condition.alias("kept"))
+
+
+def op9_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = neardup.clustered(table(spark, sf_dir, "documents"))
+    return found.select(F.col("doc").alias("doc_id"), "n_shingles", "component_id", F.coalesce(F.col("doc") == F.col("component_id"), F.lit(True)).alias("kept"))
+
+
+def op10_pruned_graph_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = table(spark, sf_dir, "embeddings")
+    return graphann.nearest(vectors, vectors.filter(F.col("vec_id") % 20 == 0), k=20)
+
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    f.__name__: f
+    for f in (op1_byte_bpe, op2_pfair_mix, op3_quote_linking, op4_warc_revisits, op5_rule_cascade, op6_tiered_shards, op7_importance_resampling, op8_wavelet_shards, op9_bottom_k_near_duplicates, op10_pruned_graph_search)
+}
+
+SQL: dict[str, str] = {
+    "op6_tiered_shards": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
+}
