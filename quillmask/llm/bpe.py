@@ -119,7 +119,7 @@ def encoded(text: Column, model: bytes, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(model, pattern)
         for batch in batches:
-            yield pa.array(list(codec.chunked.encode_all(batch.to_pylist())), pa.binary())
+            yield pa.array(codec.chunked.encode_all(x.as_py() for x in batch), pa.binary())
 
     return encode(text)
 
@@ -133,7 +133,7 @@ def decoded(ids: Column, model: bytes, pattern: str) -> Column:
 
         table = _codec(model, pattern).table()
         for batch in batches:
-            yield pa.array([b"".join(map(table.__getitem__, np.frombuffer(x or b"", "<u4").tolist())) for x in batch.to_pylist()], pa.binary())
+            yield pa.array((b"".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch), pa.binary())
 
     return decode(ids)
 

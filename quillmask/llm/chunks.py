@@ -9,12 +9,12 @@ from __future__ import annotations
 
 import sys
 from array import array
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 #: Pieces of more characters are encoded each time that they occur.
 LONGEST = 48
-#: Pieces, and pre-tokens, remembered by a worker: about 80 MB. It bounds memory, not results.
-REMEMBERED = 300_000
+#: Pieces, and pre-tokens, remembered by a worker: about 60 MB. It bounds memory, not results.
+REMEMBERED = 160_000
 
 
 def packed(ids: list[int]) -> bytes:
@@ -29,13 +29,14 @@ class Chunked:
     """`split` gives a text's pre-tokens, `encode_many` the ids of each of a list of pre-tokens."""
 
     def __init__(self, split: Callable[[str], list[str]], encode_many: Callable[[list[str]], list[list[int]]], remembered: int = REMEMBERED):
-        self.split, self.encode_many, self.room, self.known, self.tokens = split, encode_many, remembered, Known(), Known()
+        self.split, self.encode_many = split, encode_many
+        self.known, self.tokens = Known(remembered), Known(remembered)
 
     def encode(self, text: str) -> bytes:
         """The text's ids, packed."""
         return next(self.encode_all([text]))
 
-    def encode_all(self, texts: list[str | None], at_once: int = 1_000_000) -> Iterator[bytes]:
+    def encode_all(self, texts: Iterable[str | None], at_once: int = 500_000) -> Iterator[bytes]:
         """Packed ids of each text; texts of `at_once` characters together share a call for the pieces not met before."""
         group, chars = [], 0
         for text in texts:
@@ -47,18 +48,19 @@ class Chunked:
         yield from self._group(group)
 
     def _group(self, texts: list[str]) -> Iterator[bytes]:
-        self.known.met = []
-        look = self.known.__getitem__
+        known = self.known
+        known.met = []
+        look = known.__getitem__
         cut = [x.split(" ") for x in texts]
         found = [list(map(look, x[1:])) for x in cut]
-        loose = {p for p in self.known.met if not safe(p)}
+        loose = {p for p in known.met if not safe(p)}
         heads = [i for i, x in enumerate(cut) if len(x) > 1 and not cut_after(x[0])]
         if loose or heads:
             for i in {*heads, *(i for i, x in enumerate(cut) if not loose.isdisjoint(x[1:]))}:
                 cut[i] = tied(cut[i])
                 found[i] = list(map(look, cut[i][1:]))
-        missing = list(dict.fromkeys(self.known.met))
-        made = self._whole([*(x[0] for x in cut), *(" " + p for p in missing)])
+        missing = list(dict.fromkeys(known.met))
+        made = self._whole([self.split(x[0]) for x in cut] + list(map(self._tokens, missing)))
         new = dict(zip(missing, made[len(cut) :], strict=True))
         for x, ids, head in zip(cut, found, made, strict=False):
             at = -1
@@ -66,31 +68,56 @@ class Chunked:
                 at = ids.index(None, at + 1)
                 ids[at] = new[x[at + 1]]
             yield head + b"".join(ids)
-        if len(self.known) < self.room:
-            self.known.update((p, x) for p, x in new.items() if len(p) <= LONGEST and safe(p))
-
-    def _whole(self, texts: list[str]) -> list[bytes]:
-        """Packed ids of texts by their pre-tokens."""
-        self.tokens.met = []
-        split, look = self.split, self.tokens.__getitem__
-        cut = [split(x) for x in texts]
+        if not known.full:
+            known.admit((p, x) for p, x in new.items() if p not in loose and cut_after(p))
+
+    def _tokens(self, piece: str) -> list[str]:
+        """Pre-tokens of a piece and the space before it. Letters are one pre-token, a mark after them another."""
+        if piece.isalpha():
+            return [" " + piece]
+        if piece[-1:] in (".", ",") and piece[:-1].isalpha():
+            return [" " + piece[:-1], piece[-1]]
+        return self.split(" " + piece)
+
+    def _whole(self, cut: list[list[str]]) -> list[bytes]:
+        """Packed ids of texts given by their pre-tokens."""
+        tokens = self.tokens
+        tokens.met = []
+        look = tokens.__getitem__
         found = [list(map(look, x)) for x in cut]
-        new = list(dict.fromkeys(self.tokens.met))
+        new = list(dict.fromkeys(tokens.met))
         made = dict(zip(new, map(packed, self.encode_many(new)), strict=True)) if new else {}
-        out = [b"".join([made[t] if y is None else y for t, y in zip(x, ids, strict=True)] if None in ids else ids) for x, ids in zip(cut, found, strict=True)]
-        if len(self.tokens) < self.room:
-            self.tokens.update((t, x) for t, x in made.items() if len(t) <= LONGEST)
+        out = [b"".join([made[t] if y is None else y for t, y in zip(x, ids, strict=True)]) if None in ids else b"".join(ids) for x, ids in zip(cut, found, strict=True)]
+        if not tokens.full:
+            tokens.admit(made.items())
         return out
 
 
 class Known(dict):
-    """Ids by piece; notes the pieces that it was asked for and doesn't have."""
+    """Ids by piece, of pieces met twice; notes the pieces that it was asked for and doesn't have."""
 
-    met: list[str]
+    def __init__(self, room: int):
+        self.room, self.full, self.met, self.once = room, False, [], set()
 
     def __missing__(self, piece: str) -> None:
         self.met.append(piece)
 
+    def admit(self, items: Iterable[tuple[str, bytes]]) -> None:
+        once = self.once
+        for piece, ids in items:
+            h = hash(piece)
+            if h in once:
+                once.discard(h)
+                if len(piece) <= LONGEST:
+                    self[piece] = ids
+            else:
+                once.add(h)
+        if len(once) > 2 * self.room:
+            once.clear()
+        self.full = len(self) >= self.room
+        if self.full:
+            self.once = set()
+
 
 def tied(pieces: list[str]) -> list[str]:
     """Pieces of a text with other white space around its spaces: those that can't be cut apart stay together."""
