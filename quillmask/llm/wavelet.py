@@ -33,17 +33,16 @@ from .chunks import Chunked
 MAGIC = b"QWM1"
 BLOCK = 512
 #: Tokens after which a shard is closed; a longer document is a shard of its own.
-SHARD_TOKENS = 4_000_000
+SHARD_TOKENS = 2_000_000
 
 
 def planes_of(ids: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     """From the highest bit: the packed plane, and how many of its bits are 0."""
     now = ids
     for bit in range(bits - 1, -1, -1):
-        plane = (now >> ids.dtype.type(bit)) & ids.dtype.type(1)
-        ones = np.flatnonzero(plane)
-        zeros = np.flatnonzero(plane == 0)
-        yield np.packbits(plane.astype(np.uint8), bitorder="little"), len(zeros)
+        plane = ((now >> ids.dtype.type(bit)) & ids.dtype.type(1)).astype(bool)
+        ones, zeros = np.flatnonzero(plane), np.flatnonzero(~plane)
+        yield np.packbits(plane, bitorder="little"), len(zeros)
         if bit:
             now = np.concatenate((now.take(zeros), now.take(ones)))
 
@@ -166,9 +165,9 @@ class Shard:
         kind = np.uint16 if self.bits <= 16 else np.uint32
         out = np.zeros(self.tokens, kind)
         for k in range(self.bits - 1, -1, -1):
-            plane = np.unpackbits(self.section(f"plane{k}", "u1"), count=self.tokens, bitorder="little")
+            plane = np.unpackbits(self.section(f"plane{k}", "u1"), count=self.tokens, bitorder="little").view(bool)
             back = np.empty_like(out)
-            back[np.flatnonzero(plane == 0)] = out[: self.zeros[k]]
+            back[np.flatnonzero(~plane)] = out[: self.zeros[k]]
             back[np.flatnonzero(plane)] = out[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
             out = back
         return out
@@ -213,7 +212,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             data = to_file(np.frombuffer(b"".join(parts), "<u4"), docs_, starts, (part, number))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             for doc, ids in zip(batch.column(0).to_pylist(), chunked.encode_all(batch.column(1).to_pylist()), strict=True):
                 if docs_ and sum_ + len(ids) // 4 + 1 > shard_tokens:
                     yield close()
