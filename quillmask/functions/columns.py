@@ -12,6 +12,11 @@ from pyspark.sql import functions as F
 STRIPPED = " \t\n\r:;-–—,."
 
 
+def let(value: Column, body: Callable[[Column], Column]) -> Column:
+    """`body` of a value that is computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def strip_space(x: Column) -> Column:
     return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
 
@@ -38,11 +43,6 @@ def exact_round(x: Column, places: int) -> Column:
     return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * places)).cast("double")
 
 
-def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
-
-
 # boxes: struct of x0, y0, x1, y1
 
 
@@ -52,20 +52,26 @@ def box(x0: Column, y0: Column, x1: Column, y1: Column) -> Column:
 
 def parsed_box(values: Column) -> Column:
     """A box from an array of four values that are numbers, else null."""
-    numbers = F.transform(values, lambda v: v.try_cast("double"))
-    whole = (F.size(values) == 4) & F.forall(numbers, lambda v: v.isNotNull())
-    return F.when(whole, box(*(F.get(numbers, F.lit(i)) for i in range(4))))
+
+    def checked(numbers: Column) -> Column:
+        whole = (F.size(numbers) == 4) & F.forall(numbers, lambda v: v.isNotNull())
+        return F.when(whole, box(*(F.get(numbers, F.lit(i)) for i in range(4))))
+
+    return let(F.transform(values, lambda v: v.try_cast("double")), checked)
 
 
 def rounded_box(b: Column, places: int = 2) -> Column:
-    return box(*(exact_round(b[c], places) for c in ("x0", "y0", "x1", "y1")))
+    return let(b, lambda x: F.when(x.isNotNull(), box(*(exact_round(x[c], places) for c in ("x0", "y0", "x1", "y1")))))
 
 
 def union_box(boxes: Column) -> Column:
     """The box around an array of boxes; null for an empty array."""
-    pick = lambda c: F.transform(boxes, lambda b: b[c])
-    around = box(F.array_min(pick("x0")), F.array_min(pick("y0")), F.array_max(pick("x1")), F.array_max(pick("y1")))
-    return F.when(F.size(boxes) > 0, around)
+
+    def around(all_: Column) -> Column:
+        pick = lambda c: F.transform(all_, lambda b: b[c])
+        return F.when(F.size(all_) > 0, box(F.array_min(pick("x0")), F.array_min(pick("y0")), F.array_max(pick("x1")), F.array_max(pick("y1"))))
+
+    return let(boxes, around)
 
 
 def area(b: Column) -> Column:
