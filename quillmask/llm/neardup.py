@@ -251,9 +251,10 @@ def promising(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     unsigned = F.transform("sketch", lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))  # values are stored signed; this keeps their order
     sketches = sieved(classes, "doc", ends(pairs)).select("doc", unsigned.alias("sketch"))
     both = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
-    both = both.select("a", "b", F.slice(F.sort_array(F.array_union("sa", "sb")), 1, s.k).alias("u"), F.array_intersect("sa", "sb").alias("c"))
-    shared = F.size(F.filter("c", lambda x: x <= F.element_at("u", -1)))
-    return both.filter(shared >= s.least_estimate * F.size("u")).select("a", "b")
+    parts = F.struct(F.slice(F.sort_array(F.array_union("sa", "sb")), 1, s.k).alias("u"), F.array_intersect("sa", "sb").alias("c"))
+    # bound to a lambda's variable, so that the union is made once a pair and not once an element
+    like = F.transform(F.array(parts), lambda p: F.size(F.filter(p["c"], lambda x: x <= F.element_at(p["u"], -1))) >= s.least_estimate * F.size(p["u"]))
+    return both.filter(F.element_at(like, 1)).select("a", "b")
 
 
 def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
