@@ -88,7 +88,8 @@ class ShardedTable:
     def _write(self, df: DataFrame, folder: str, rows_per_file: int = 0) -> list[File]:
         df.write.option("maxRecordsPerFile", rows_per_file).parquet(f"{self.base}/{folder}")
         try:
-            found = self.spark.read.schema(df.schema).parquet(f"{self.base}/{folder}").groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"))
+            # read without columns: the footers' counts do, and no column can hide _metadata
+            found = self.spark.read.schema(T.StructType([])).parquet(f"{self.base}/{folder}").groupBy(F.col("_metadata.file_name").alias("name"), F.col("_metadata.file_size").alias("bytes")).agg(F.count(F.lit(1)).alias("rows"))
             return [File(f"{folder}/{r['name']}", r["rows"], r["bytes"]) for r in sorted(found.collect(), key=lambda r: r["name"])]
         except Exception:
             self._system().delete(self._path(folder), True)
