@@ -7,7 +7,7 @@ task, so that a task run again gives the same values.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import let, national_checks, only_digits
@@ -150,15 +150,20 @@ def mapping(found: DataFrame, order: Column, scope: str = "doc") -> DataFrame:
 
 
 def replacements(found: DataFrame, order: Column, run_key: str | None, scope: str = "doc", strict: bool = False) -> DataFrame:
-    """Detections with fake_text, unsupported (a type without replacement) and, for signatures, metadata. The first
+    """Detections with first_type, fake_text, unsupported (a type without replacement) and, for signatures, metadata. The first
     detection of a text decides its value, whatever type later ones have. strict: an unsupported type is an error."""
-    keys = ["original_text"] if scope == "run" else ["doc_id", "original_text"]
     kind = F.upper("type")
-    supported = kind.isin(*TYPES)
+    known = kind.isin(*TYPES)
+    if scope == "run":
+        rows = found.join(mapping(found.filter(known), order, scope), "original_text", "left")
+    else:  # a document's rows of one text are few, and a window reads the detections once
+        first = F.min_by("type", F.when(known, order)).over(Window.partitionBy("doc_id", "original_text"))
+        rows = found.withColumn("first_type", first)
+    supported = known
     if strict:
         supported = F.when(supported, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no replacement for type "), F.coalesce(kind, F.lit("null")))).cast("boolean"))
-    rows = found.withColumn("type", kind).join(mapping(found.filter(F.upper("type").isin(*TYPES)), order, scope), keys, "left")
+    rows = rows.withColumn("type", kind)
     salt = None if run_key is None else run_salt(run_key, scope)
     metadata = F.when(F.col("type") == "SIGNATURE", F.struct(F.lit(True).alias("placeholder"), F.lit("pending").alias("signature_generation"), F.length("original_text").alias("original_length")))
     fake = F.when(supported, fake_value(F.col("first_type"), F.col("original_text"), salt))
-    return rows.withColumn("fake_text", fake).withColumn("unsupported", ~F.upper("type").isin(*TYPES)).withColumn("metadata", metadata).drop("first_type")
+    return rows.withColumn("fake_text", fake).withColumn("unsupported", ~F.upper("type").isin(*TYPES)).withColumn("metadata", metadata)

@@ -2,17 +2,21 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import box, font_ladder, rgb, strip_space
 
 
-def anonymization_map(replaced: DataFrame, found: DataFrame, order: Column) -> DataFrame:
-    """Replacements with the style of the last detection that has their page and trimmed text, of whatever type."""
-    key = strip_space(F.col("original_text"))
-    styles = found.groupBy("doc_id", "page", key.alias("key")).agg(F.max_by(F.struct("font", "size", "color"), order).alias("style"))
-    rows = replaced.drop("font", "size", "color").withColumn("key", key).join(styles, ["doc_id", "page", "key"], "left")
+def anonymization_map(replaced: DataFrame, found: DataFrame | None, order: Column) -> DataFrame:
+    """Replacements with the style of the last detection that has their page and trimmed text, of whatever type. Without
+    `found` the replacements are themselves all the detections, and a window over them spares the join."""
+    key, style = strip_space(F.col("original_text")), F.struct("font", "size", "color")
+    if found is None:
+        rows = replaced.withColumn("key", key).withColumn("style", F.max_by(style, order).over(Window.partitionBy("doc_id", "page", "key")))
+    else:
+        styles = found.groupBy("doc_id", "page", key.alias("key")).agg(F.max_by(style, order).alias("style"))
+        rows = replaced.drop("font", "size", "color").withColumn("key", key).join(styles, ["doc_id", "page", "key"], "left")
     return rows.select(
         "doc_id", "page", "box", "original_text", "fake_text", F.col("type").alias("pii_type"), F.col("style.font").alias("font"), F.col("style.size").alias("size"),
         F.coalesce("style.color", F.lit(0)).alias("color"), (F.col("type") == "HANDWRITING_FIELD").alias("is_handwritten"), F.col("type").isin("SIGNATURE", "SIGNATURE_FIELD", "SIGNATURE_IMAGE").alias("is_signature"),

@@ -44,5 +44,5 @@ def build_replacements(found: DataFrame, run_key: str | None = "", scope: str =
 def run_pipeline(layout: Layout, run_key: str | None = "", min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Detections, anonymisation map and redaction plan."""
     found = detect_pii(layout, min_confidence)
-    mapped = plan.anonymization_map(build_replacements(found, run_key), found, dedup.order_key())
+    mapped = plan.anonymization_map(build_replacements(found, run_key), None, dedup.order_key())
     return found, mapped, plan.redaction_plan(mapped, layout.pages)

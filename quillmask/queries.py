@@ -437,7 +437,9 @@ def _fill_sql(text: str, values: str, slot: str = "[0-9]") -> str:
 
 def _fake(kind: str, value: str) -> Query:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        found = pipeline.raw_detections(form_layout(spark, sf_dir)).filter((F.col("rule") == value) & F.col("type").isin(kind))
+        form = form_layout(spark, sf_dir)
+        rows = lines.group_lines(form.blocks)
+        found = fields.detect_fields(rows, form.pages).filter(F.col("rule") == value) if kind == "SIGNATURE" else rules.detect_with_rules(rows, (named_rule(value),))
         return found.select("doc_id", "original_text", fakes.fake_value(F.lit(kind), F.col("original_text"), F.lit(SALT)).alias("fake_text"))
 
     return run
@@ -498,9 +500,7 @@ def q_mapping_first_wins(spark: SparkSession, sf_dir: str) -> DataFrame:
 def q_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The value is shown by the type that decided it; q_fake_* show the values of each type."""
     found = pipeline.detect_pii(form_layout(spark, sf_dir))
-    rows = pipeline.build_replacements(found, SALT)
-    decided = fakes.mapping(found.filter(F.col("type").isin(*fakes.TYPES)), dedup.order_key())
-    checked = rows.join(decided, ["doc_id", "original_text"], "left").filter(F.col("fake_text").isNotNull() | F.col("unsupported"))
+    checked = fakes.replacements(found, dedup.order_key(), SALT).filter(F.col("fake_text").isNotNull() | F.col("unsupported"))
     return flat_box(checked.select("doc_id", "type", "original_text", "first_type", "unsupported", F.col("metadata.original_length").alias("original_length"), "box"))
 
 
