@@ -10,7 +10,9 @@ from pyspark.sql import functions as F
 
 from ..functions.columns import box, clean_entity, iou, strip_space
 from .lines import span_box, span_style
-from .rules import FIELD_RULES, by_rule, detections, hits
+from .rules import FIELD_RULES, HEURISTIC_RULES, REGEX_RULES, by_rule, detections, hits
+
+ALL_RULES = REGEX_RULES + HEURISTIC_RULES + FIELD_RULES
 
 
 def field_box(label: Column, width: Column, height: Column, handwriting: Column) -> Column:
@@ -36,6 +38,23 @@ def detect_fields(lines: DataFrame, pages: DataFrame) -> DataFrame:
     )
 
 
+def detect_text(lines: DataFrame, pages: DataFrame) -> DataFrame:
+    """Detections of all rules, fields included, in one pass over the lines."""
+    rows = hits(lines, ALL_RULES).join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"], "left")
+    first = len(ALL_RULES) - len(FIELD_RULES)
+    field, no = F.col("rule_no") >= first, F.col("rule_no")
+    phase = F.when(no < len(REGEX_RULES), 0).when(~field, 1).otherwise(2)
+    within = no - F.when(no < len(REGEX_RULES), 0).when(~field, len(REGEX_RULES)).otherwise(first)
+    area = field_box(F.col("hit_box"), F.col("width"), F.col("height"), no == len(ALL_RULES) - 1)
+    rows = rows.withColumn("area", F.when(field, area).otherwise(F.col("hit_box"))).withColumn("label", F.when(field, F.col("hit_box"))).withColumn("style", F.when(~field, F.col("style")))
+    pick = lambda value: by_rule(ALL_RULES, value)
+    found = detections(
+        rows, pii_type=pick(lambda r: F.lit(r.pii_type)), confidence=pick(lambda r: F.lit(r.confidence)), method=pick(lambda r: F.lit(r.method)), rule=pick(lambda r: F.lit(r.name)),
+        phase=phase, box_=F.col("area"), style=F.col("style"), label=F.col("label"), within=within,
+    )
+    return found
+
+
 def near_signature(image: Column, field: Column) -> Column:
     """Whether an image overlaps a signature field, or is beside it."""
     # Overlap, and distances in points.

@@ -110,7 +110,7 @@ def hits(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
 COLUMNS = ("doc_id", "page", "type", "original_text", "box", "confidence", "method", "rule", "font", "size", "color", "label_box", "ord")
 
 
-def detections(rows: DataFrame, *, pii_type: Column, confidence: Column, method: Column, rule: Column, phase: int, box_: Column, style: Column | None, label: Column | None = None) -> DataFrame:
+def detections(rows: DataFrame, *, pii_type: Column, confidence: Column, method: Column, rule: Column, phase: int | Column, box_: Column, style: Column | None, label: Column | None = None, within: Column | None = None) -> DataFrame:
     """Rows as detections: boxes and sizes to two places, confidences to three; ord is the order of emission."""
     nothing = F.lit(None)
     return rows.select(
@@ -126,7 +126,7 @@ def detections(rows: DataFrame, *, pii_type: Column, confidence: Column, method:
         (exact_round(style["size"], 2) if style is not None else nothing.cast("double")).alias("size"),
         (style["color"] if style is not None else nothing.cast("int")).alias("color"),
         (rounded_box(label) if label is not None else nothing.cast("struct<x0:double,y0:double,x1:double,y1:double>")).alias("label_box"),
-        F.struct(F.lit(phase).alias("phase"), F.col("line_no").cast("int").alias("line_no"), F.col("rule_no").cast("int").alias("rule_no"), F.col("match_no").cast("int").alias("match_no")).alias("ord"),
+        F.struct(F.lit(phase).alias("phase"), F.col("line_no").cast("int").alias("line_no"), (F.col("rule_no") if within is None else within).cast("int").alias("rule_no"), F.col("match_no").cast("int").alias("match_no")).alias("ord"),
     )
 
 

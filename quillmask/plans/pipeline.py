@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 from pyspark.sql import DataFrame
 
-from ..operators import dedup, fields, lines, plan, rules
+from ..operators import dedup, fields, lines, plan
 from ..operators import fakes as fake
 
 
@@ -24,9 +24,8 @@ class Layout:
 def raw_detections(layout: Layout, model: Callable | None = None) -> DataFrame:
     """All detectors' rows, before repeats are removed."""
     found_lines = lines.group_lines(layout.blocks)
-    found = rules.detect_with_rules(found_lines, rules.REGEX_RULES, 0).unionByName(rules.detect_with_rules(found_lines, rules.HEURISTIC_RULES, 1))
+    found = fields.detect_text(found_lines, layout.pages)
     marked = fields.detect_fields(found_lines, layout.pages)
-    found = found.unionByName(marked)
     if model is not None:
         found = found.unionByName(fields.detect_entities(found_lines, model))
     return found.unionByName(fields.detect_images(layout.images, marked))
