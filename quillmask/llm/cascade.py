@@ -103,7 +103,7 @@ LETTERS = "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 RULES = (
     Rule("symbols", lambda t, m: 10 * m["n_symbols"] > m["n_words"]),
     Rule("word_length", lambda t, m: (m["word_chars"] < 2 * m["n_words"]) | (m["word_chars"] > 15 * m["n_words"])),
-    Rule("repeated_lines", lambda t, m: 10 * m["n_dup_lines"] > 3 * (F.length(t) - F.length(without(t, "\n")) + 1)),
+    Rule("repeated_lines", lambda t, m: (m["n_dup_lines"] >= 5) & (2 * m["n_dup_lines"] > F.length(t) - F.length(without(t, "\n")) + 1)),
     Rule("capitals", lambda t, m: 10 * (F.length(t) - F.length(without(t, LETTERS))) > 3 * m["word_chars"]),
     Rule("exclamations", lambda t, m: 4 * (F.length(t) - F.length(without(t, "!"))) > m["n_words"]),
     Rule("digits", lambda t, m: 5 * (F.length(t) - F.length(without(t, "0123456789"))) > m["word_chars"]),
