@@ -63,11 +63,7 @@ class Chunked:
         made = self._whole([self.split(x[0]) for x in cut] + list(map(self._tokens, missing)))
         new = dict(zip(missing, made[len(cut) :], strict=True))
         for x, ids, head in zip(cut, found, made, strict=False):
-            at = -1
-            for _ in range(ids.count(None)):
-                at = ids.index(None, at + 1)
-                ids[at] = new[x[at + 1]]
-            yield head + b"".join(ids)
+            yield head + b"".join([new[p] if y is None else y for p, y in zip(x[1:], ids, strict=True)] if new else ids)
         if not known.full:
             known.admit((p, x) for p, x in new.items() if p not in loose and cut_after(p))
 
@@ -87,7 +83,7 @@ class Chunked:
         found = [list(map(look, x)) for x in cut]
         new = list(dict.fromkeys(tokens.met))
         made = dict(zip(new, map(packed, self.encode_many(new)), strict=True)) if new else {}
-        out = [b"".join([made[t] if y is None else y for t, y in zip(x, ids, strict=True)]) if None in ids else b"".join(ids) for x, ids in zip(cut, found, strict=True)]
+        out = [b"".join([made[t] if y is None else y for t, y in zip(x, ids, strict=True)]) for x, ids in zip(cut, found, strict=True)]
         if not tokens.full:
             tokens.admit(made.items())
         return out
