@@ -20,6 +20,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .chunks import Chunked
+from .store import lower_batches
+
+#: Documents of an Arrow batch at most: their ids take half again as much memory as their text, in the JVM and in Python.
+BATCH_ROWS = 1000
 
 
 @lru_cache(1)
@@ -140,6 +144,7 @@ def decoded(ids: Column, model: bytes, pattern: str) -> Column:
 
 def encode_documents(docs: DataFrame, model: bytes, pattern: str, text: str = "text") -> DataFrame:
     """Adds `token_ids` (binary, packed little-endian uint32) and `n_tokens`."""
+    lower_batches(docs.sparkSession, BATCH_ROWS)
     out = docs.withColumn("token_ids", encoded(F.col(text), model, pattern))
     return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
 

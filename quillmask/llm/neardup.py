@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import written
+from .store import batches_of, written
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -172,9 +172,10 @@ def listed(classes: DataFrame, s: Settings, table: bytes) -> DataFrame:
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(table, np.uint8)
-        for batch in batches:
+        for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
             docs, sizes = batch.column(0).to_numpy(), batch.column(1).to_numpy()
-            offsets, flat = batch.column(2).offsets.to_numpy(), batch.column(2).values.to_numpy().view(np.uint64)
+            offsets, flat = batch.column(2).offsets.to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64)
+            offsets = offsets - offsets[0]
             often = counts[counter(flat)]
             got, long = [], []
             for i, n in enumerate(sizes.tolist()):
@@ -288,6 +289,11 @@ def components(links: DataFrame) -> DataFrame:
 
 def clustered(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of `docs`: doc, n_shingles, component_id."""
+    with batches_of(docs.sparkSession, 1000):
+        return _clustered(docs, s, key, text)
+
+
+def _clustered(docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
     rows = written(sketched(docs, s, key, text), "sketches")
     some = rows.filter("n > 0 and doc is not null")
     reps = some.groupBy("signature").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
