@@ -33,8 +33,19 @@ def test_pipeline(spark):
     kept = sorted(ids)
     assert all(len(WORDS(text[i])) >= 50 for i in kept)
     assert [c for _, c in components_by_hand([text[i] for i in kept], 80)] == list(range(len(kept)))
+
+
+def test_mix_order_reaches_the_last_stage(spark, tmp_path):
+    import corpus_pipeline as p
+    from quillmask.llm import mixing
+
     read = spark.read.parquet(f"{SMALL}/documents.parquet")
-    for _, stage in p.STAGES[:-1]:
-        assert stage(spark, read, SMALL).columns == read.columns
+    placed = p.source_mix(spark, read, SMALL)
+    assert placed.columns == read.columns
+    placed.write.parquet(str(tmp_path / "mix"))
+    got = p.byte_bpe(spark, spark.read.parquet(str(tmp_path / "mix")), SMALL)
+    ranks = [r["doc_id"] for r in got.orderBy("mix_rank").collect()]
+    wanted = mixing.mixed(read, p.MIX_BLOCK_ROWS, exponent=p.MIX_EXPONENT).orderBy("mix_position").collect()
+    assert ranks == [r["doc_id"] for r in wanted]
     alone = spark.createDataFrame([(1, "a b", "en", "s", 3)], read.schema)
     assert p.byte_bpe(spark, alone, SMALL).first()["mix_rank"] is None
