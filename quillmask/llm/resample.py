@@ -1,16 +1,20 @@
 """Quality classifier by importance resampling.
 
 Two hashed n-gram models (words and pairs of words, BUCKETS buckets) are fitted: one of the target text, the documents
-labelled good and not toxic, and one of the raw text, all documents. A document's log weight is the sum over its
-n-grams of the log ratio of the models. The k documents with the largest log weight plus Gumbel noise are drawn, which
-samples k without replacement by weight. k follows from the labels: it is the number of documents whose log weight is
-above all but a thousandth of those of labelled targets that the model was not fitted on, less their spread.
+labelled good and not toxic, and one of the raw text, all documents. A document's log weight is its
+log odds of being a target, which don't grow with its length: a logistic regression on the mean over its n-grams of the
+log ratio of the models, and on its MARKS worst n-grams by each of two models of rejected text (documents labelled toxic,
+and others labelled of low quality), so that a few toxic words count in a long text. The k documents with the largest
+log weight plus Gumbel noise are drawn, which samples k without replacement by weight. k follows from labelled documents
+of both kinds, targets and rejected, that the models were not fitted on: they set the regression and the bound that
+decides most of them rightly, and k is the number of documents above it.
 
-The fit takes at most `label_rows` labelled targets (half fit, half set k), chosen by hash; everything else covers all
-rows. k is exact: the k-th largest value is found by counting in ever finer bins.
+The fit takes at most `label_rows` labelled documents of each kind (half fit, half set k), chosen by hash; everything else
+covers all rows. k is exact: the k-th largest value is found by counting in ever finer bins.
 
 Defined results: a null or empty text has log weight 0; very long texts count whole; rows equal in id and text get the
-same noise and stand or fall together; a null id is an id like others; without labelled targets every row is kept; an
+same noise and stand or fall together; a null id is an id like others; without labelled targets every row is kept;
+without rejected ones the log weight is the mean log ratio, and k is set by the targets' lowest thousandth less their spread; an
 empty table gives an empty table. Added columns replace those of the same name; clashing columns of the labels are not
 read.
 """
@@ -19,6 +23,8 @@ from __future__ import annotations
 
 import re
 from collections.abc import Iterator
+from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
@@ -32,6 +38,16 @@ CHUNK = 1 << 12
 LABEL_ROWS = 20_000
 #: Pseudo-count of each bucket in either model.
 SMOOTHING = 1.0
+#: Pseudo-count of documents with and without a bucket, in the models of marks.
+MARK_SMOOTHING = 3.0
+#: Worst n-grams that are looked at.
+MARKS = 3
+#: A mean log ratio below this counts as this.
+LEAST_MEAN = -2.0
+#: Constant and coefficients by which the mean log ratio alone is the weight.
+MEAN_ONLY = np.array([0.0, 1.0, 0.0, 0.0])
+#: Kinds of labelled documents.
+TARGET, TOXIC, LOW = 0, 1, 2
 REMEMBERED = 300_000
 
 
@@ -59,59 +75,126 @@ def buckets(text: str | None) -> np.ndarray:
     return (np.concatenate((h, pairs)) & np.uint64(BUCKETS - 1)).astype(np.int64)
 
 
-def targets(labels: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
-    """At most `rows` ids of labelled targets, by hash, with the half that each is in. An id labelled twice must be good in all its labels."""
-    good = labels.groupBy(F.col(key).alias("__id")).agg(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)).alias("good")).filter(F.col("good") & F.col("__id").isNotNull())
+def labelled(labels: DataFrame, rows: int, key: str = "doc_id") -> DataFrame:
+    """At most `rows` labelled ids of each kind, by hash, with the half that each is in. An id labelled twice is a target only if good in all its labels."""
+    kind = F.when(F.min((F.col("quality") == 1) & (F.col("toxic") == 0)), TARGET).when(F.max(F.col("toxic") == 1), TOXIC).when(F.max(F.col("quality") == 0), LOW)
+    kinds = labels.groupBy(F.col(key).alias("__id")).agg(kind.alias("kind")).filter("kind is not null and __id is not null")
     order = F.xxhash64("__id", F.lit(11))
-    return good.select("__id", (order % 2 == 0).alias("fits")).orderBy(order, "__id").limit(rows)
+    return reduce(DataFrame.union, (kinds.filter(F.col("kind") == k).select("__id", "kind", (order % 2 == 0).alias("fits")).orderBy(order, "__id").limit(rows) for k in (TARGET, TOXIC, LOW)))
 
 
-def fitted(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str = "text") -> np.ndarray | None:
-    """Log ratio of the target model to the raw model by bucket; None without targets. `chosen` has a bounded number of rows and is broadcast."""
-    marked = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen.filter("fits").select("__id", F.lit(True).alias("__target"))), "__id", "left")
+@dataclass(frozen=True)
+class Models:
+    """By bucket: log ratio of the target model to the raw model, and of the share of targets with the bucket to that of toxic and of low documents."""
+
+    ratio: np.ndarray
+    marks: np.ndarray
+
+    def features(self, text: str | None) -> tuple[float, ...]:
+        """Mean log ratio, and the mean of the worst marks by each model."""
+        b = buckets(text)
+        if not len(b):
+            return (0.0,) * (1 + len(self.marks))
+        once = self.marks[:, np.unique(b)].astype(np.float64)
+        worst = np.sort(once, 1)[:, :MARKS].mean(1)
+        return (max(float(self.ratio[b].mean(dtype=np.float64)), LEAST_MEAN), *worst.tolist())
+
+
+def fitted(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str = "text") -> Models | None:
+    """The models; None without targets. `chosen` has a bounded number of rows and is broadcast."""
+    marked = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen.filter("fits").select("__id", "kind")), "__id", "left")
+    n = 5  # n-grams of all and of targets, documents of each kind
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        sums = np.zeros((2, BUCKETS), np.int64)
+        sums, sizes = np.zeros((n, BUCKETS), np.int64), [0, 0, 0]
         for batch in batches:
-            for text_, target in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
+            for text_, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 b = buckets(text_)
                 np.add.at(sums[0], b, 1)
-                if target:
+                if kind == TARGET:
                     np.add.at(sums[1], b, 1)
+                if kind is not None:
+                    sums[2 + kind, np.unique(b)] += 1
+                    sizes[kind] += 1
         for k in np.flatnonzero(sums[0].reshape(-1, CHUNK).any(1)).tolist():
             yield pa.RecordBatch.from_arrays([pa.array([k], pa.int32()), pa.array([sums[:, k * CHUNK : (k + 1) * CHUNK].tobytes()], pa.binary())], ["chunk", "sums"])
+        yield pa.RecordBatch.from_arrays([pa.array([-1], pa.int32()), pa.array([np.pad(np.array(sizes, np.int64), (0, n * CHUNK - 3)).tobytes()], pa.binary())], ["chunk", "sums"])
 
     def add(groups: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        chunk, total = None, np.zeros(2 * CHUNK, np.int64)
+        chunk, total = None, np.zeros(n * CHUNK, np.int64)
         for batch in groups:
             for k, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
                 chunk = k
                 total += np.frombuffer(data, np.int64)
         yield pa.RecordBatch.from_arrays([pa.array([chunk], pa.int32()), pa.array([total.tobytes()], pa.binary())], ["chunk", "sums"])
 
-    parts = marked.select("__text", "__target").mapInArrow(count, "chunk int, sums binary")
-    raw, target = np.zeros((2, BUCKETS))
+    parts = marked.select("__text", "kind").mapInArrow(count, "chunk int, sums binary")
+    sums, sizes = np.zeros((n, BUCKETS)), np.zeros(3)
     for row in parts.groupBy("chunk").applyInArrow(add, "chunk int, sums binary").collect():  # BUCKETS numbers a model, whatever the input
-        at = slice(row["chunk"] * CHUNK, (row["chunk"] + 1) * CHUNK)
-        raw[at], target[at] = np.frombuffer(row["sums"], np.int64).reshape(2, CHUNK)
+        data = np.frombuffer(row["sums"], np.int64)
+        if row["chunk"] < 0:
+            sizes = data[:3].astype(float)
+        else:
+            sums[:, row["chunk"] * CHUNK : (row["chunk"] + 1) * CHUNK] = data.reshape(n, CHUNK)
+    raw, target = sums[:2]
     if not target.any():
         return None
     share = lambda x: np.log((x + SMOOTHING) / (x.sum() + SMOOTHING * BUCKETS))
-    return (share(target) - share(raw)).astype(np.float32)
-
-
-def log_weight(text: Column, ratio: np.ndarray) -> Column:
-    data = ratio.tobytes()
-
+    having = [np.log((sums[2 + k] + MARK_SMOOTHING) / (sizes[k] + 2 * MARK_SMOOTHING)) for k in (TARGET, TOXIC, LOW)]
+    marks = [having[TARGET] - having[k] if sizes[k] else np.zeros(BUCKETS) for k in (TOXIC, LOW)]
+    return Models((share(target) - share(raw)).astype(np.float32), np.array(marks, np.float32))
+
+
+def log_odds(x: np.ndarray, y: np.ndarray, ridge: float = 0.01) -> np.ndarray:
+    """Constant and coefficients of a logistic regression of y (0 or 1) on the columns of x, by Newton's method."""
+    mean, spread = x.mean(0), x.std(0)
+    spread = np.where(spread > 1e-9, spread, np.inf)
+    z = np.hstack((np.ones((len(x), 1)), (x - mean) / spread))
+    w, hold = np.zeros(z.shape[1]), np.diag([1e-6] + [ridge] * x.shape[1])
+    for _ in range(50):
+        p = 1 / (1 + np.exp(-np.clip(z @ w, -30, 30)))
+        step = np.linalg.solve((z * (p * (1 - p))[:, None]).T @ z + hold, z.T @ (y - p) - hold @ w)
+        w += step
+        if np.abs(step).max() < 1e-9:
+            break
+    w[1:] /= spread
+    w[0] -= w[1:] @ mean
+    return w
+
+
+def best_bound(weights: np.ndarray, y: np.ndarray) -> float:
+    """The bound from which most rows are decided rightly, midway between two weights; the lowest if several do."""
+    order = np.argsort(weights, kind="stable")
+    v, good = weights[order], y[order]
+    # cut i: rows from i on are kept
+    right = np.concatenate(([0], np.cumsum(1 - good))) + good.sum() - np.concatenate(([0], np.cumsum(good)))
+    cuts = [0, *(np.flatnonzero(v[1:] > v[:-1]) + 1).tolist()]
+    at = max(cuts, key=lambda i: (right[i], -i))
+    return float((v[at - 1] + v[at]) / 2) if at else -np.inf
+
+
+def log_weight(text: Column, models: Models, weights: np.ndarray) -> Column:
     @F.arrow_udf("double")
     def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        table = np.frombuffer(data, np.float32)
         for batch in batches:
-            yield pa.array([float(table[buckets(x)].sum(dtype=np.float64)) for x in batch.to_pylist()], pa.float64())
+            yield pa.array([float(weights[0] + weights[1:] @ np.array(models.features(x))) if x and not x.isspace() else 0.0 for x in batch.to_pylist()], pa.float64())
 
     return weigh(text)
 
 
+def held_out(docs: DataFrame, chosen: DataFrame, models: Models, key: str, text: str) -> tuple[np.ndarray, np.ndarray]:
+    """Features and kind of the chosen documents that the models were not fitted on; an id counts once, so the rows are bounded as `chosen`."""
+    rows = docs.select(F.col(key).alias("__id"), F.col(text).alias("__text")).join(F.broadcast(chosen.filter("not fits").select("__id", "kind")), "__id")
+
+    @F.arrow_udf("array<double>")
+    def measure(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        for batch in batches:
+            yield pa.array([list(models.features(x)) for x in batch.to_pylist()], pa.list_(pa.float64()))
+
+    found = rows.select("__id", "kind", measure("__text").alias("x")).groupBy("__id").agg(F.min("kind").alias("kind"), F.min("x").alias("x")).orderBy("__id").select("kind", "x").collect()
+    return np.array([r["x"] for r in found], float).reshape(len(found), 1 + len(models.marks)), np.array([r["kind"] for r in found], int)
+
+
 def gumbel(*of: Column, seed: int) -> Column:
     """Standard Gumbel noise that depends on the row alone, so that a task run again draws the same."""
     uniform = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), *of), 11).cast("double") + 0.5) / float(1 << 53)
@@ -140,19 +223,25 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, few: i
 
 def drawn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_rows: int = LABEL_ROWS, seed: int = 5) -> tuple[DataFrame, Column, DataFrame | None]:
     """All rows' (id, log_weight, perturbed), the condition on `docs` columns that a row is drawn, and the docs with log_weight and perturbed added."""
-    chosen = written(targets(labels, label_rows), "targets")
-    ratio = fitted(docs, chosen, key, text)
+    chosen = written(labelled(labels, label_rows), "targets")
+    models = fitted(docs, chosen, key, text)
     noise = gumbel(F.col(key), F.col(text), seed=seed)
-    if ratio is None:
-        scored = docs.withColumn("log_weight", F.lit(0.0)).withColumn("perturbed", noise)
+    x, kinds = (None, np.empty(0)) if models is None else held_out(docs, chosen, models, key, text)
+    y = (kinds == TARGET).astype(float)
+    if not y.any():
+        weight = F.lit(0.0) if models is None else log_weight(F.col(text), models, MEAN_ONLY)
+        scored = docs.withColumn("log_weight", weight).withColumn("perturbed", F.col("log_weight") + noise)
         return scored.select(key, "log_weight", "perturbed"), F.lit(True), scored
-    scored = docs.withColumn("log_weight", log_weight(F.col(text), ratio)).withColumn("perturbed", F.col("log_weight") + noise)
+    if y.all():
+        weights = MEAN_ONLY
+        lowest, q1, q3 = np.quantile(x[:, 0], (0.001, 0.25, 0.75))
+        bound = lowest - (q3 - q1)
+    else:
+        weights = log_odds(x, y)
+        bound = best_bound(weights[0] + x @ weights[1:], y)
+    scored = docs.withColumn("log_weight", log_weight(F.col(text), models, weights)).withColumn("perturbed", F.col("log_weight") + noise)
     table = written(scored.select(key, "log_weight", "perturbed"), "weights")
-    held = table.join(F.broadcast(chosen.filter("not fits").select(F.col("__id").alias(key))), key, "left_semi")
-    lowest, q1, q3 = held.agg(*(F.percentile_approx("log_weight", p, 10_000) for p in (0.001, 0.25, 0.75))).first()
-    if lowest is None:
-        return table, F.lit(True), scored
-    k = table.filter(F.col("log_weight") >= lowest - (q3 - q1)).count()
+    k = table.filter(F.col("log_weight") >= float(bound)).count()
     if k == 0:
         return table, F.lit(False), scored
     return table, F.col("perturbed") >= F.lit(kth_largest(table, "perturbed", k)), scored

@@ -265,6 +265,31 @@ def test_resampling(spark):
     assert resample.resampled(docs.limit(0), labels).count() == 0
 
 
+def test_resampling_drops_good_prose_with_toxic_words(spark):
+    rnd = random.Random(11)
+    prose = lambda n: [rnd.choice(["plain", "words", "of", "the", "prose", "here", "and", "there"]) for _ in range(n)]
+    rows, labels = [], []
+    for i in range(1200):
+        toxic, words = i % 5 == 0, prose(rnd.choice([60, 200, 600]))
+        for w in rnd.sample(["idiot", "scum", "moron", "trash"], 3) if toxic else []:
+            words[rnd.randrange(len(words))] = w
+        rows.append((i, " ".join(words)))
+        if i % 3:
+            labels.append((i, 1, int(toxic)))
+    rows += [(2000 + i, "odd " * 3000) for i in range(4)]  # long copies labelled as targets set no bound
+    labels += [(2000 + i, 1, 0) for i in range(4)]
+    kept = {r["doc_id"] for r in resample.resampled(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(labels, "doc_id long, quality int, toxic int")).collect()}
+    toxic = {i for i in range(0, 1200, 5)}
+    assert len(kept & toxic) <= 0.05 * len(toxic)
+    assert len(kept - toxic) >= 0.95 * len(set(range(1200)) - toxic)
+
+
+def test_best_bound():
+    y = np.array([0, 0, 1, 0, 1, 1, 1], float)
+    assert resample.best_bound(np.array([1, 2, 3, 4, 5, 6, 7], float), y) == 2.5
+    assert resample.best_bound(np.array([5, 5, 5], float), np.array([1, 1, 0], float)) == -np.inf
+
+
 def test_kth_largest(spark):
     rnd = random.Random(1)
     values = [round(rnd.gauss(0, 1), 1) for _ in range(3000)]
