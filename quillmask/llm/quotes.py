@@ -3,8 +3,8 @@
 A message's lines have a quote level: the number of `>` marks that they begin with. Lines of level 0 are the message's
 own; each quoted line, normalised (marks and outer white space gone, inner white space as one space, lower case), is a
 passage with a hash. A passage's original is the first message of the conversation that has it as a line of its own.
-The parent of a message is the earlier message with most originals of its level-1 passages, the latest if several have
-as many. Parents give each message its root and depth by pointer jumping, and conversations are put in reply order:
+The parent of a message is the earlier message with most originals of its passages of one level, the latest if several
+have as many; the shallowest level that has an original decides, so that deeper levels are the fallback. Parents give each message its root and depth by pointer jumping, and conversations are put in reply order:
 root, depth, turn, with the quotes taken out.
 
 Defined results: a null text is empty; a message without quotes, or whose quotes have no earlier original, is a root;
@@ -44,9 +44,9 @@ def own_text(parsed: Column) -> Column:
 def parents(passages: DataFrame) -> DataFrame:
     """conv_id, turn and parent of messages that quote. passages: conv_id, turn, level, passage."""
     originals = passages.filter("level = 0").groupBy("conv_id", "passage").agg(F.min("turn").alias("original"))
-    quoted = passages.filter("level = 1").select("conv_id", "turn", "passage").distinct()
-    votes = quoted.join(originals, ["conv_id", "passage"]).filter("original < turn").groupBy("conv_id", "turn", "original").agg(F.count(F.lit(1)).alias("n"))
-    return votes.groupBy("conv_id", "turn").agg(F.max_by("original", F.struct("n", "original")).alias("parent"))
+    quoted = passages.filter("level > 0").select("conv_id", "turn", "level", "passage").distinct()
+    votes = quoted.join(originals, ["conv_id", "passage"]).filter("original < turn").groupBy("conv_id", "turn", "level", "original").agg(F.count(F.lit(1)).alias("n"))
+    return votes.groupBy("conv_id", "turn").agg(F.max_by("original", F.struct((-F.col("level")).alias("near"), "n", "original")).alias("parent"))
 
 
 def rooted(nodes: DataFrame) -> DataFrame:
@@ -67,7 +67,7 @@ def rooted(nodes: DataFrame) -> DataFrame:
 def linked(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """Adds own_text, parent_turn, root_turn and reply_depth, in reply order."""
     rows = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), lines(F.col(text)).alias("parsed"))
-    passages = rows.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.inline("parsed")).filter("passage is not null and level <= 1").select("conv_id", "turn", "level", "passage")
+    passages = rows.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.inline("parsed")).filter("passage is not null").select("conv_id", "turn", "level", "passage")
     passages = written(passages, "passages")
     nodes = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn")).filter("conv_id is not null and turn is not null").distinct()
     tree = rooted(nodes.join(parents(passages), ["conv_id", "turn"], "left"))

@@ -349,3 +349,16 @@ def test_quote_linking(spark):
     order = [(r["conv_id"], r["root_turn"], r["reply_depth"], r["turn"]) for r in out if r["conv_id"] == 1]
     assert order == sorted(order)
     assert quotes.linked(spark.createDataFrame([], "conv_id long, turn long, text string")).count() == 0
+
+
+def test_deeper_quotes_link_where_shallower_ones_have_no_original(spark):
+    rows = [
+        (1, 0, "Hello all."),
+        (1, 1, "> Hello all.\n"),
+        (1, 2, "> > Hello all.\nLate."),
+        (1, 3, "> > > Late.\n> > Hello all.\n> never said\nLater."),
+        (1, 4, "> Later.\n> > Hello all.\n> > Late.\nLast."),
+        (1, 5, ">>> Last.\n>>> Later.\n>>> Hello all.\n"),
+    ]
+    out = quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
+    assert {r["turn"]: (r["parent_turn"], r["root_turn"], r["reply_depth"]) for r in out} == {0: (None, 0, 0), 1: (0, 0, 1), 2: (0, 0, 1), 3: (0, 0, 1), 4: (3, 0, 2), 5: (4, 0, 3)}
