@@ -7,7 +7,8 @@ the schedule repeats, so one period is computed on the driver and every row find
 
 When a source is used up, the weights of the others are scaled to fill the slots and a new phase begins: all rows are
 placed, each once. The driver holds sources x period numbers, both bounded: sources beyond `most_sources` (the largest
-stand alone) are one group, mixed among themselves by hash.
+stand alone) are one group with the sum of their weights. Inside it they are mixed by hash, so they have no deadlines of
+their own and their own weights count only in the sum.
 
 Defined results: a null source is a source of its own; null ids, empty or very long texts, and repeated rows are placed
 like other rows, in hash order; a source without a weight has weight 0 and comes after the others; an empty table gives
@@ -110,6 +111,15 @@ def tempered(rows: dict[str, int], exponent: float) -> dict[str, float]:
     return {s: n**exponent for s, n in rows.items()}
 
 
+def pooled_weight(pooled: DataFrame, weights: dict[str, float] | None, exponent: float) -> float:
+    """The sum of the weights of the sources in the common group. pooled: s, count."""
+    if weights is None:
+        return pooled.agg(F.sum(F.pow("count", F.lit(exponent)))).first()[0]
+    given = [(NULL if s is None else NAMED + s, float(w)) for s, w in weights.items() if w > 0]
+    table = pooled.sparkSession.createDataFrame(given, "s string, w double")
+    return pooled.join(F.broadcast(table), "s").agg(F.sum("w")).first()[0] or 0.0
+
+
 def mixed(docs: DataFrame, block_rows: int, weights: dict[str, float] | None = None, exponent: float = 0.5, source: str = "source", key: str = "doc_id", most_sources: int = MOST_SOURCES, seed: int = 3) -> DataFrame:
     """Adds mix_source, mix_block, mix_slot and mix_position, by which the mixed rows are ordered."""
     spark = docs.sparkSession
@@ -132,6 +142,8 @@ def mixed(docs: DataFrame, block_rows: int, weights: dict[str, float] | None = N
     starts = written(sizes.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))), "groups")
     rows = {r["mix_source"]: r["n"] for r in starts.groupBy("mix_source").agg(F.sum("n").alias("n")).collect()}
     wanted = tempered(rows, exponent) if weights is None else {s: weights.get(s[1:] if s[0] == NAMED else None, 0.0) for s in rows}
+    if REST in rows:
+        wanted[REST] = pooled_weight(counts.join(F.broadcast(own_set.select("s")), "s", "left_anti"), weights, exponent)
     plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, wanted)
     kind = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("start", T.LongType()), T.StructField("period", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))]))
     table = [(s, [(p.first[s], p.end[s], p.start, p.period, p.slots[s]) for p in plan if s in p.slots]) for s in rows]

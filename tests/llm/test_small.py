@@ -362,3 +362,12 @@ def test_deeper_quotes_link_where_shallower_ones_have_no_original(spark):
     ]
     out = quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()
     assert {r["turn"]: (r["parent_turn"], r["root_turn"], r["reply_depth"]) for r in out} == {0: (None, 0, 0), 1: (0, 0, 1), 2: (0, 0, 1), 3: (0, 0, 1), 4: (3, 0, 2), 5: (4, 0, 3)}
+
+
+@pytest.mark.parametrize("weights,share", [(None, (100**0.5 * 8) / (100**0.5 * 8 + 800**0.5)), ({"big": 1.0, "s1": 2.0, "s2": 1.0, None: 9.0}, 0.75)])
+def test_pooled_sources_have_the_sum_of_their_weights(spark, weights, share):
+    rows = [(i, "big") for i in range(800)] + [(1000 + i, f"s{i % 8}") for i in range(800)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), 8, weights=weights, most_sources=2).collect()
+    check_mix(got, 8)
+    first = {r["mix_slot"]: r["mix_source"] for r in got if r["mix_slot"] < 100}
+    assert abs(sum(x == mixing.REST for x in first.values()) - 100 * share) <= 2
