@@ -4,10 +4,12 @@ import base64
 import collections
 import hashlib
 import json
+import os
 import random
 import re
 import zlib
 
+import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -15,6 +17,7 @@ from pyspark.sql import functions as F
 
 from quillmask.llm import bpe, cascade, compaction, graphann, mixing, neardup, quotes, resample, store, warc, wavelet
 
+LARGE = "/root/testdata/check_l/embeddings.parquet"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 ODD = ["", None, "  ", "a", "it's  x\n\n y ", "é漢字 ٣ 😀\x00<|endoftext|>", "a  b\tc d", "word " * 3000, "same text", "same text"]
 
@@ -371,3 +374,17 @@ def test_pooled_sources_have_the_sum_of_their_weights(spark, weights, share):
     check_mix(got, 8)
     first = {r["mix_slot"]: r["mix_source"] for r in got if r["mix_slot"] < 100}
     assert abs(sum(x == mixing.REST for x in first.values()) - 100 * share) <= 2
+
+
+@pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test tables")
+def test_recall_on_a_full_shard():
+    found = duckdb.sql(f"SELECT vec_id, embedding FROM read_parquet('{LARGE}/*.parquet') ORDER BY hash(vec_id) LIMIT {graphann.SHARD_NODES}").fetchall()
+    ids, x = np.array([r[0] for r in found]), np.array([r[1] for r in found], float)
+    _, first = np.unique(x, axis=0, return_index=True)
+    first = first[np.argsort(ids[first])]
+    ids, x = ids[first], x[first]
+    graph, entry = graphann.build(graphann.lengthened(x)[0])
+    index = {"nodes": ids.astype("<i8").tobytes(), "vectors": x.astype("<f8").tobytes(), "graph": graph.astype("<i4").tobytes(), "entry": entry, "dim": x.shape[1]}
+    got, _ = graphann.search_shard(index, x[::10], 21, graphann.BEAM)
+    wanted = ids[np.argsort(-(x[::10] @ x.T), axis=1, kind="stable")[:, :21]]
+    assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(got.tolist(), wanted.tolist(), strict=True)]) >= 0.9
