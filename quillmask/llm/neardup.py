@@ -6,10 +6,13 @@
    k retained values (but for one pair in 10^9), so it is enough to list each sketch under its k - c + 1 values that
    are rarest by a fixed-size count table, in one order for all: values of common passages are left out unless a text
    has little else. Sets of at most k shingles are their own sketches, and there the bounds are exact.
-3. Pairs are proposed in two rounds. In the first each member of a list meets the next few in an order of its own. What
-   is confirmed is joined into components; lists of a single component are done. In the second round the rest of each
-   list is compared in tiles of bounded size: only pairs from different components whose sizes and places in the lists
-   allow the similarity, each at the first value that both share. So no list emits all its pairs, and none loses one.
+3. Members of a short list are paired. A long list emits no pairs: its members meet one pivot, the member whose values
+   are the most common ones, on full sets. Members that are similar to the pivot are linked with it. If x isn't, and
+   x and y are similar, then the two share a value that the pivot lacks, or else both hold nearly all of what they hold
+   inside the pivot (see `met`). So the members of a pivot's lists are listed anew, under the values that the pivot lacks
+   (and one list of those near it), and only lists with members of different components go on: copies of one text with
+   different changes part at once. Lists that are still long get pivots of their own; what is left after `levels` rounds
+   is compared in tiles of bounded size. No link is lost, and a group of n near copies costs n comparisons, not n^2.
 4. A pair's similarity is estimated from the union of the two sketches; pairs far below the threshold go.
 5. The rest are confirmed on the full sets, and components found by alternating large-star and small-star steps.
 
@@ -24,15 +27,16 @@ from __future__ import annotations
 import hashlib
 import math
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .store import batches_of, written
+from .store import Tables, batches_of
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -40,10 +44,10 @@ REMEMBERED = 300_000
 #: Counters of the table that orders values from rare to common.
 COUNTERS = 1 << 20
 CHUNK = 1 << 12
-#: Neighbours that a member meets in the first round.
-NEAR = 4
-#: Members of a run of the first round, and of a side of a tile of the second.
+#: Members of a side of a tile.
 TILE = 512
+#: Runs that the members of a hot value are dealt to.
+RUNS = 64
 #: Bits of the maps that let through the rows that a join needs.
 BITS = 1 << 23
 
@@ -57,6 +61,13 @@ class Settings:
     k: int = 256
     #: Chance that a linked pair's sketches share fewer values than the lists need.
     miss: float = 1e-9
+    #: Members of a list that are paired without a pivot, in the first round and in later ones.
+    short: int = 8
+    later: int = 64
+    #: Rounds of pivots; what is left then is tiled.
+    levels: int = 4
+    #: Values whose counter has so many sketches (and 8 times the mean) may have members for more than one task.
+    hot: int = 200_000
 
     def shared(self, k: int | None = None) -> int:
         """Values that two sketches of k share at least: the largest c with exp(-k KL(c / k, t)) <= miss."""
@@ -167,8 +178,11 @@ def frequencies(classes: DataFrame) -> bytes:
 
 
 def listed(classes: DataFrame, s: Settings, table: bytes) -> DataFrame:
-    """A row for each rare value of a sketch: value, doc, n, place (its rank among the sketch's values, rarest first)."""
+    """A row for each rare value of a sketch: value, doc, n, place (its rank among the sketch's values, rarest first), score
+    (how common the sketch's values are on the mean) and run (-1, or for a hot value one of RUNS that its members are dealt to)."""
     share, percent, k = s.shared(), s.percent, s.k
+    scale = np.frombuffer(table, np.uint8)
+    hot = 6 * math.log2(max(s.hot, 8 * float(np.mean(2.0 ** (scale / 6)))) + 1)
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts = np.frombuffer(table, np.uint8)
@@ -177,55 +191,71 @@ def listed(classes: DataFrame, s: Settings, table: bytes) -> DataFrame:
             offsets, flat = batch.column(2).offsets.to_numpy(), batch.column(2).flatten().to_numpy().view(np.uint64)
             offsets = offsets - offsets[0]
             often = counts[counter(flat)]
-            got, long = [], []
+            got, long, scores = [], [], []
             for i, n in enumerate(sizes.tolist()):
                 a, b = offsets[i], offsets[i + 1]
                 c = min(-(-percent * n // 100), share) if n <= k else share
                 keep = (b - a) - c + 1
-                got.append(flat[a:b][np.lexsort((flat[a:b], often[a:b]))[:keep]])
+                got.append(a + np.lexsort((flat[a:b], often[a:b]))[:keep])
                 long.append(keep)
+                scores.append(int(100 * often[a:b].mean()))
             if long:
-                place = np.concatenate([np.arange(x, dtype=np.int32) for x in long])
-                yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(got).view(np.int64)), pa.array(np.repeat(docs, long)), pa.array(np.repeat(sizes, long)), pa.array(place)], ["value", "doc", "n", "place"])
+                at = np.concatenate(got)
+                place = np.concatenate([np.arange(x, dtype=np.int16) for x in long])
+                doc = np.repeat(docs, long)
+                run = np.where(often[at] >= hot, doc * 0x9E3779B1 >> 13 & RUNS - 1, -1).astype(np.int8)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), pa.array(doc), pa.array(np.repeat(sizes, long)), pa.array(place), pa.array(np.repeat(np.array(scores, np.int16), long)), pa.array(run)], ["value", "doc", "n", "place", "score", "run"])
 
-    return classes.filter("n > 0").select("doc", "n", "sketch").mapInArrow(make, "value long, doc long, n long, place int")
+    return classes.filter("n > 0").select("doc", "n", "sketch").mapInArrow(make, "value long, doc long, n long, place short, score short, run byte")
 
 
-def possible(s: Settings, a: str, b: str) -> Column:
-    """Whether the sizes of rows a and b, and the places of the first value that both have, leave room for the similarity."""
-    n1, n2, p1, p2 = (F.col(f"{x}.{c}") for x, c in ((a, "n"), (b, "n"), (a, "place"), (b, "place")))
-    need = s.percent * (n1 + n2)  # times 1 / (100 + percent): the values that both must have
-    room = (need <= (n1 - p1) * (100 + s.percent)) & (need <= (n2 - p2) * (100 + s.percent))
-    return (100 * F.least(n1, n2) >= s.percent * F.greatest(n1, n2)) & (room | (F.greatest(n1, n2) > s.k))
+def pivot() -> Column:
+    """Of a list: the member with the most common values, by hash among equals."""
+    return F.max(F.struct("score", F.xxhash64("doc").alias("h"), "doc", "n"))
 
 
-def ordered_pair() -> list[Column]:
-    return [F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")]
+def with_members(values: DataFrame) -> DataFrame:
+    """Values of two documents or more, with `members` and `pivot` (doc, n) of each list. One shuffle; hot values are counted by runs first."""
+    run = Window.partitionBy("value", "run")
+    counted = values.withColumn("members", F.count(F.lit(1)).over(run)).withColumn("pivot", pivot().over(run))
+    return counted.filter("members > 1 or run >= 0")
 
 
-def near_pairs(lists: DataFrame, s: Settings) -> DataFrame:
-    """First round: each member of a list with the next NEAR in an order that differs from list to list. Long lists are dealt into runs of TILE or so."""
-    rows = lists.select("value", F.pmod(F.xxhash64("doc", "value"), F.ceil(F.col("members") / TILE)).alias("run"), F.xxhash64("value", "doc").alias("order"), F.struct("doc", "n", "place").alias("x"))
-    window = Window.partitionBy("value", "run").orderBy("order", "x.doc")
-    ahead = rows.select("x", F.array(*(F.lead("x", k).over(window) for k in range(1, NEAR + 1))).alias("ahead")).select("x", F.explode("ahead").alias("y"))
-    return ahead.filter(F.col("y").isNotNull() & possible(s, "x", "y")).select(*ordered_pair()).distinct()
+def merged_runs(lists: DataFrame) -> DataFrame:
+    """Puts the runs of hot values together."""
+    of = lists.filter("run >= 0").groupBy("value", "run").agg(F.max("members").alias("members"), F.max("pivot").alias("pivot"))
+    of = of.groupBy("value").agg(F.sum("members").alias("all"), F.max("pivot").alias("top"))
+    hot = lists.filter("run >= 0").join(of, "value").filter("all > 1")
+    return lists.filter("run < 0").unionByName(hot.select(*(c for c in lists.columns if c not in ("members", "pivot")), F.col("all").alias("members"), F.col("top").alias("pivot")))
 
 
-def tile_pairs(lists: DataFrame, component: DataFrame, s: Settings) -> DataFrame:
-    """Second round: pairs from different components, in tiles, at the first value that both share."""
-    named = lists.join(component, "doc", "left").withColumn("of", F.coalesce("component", "doc"))
-    mixed = named.groupBy("value").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("value")
-    # a document's values so far, of lists with several members: two documents that share one of them have met there
-    order = lists.groupBy("doc").agg(F.array_sort(F.collect_list(F.struct("place", "value"))).alias("all"))  # at most k values a document
-    rows = named.join(mixed, "value", "left_semi").join(order, "doc")
-    before = F.transform(F.filter("all", lambda v: v["place"] < F.col("place")), lambda v: v["value"])
+def possible(s: Settings, x: Column, y: Column) -> Column:
+    """Whether the sizes of x and y, and the places of the first value that both have, leave room for the similarity."""
+    need = s.percent * (x["n"] + y["n"])  # times 1 / (100 + percent): the values that both must have
+    room = (need <= (x["n"] - x["place"]) * (100 + s.percent)) & (need <= (y["n"] - y["place"]) * (100 + s.percent))
+    return similar_sizes(s, x, y) & (room | (F.greatest(x["n"], y["n"]) > s.k))
+
+
+def similar_sizes(s: Settings, x: Column, y: Column) -> Column:
+    return 100 * F.least(x["n"], y["n"]) >= s.percent * F.greatest(x["n"], y["n"])
+
+
+def short_pairs(lists: DataFrame, keys: list[str], member: list[str], can: Callable[[Column, Column], Column]) -> DataFrame:
+    """Pairs (a < b) of members of each list, which are so few that one row has them."""
+    together = lists.groupBy(*keys).agg(F.collect_list(F.struct(*member)).alias("all"))
+    pairs = F.flatten(F.transform("all", lambda x: F.transform(F.filter("all", lambda y: (x["doc"] < y["doc"]) & can(x, y)), lambda y: F.struct(x["doc"].alias("a"), y["doc"].alias("b")))))
+    return together.select(F.explode(pairs).alias("pair")).select("pair.*").distinct()
+
+
+def tile_pairs(lists: DataFrame, keys: list[str], s: Settings) -> DataFrame:
+    """Pairs of members of different components, in tiles of TILE by TILE members. lists: keys, doc, n, of, members."""
     tiles = F.ceil(F.col("members") / TILE).cast("int")
-    rows = rows.select("value", F.struct("doc", "n", "place", "of", before.alias("before")).alias("x"), tiles.alias("tiles"), F.pmod(F.xxhash64("doc"), tiles).cast("int").alias("own"))
-    left = rows.select("value", "x", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("tiles") - 1)).alias("j"))
-    right = rows.select("value", F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
+    rows = lists.select(*keys, F.struct("doc", "n", "of").alias("x"), tiles.alias("tiles"), F.pmod(F.xxhash64("doc"), tiles).cast("int").alias("own"))
+    left = rows.select(*keys, "x", F.col("own").alias("i"), F.explode(F.sequence(F.col("own"), F.col("tiles") - 1)).alias("j"))
+    right = rows.select(*keys, F.col("x").alias("y"), F.explode(F.sequence(F.lit(0), F.col("own"))).alias("i"), F.col("own").alias("j"))
     meet = (F.col("i") < F.col("j")) | (F.col("x.doc") < F.col("y.doc"))
-    joined = left.join(right, ["value", "i", "j"]).filter(meet & (F.col("x.of") != F.col("y.of")) & possible(s, "x", "y") & ~F.arrays_overlap("x.before", "y.before"))
-    return joined.select(*ordered_pair()).distinct()
+    joined = left.join(right, [*keys, "i", "j"]).filter(meet & (F.col("x.of") != F.col("y.of")) & similar_sizes(s, F.col("x"), F.col("y")))
+    return joined.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
 def bitmap(values: DataFrame, column: str) -> DataFrame:
@@ -242,15 +272,16 @@ def sieved(df: DataFrame, column: str, bits: DataFrame, has: bool = True) -> Dat
     return found.filter(set_ if has else ~set_).select(*df.columns)
 
 
-def ends(pairs: DataFrame) -> DataFrame:
-    return written(bitmap(pairs.select(F.explode(F.array("a", "b")).alias("doc")), "doc"), "bits")
+def ends(*pairs: DataFrame) -> DataFrame:
+    """The bitmap of all documents that pairs have."""
+    docs = [p.select(F.explode(F.array(*p.columns[:2])).alias("doc")) for p in pairs]
+    return bitmap(reduce(DataFrame.union, docs), "doc")
 
 
 def promising(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     """Drops pairs whose similarity, estimated from the k smallest values of the union of the sketches, is too small."""
-    pairs = written(pairs, "pairs")
     unsigned = F.transform("sketch", lambda x: x.bitwiseXOR(F.lit(-(1 << 63))))  # values are stored signed; this keeps their order
-    sketches = sieved(classes, "doc", ends(pairs)).select("doc", unsigned.alias("sketch"))
+    sketches = classes.select("doc", unsigned.alias("sketch"))
     both = pairs.join(sketches.toDF("a", "sa"), "a").join(sketches.toDF("b", "sb"), "b")
     parts = F.struct(F.slice(F.sort_array(F.array_union("sa", "sb")), 1, s.k).alias("u"), F.array_intersect("sa", "sb").alias("c"))
     # bound to a lambda's variable, so that the union is made once a pair and not once an element
@@ -258,19 +289,41 @@ def promising(pairs: DataFrame, classes: DataFrame, s: Settings) -> DataFrame:
     return both.filter(F.element_at(like, 1)).select("a", "b")
 
 
-def confirmed(pairs: DataFrame, docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
-    """Pairs whose full sets have the similarity."""
-    pairs = written(pairs, "candidates")
-    needed = sieved(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), "doc", ends(pairs))
-    sets = written(sets_of(needed, s, "doc", "text"), "sets")
+def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings, tables: Tables) -> DataFrame:
+    """Pairs (a written table) whose full sets have the similarity."""
+    sets = sieved(sets, "doc", tables.written(ends(pairs), "bits"))
     both = pairs.join(sets.toDF("a", "wa"), "a").join(sets.toDF("b", "wb"), "b")
     sized = both.select("a", "b", F.size(F.array_intersect("wa", "wb")).alias("common"), (F.size("wa") + F.size("wb")).alias("total"))
     return sized.filter(100 * F.col("common") >= s.percent * (F.col("total") - F.col("common"))).select("a", "b")
 
 
-def components(links: DataFrame) -> DataFrame:
+def met(pairs: DataFrame, sets: DataFrame, s: Settings, tables: Tables) -> DataFrame:
+    """Members against their pivots, on full sets. pairs (a written table): doc, pivot, score. Adds n, linked, near and `outside`, the values
+    that the member is listed under next.
+
+    Let x and y be similar members of the pivot P's lists, m the size of its smallest member. They share at least
+    need(x) = t / (1 + t) * (|x| + max(m, t|x|)) values, and need(y) alike. If c > 0 of them are not in P, then c is at
+    least need(x) - |x & P|, so the first of these values, in the order of the arrays, is among the first
+    |x - P| - max(1, need(x) - |x & P|) + 1 of x - P and of y - P alike: that is `outside`. If all are in P, then |x & P|
+    is need(x) or more, and |y & P| too. If both are linked with P, nothing is to be found; if x isn't, then y is smaller than
+    P, as |x & P| < t / (1 + t) * (|x| + |P|). So `near` marks members with |x & P| >= need(x) that aren't linked with P
+    or are smaller than it, and those share one list.
+    """
+    whole = sieved(sets, "doc", tables.written(ends(pairs), "bits"))
+    both = pairs.join(whole, "doc").withColumnRenamed("whole", "w").join(whole.select(F.col("doc").alias("pivot"), F.col("whole").alias("wp")), "pivot")
+    sized = both.select("pivot", "doc", "score", F.size("w").alias("n"), F.size("wp").alias("np"), F.array_except("w", "wp").alias("rest"))
+    least = sized.groupBy("pivot").agg(F.min("n").alias("least"))
+    common = F.col("n") - F.size("rest")
+    need = F.ceil(s.percent * (F.col("n") + F.greatest("least", F.ceil(s.percent * F.col("n") / 100))) / (100 + s.percent)).cast("int")
+    linked = 100 * common >= s.percent * (F.col("n") + F.col("np") - common)
+    known = sized.join(least, "pivot").withColumns({"common": common, "need": need, "linked": linked})
+    near = (F.col("common") >= F.col("need")) & (~F.col("linked") | (F.col("n") < F.col("np")))
+    return known.select("pivot", "doc", "score", "n", "linked", near.alias("near"), F.slice("rest", F.lit(1), F.greatest(F.col("n") - F.col("need") + 1, F.lit(0))).alias("outside"))
+
+
+def components(links: DataFrame, tables: Tables) -> DataFrame:
     """doc and the smallest document that it is linked with, for documents of the links (a < b)."""
-    links = written(links.select("a", "b").filter("a <> b").distinct(), "links")
+    links = tables.written(links.select("a", "b").filter("a <> b").distinct(), "links")
     seen = None
     while True:
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour
@@ -280,7 +333,7 @@ def components(links: DataFrame) -> DataFrame:
         # small star: a node and its smaller neighbours are linked to the smallest of them
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("x")).filter("m < x").distinct().toDF("a", "b")
-        links = written(small, "links")
+        links = tables.written(small, "links")
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return links.select(F.col("b").alias("doc"), F.col("a").alias("component"))
@@ -290,28 +343,73 @@ def components(links: DataFrame) -> DataFrame:
 def clustered(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """A row per row of `docs`: doc, n_shingles, component_id."""
     with batches_of(docs.sparkSession, 1000):
-        return _clustered(docs, s, key, text)
+        return _clustered(docs, s, key, text, Tables(docs.sparkSession))
 
 
-def _clustered(docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
-    rows = written(sketched(docs, s, key, text), "sketches")
+def _clustered(docs: DataFrame, s: Settings, key: str, text: str, tables: Tables) -> DataFrame:
+    rows = tables.written(sketched(docs, s, key, text), "sketches")
     some = rows.filter("n > 0 and doc is not null")
     reps = some.groupBy("signature").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # most sets are single: only rows that the bitmap of the others lets through are shuffled
-    bits = written(bitmap(reps.filter("copies > 1"), "signature"), "bits")
+    bits = tables.written(bitmap(reps.filter("copies > 1"), "signature"), "bits")
     chosen = sieved(some, "signature", bits).join(reps.select("signature", F.col("rep").alias("doc")), ["signature", "doc"], "left_semi").dropDuplicates(["signature"])
     classes = sieved(some, "signature", bits, has=False).union(chosen.select(*some.columns)).select("doc", "n", "sketch")
-    values = listed(classes, s, frequencies(classes))
-    common = values.groupBy("value").agg(F.count(F.lit(1)).alias("members")).filter("members > 1")
-    lists = written(values.join(common, "value"), "lists")
-    near = written(confirmed(promising(near_pairs(lists, s), classes, s), docs, s, key, text), "near")
-    rest = confirmed(promising(tile_pairs(lists, components(near), s), classes, s), docs, s, key, text)
-    component = components(near.union(rest).union(_repeats(some, reps)))
+    links = _links(classes, docs, s, key, text, tables)
+    component = components(links.union(_repeats(some, reps)), tables)
     named = reps.join(component.select(F.col("doc").alias("rep"), "component"), "rep", "left").select("signature", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc", "n", "signature").join(named, "signature", "left")  # one row a signature on the right: the join splits a class with many copies
     return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
+def _links(classes: DataFrame, docs: DataFrame, s: Settings, key: str, text: str, tables: Tables) -> DataFrame:
+    """Links (a, b) that give the same components as all similar pairs of classes."""
+    lists = tables.written(with_members(listed(classes, s, frequencies(classes))), "lists")
+    whole = merged_runs(lists)
+    pairs = tables.written(short_pairs(whole.filter(F.col("members") <= s.short), ["value"], ["doc", "n", "place"], lambda x, y: possible(s, x, y)), "pairs")
+    meetings = tables.written(_meetings(whole.filter(F.col("members") > s.short)), "meetings")
+    likely = tables.written(promising(pairs, sieved(classes, "doc", tables.written(ends(pairs), "bits")), s), "likely")
+    tables.drop(lists, pairs)
+    needed = tables.written(ends(likely, meetings), "bits")
+    rows = sieved(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), "doc", needed)
+    sets = tables.written(sets_of(rows, s, "doc", "text"), "sets")  # of a document that has several rows: the sets of all
+    links = tables.written(confirmed(likely, sets, s, tables), "links")
+    for level in range(s.levels):
+        if meetings.isEmpty():
+            return links
+        members = tables.written(met(meetings, sets, s, tables), "met")
+        direct = members.filter("linked").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
+        links = tables.written(links.union(direct), "links")
+        lists = tables.written(_relisted(members, components(links, tables)), "lists")
+        tables.drop(meetings, members)
+        short = short_pairs(lists.filter(F.col("members") <= s.later), ["group", "value"], ["doc", "n", "of"], lambda x, y: (x["of"] != y["of"]) & similar_sizes(s, x, y))
+        found = confirmed(tables.written(short, "pairs"), sets, s, tables)
+        long = lists.filter(F.col("members") > s.later)
+        if level < s.levels - 1:
+            meetings = tables.written(_meetings(long), "meetings")
+        else:
+            found = found.union(confirmed(tables.written(tile_pairs(long, ["group", "value"], s), "tiles"), sets, s, tables))
+        links = tables.written(links.union(found), "links")
+        tables.drop(lists)
+    return links
+
+
+def _meetings(long: DataFrame) -> DataFrame:
+    """Members of long lists with the pivots that they meet: doc, pivot, score."""
+    return long.filter("doc <> pivot.doc").groupBy("doc", F.col("pivot.doc").alias("pivot")).agg(F.max("score").alias("score"))
+
+
+def _relisted(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Lists by group (the pivot met) and value outside it, null for those near it, that have members of different
+    components: group, value, doc, n, score, of, members, pivot."""
+    named = members.withColumnRenamed("pivot", "group").join(component, "doc", "left").withColumn("of", F.coalesce("component", "doc"))
+    several = named.groupBy("group").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("group")
+    under = F.concat("outside", F.when(F.col("near"), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>")))
+    rows = named.join(several, "group", "left_semi").select("group", F.explode(under).alias("value"), "doc", "n", "score", "of")
+    lists = rows.groupBy("group", "value").agg(F.count(F.lit(1)).alias("members"), pivot().alias("pivot"), F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high")
+    same = (F.col("r.group") == F.col("l.group")) & F.col("r.value").eqNullSafe(F.col("l.value"))
+    return rows.alias("r").join(lists.alias("l"), same).select("r.*", "l.members", "l.pivot")
+
+
 def _repeats(some: DataFrame, reps: DataFrame) -> DataFrame:
     """Links between the classes of a document that has several rows."""
     several = some.groupBy("doc").agg(F.min("signature").alias("s1"), F.max("signature").alias("s2")).filter("s1 <> s2").select("doc")
@@ -321,6 +419,10 @@ def _repeats(some: DataFrame, reps: DataFrame) -> DataFrame:
 
 def kept_documents(docs: DataFrame, s: Settings, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The documents that are the smallest of their component, and those without a key, with the columns of `docs`."""
-    found = clustered(docs, s, key, text)
-    gone = found.filter("doc <> component_id").select("doc").distinct()
-    return docs.join(gone, docs[key].cast("long") == gone["doc"], "left_anti")
+    tables = Tables(docs.sparkSession)
+    gone = tables.written(clustered(docs, s, key, text).filter("doc <> component_id").select("doc").distinct(), "gone")
+    bits = tables.written(bitmap(gone, "doc"), "bits")
+    # only rows that the bitmap doesn't clear are shuffled
+    named = docs.withColumn("__doc", F.col(key).cast("long"))
+    doubtful = sieved(named, "__doc", bits).join(gone.select(F.col("doc").alias("__doc")), "__doc", "left_anti")
+    return sieved(named, "__doc", bits, has=False).unionByName(doubtful).select(*docs.columns)

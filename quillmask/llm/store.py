@@ -33,10 +33,29 @@ def fresh_dir(spark: SparkSession, name: str) -> str:
 
 def written(df: DataFrame, name: str) -> DataFrame:
     """Cuts the lineage: writes `df` as Parquet in the shared folder and reads it again."""
-    spark = df.sparkSession
-    path = fresh_dir(spark, name)
+    return written_at(df, fresh_dir(df.sparkSession, name))
+
+
+def written_at(df: DataFrame, path: str) -> DataFrame:
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+class Tables:
+    """Tables of one job, each of which can be removed once the next is written."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self._at = spark, {}
+
+    def written(self, df: DataFrame, name: str) -> DataFrame:
+        path = fresh_dir(self.spark, name)
+        out = written_at(df, path)
+        self._at[id(out)] = out, path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        for df in tables:
+            delete(self.spark, self._at.pop(id(df))[1])
 
 
 def delete(spark: SparkSession, path: str) -> None:

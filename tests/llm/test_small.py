@@ -250,7 +250,7 @@ def test_components(spark):
     for _ in range(400):
         for a, b in links:
             label[a] = label[b] = min(label[a], label[b])
-    got = {r["doc"]: r["component"] for r in neardup.components(spark.createDataFrame(links, "a long, b long")).collect()}
+    got = {r["doc"]: r["component"] for r in neardup.components(spark.createDataFrame(links, "a long, b long"), store.Tables(spark)).collect()}
     assert {d: got.get(d, d) for d in label} == label
 
 
