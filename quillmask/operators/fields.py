@@ -8,9 +8,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import box, clean_entity, iou, strip_space
+from ..functions.columns import box, clean_entity, exact_round, iou, rounded_box, strip_space
 from .lines import span_box, span_style
-from .rules import FIELD_RULES, HEURISTIC_RULES, REGEX_RULES, by_rule, detections, hits
+from .rules import COLUMNS, FIELD_RULES, HEURISTIC_RULES, REGEX_RULES, by_rule, detections, hits
 
 ALL_RULES = REGEX_RULES + HEURISTIC_RULES + FIELD_RULES
 
@@ -72,6 +72,24 @@ def detect_images(images: DataFrame, found: DataFrame) -> DataFrame:
     return detections(rows, pii_type=F.lit("SIGNATURE_IMAGE"), confidence=F.lit(0.70), method=F.lit("image_bbox_heuristic"), rule=F.lit("image_near_signature_label"), phase=4, box_=F.col("image"), style=None)
 
 
+def add_images(found: DataFrame, images: DataFrame) -> DataFrame:
+    """Detections, and those of images near their signature fields. A page's detections meet in one row, so they are made
+    once and stay where their lines are: no shuffle of theirs, if the lines were grouped by page."""
+    kind = next(f.dataType.simpleString() for f in found.select(F.struct(*COLUMNS[2:]).alias("d")).schema)
+    pictures = images.filter("box is not null").groupBy("doc_id", "page").agg(F.collect_list(F.struct("image_no", "box")).alias("pictures"))
+    pages = found.groupBy("doc_id", "page").agg(F.collect_list(F.struct(*COLUMNS[2:])).alias("all")).join(pictures, ["doc_id", "page"], "left")
+    marked = F.filter("pictures", lambda i: F.exists("all", lambda d: (d["type"] == "SIGNATURE") & near_signature(i["box"], d["box"])))
+    values = {
+        "type": F.lit("SIGNATURE_IMAGE"), "original_text": F.lit("<image>"), "confidence": exact_round(F.lit(0.70), 3), "method": F.lit("image_bbox_heuristic"), "rule": F.lit("image_near_signature_label"),
+    }
+
+    def detection(i: Column) -> Column:
+        own = values | {"box": rounded_box(i["box"]), "ord": F.struct(F.lit(4).alias("phase"), F.lit(0).alias("line_no"), F.lit(0).alias("rule_no"), i["image_no"].cast("int").alias("match_no"))}
+        return F.struct(*(own.get(c, F.lit(None)).alias(c) for c in COLUMNS[2:])).cast(kind)
+
+    return pages.select("doc_id", "page", F.inline(F.concat("all", F.coalesce(F.transform(marked, detection), F.array().cast(f"array<{kind}>")))))
+
+
 # Labels of entity models and their types.
 LABELS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORGANIZATION", "GPE": "LOCATION", "LOC": "LOCATION"}
 

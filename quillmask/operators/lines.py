@@ -43,12 +43,15 @@ def segments(members: Column) -> Column:
         F.array_sort(F.transform(members, lambda b: F.struct(b["box"]["x0"].alias("x"), b["box"]["y0"].alias("y"), b["block_no"].alias("k"), b.alias("b")))),
         lambda s: s["b"],
     )
-    start = lambda all_, i: F.aggregate(F.slice(all_, 1, i), F.lit(0), lambda n, b: (n + F.length(b["text"]) + 1).cast("int"))
-    one = F.transform(
-        F.array(ordered),
-        lambda all_: F.transform(all_, lambda b, i: F.struct(b["text"].alias("text"), b["box"].alias("box"), b["font"].alias("font"), b["size"].alias("size"), b["color"].alias("color"), start(all_, i).alias("start"), (start(all_, i) + F.length(b["text"])).alias("end"))),
-    )
-    return F.element_at(one, 1)
+    kind = "struct<at:int,found:array<struct<text:string,box:struct<x0:double,y0:double,x1:double,y1:double>,font:string,size:double,color:int,start:int,end:int>>>"
+
+    def add(state: Column, b: Column) -> Column:
+        end = state["at"] + F.length(b["text"])
+        one = F.struct(b["text"].alias("text"), b["box"].alias("box"), b["font"].alias("font"), b["size"].alias("size"), b["color"].alias("color"), state["at"].alias("start"), end.alias("end"))
+        return F.struct((end + 1).alias("at"), F.concat(state["found"], F.array(one)).alias("found")).cast(kind)
+
+    none = F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kind)
+    return F.aggregate(ordered, none, add, lambda s: s["found"])
 
 
 def group_lines(blocks: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

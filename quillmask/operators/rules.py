@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_entity, exact_round, let, rounded_box, strip_space, valid_national_id, valid_phone
+from ..functions.columns import clean_entity, exact_round, let, rounded_box, valid_national_id, valid_phone
 from .lines import span_box, span_style
 
 
@@ -58,22 +58,35 @@ FIELD_RULES = (
 )
 
 
-def matches(text: Column, pattern: str, group: int) -> Column:
-    """Array of struct(raw, start, end) of what the group captures. Starts follow from the gaps that a split leaves."""
-    regex = F.lit(pattern)
+#: Characters that no text may hold (Unicode noncharacters), put around matches; in a text they are read as U+FFFD.
+OPEN, INNER, CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
+
+
+def unmarked(text: Column) -> Column:
+    return F.translate(text, OPEN + INNER + CLOSE, "\ufffd" * 3)
 
-    def spans(all_: Column) -> Column:
-        total = lambda parts: F.aggregate(parts, F.lit(0), lambda n, x: (n + F.length(x)).cast("int"))
 
-        def span(m: Column, k: Column) -> Column:
-            end = total(F.slice(all_["gaps"], 1, k + 1)) + total(F.slice(all_["whole"], 1, k + 1))
-            raw = F.get(all_["group"], k) if group else m
-            return F.struct(raw.alias("raw"), (end - F.length(raw)).alias("start"), end.alias("end"))
+def matches(text: Column, pattern: str, group: int) -> Column:
+    """Array of struct(raw, start, end) of what the group captures, by one pass of the pattern: matches are put between
+    marks, and the text is cut there. Starts follow from a running sum over what lies between."""
+    replaced = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0" + (f"{INNER}${group}" if group else "") + CLOSE))
+    kind = "struct<at:int,found:array<struct<raw:string,start:int,end:int>>>"
+
+    def add(state: Column, part: Column) -> Column:
+        # part: the match, the mark and the group, the mark and what follows
+        return let(
+            F.split(part, f"[{INNER}{CLOSE}]", -1),
+            lambda x: let(
+                state["at"] + F.length(x[0]),
+                lambda end: F.struct((end + F.length(x[2 if group else 1])).alias("at"), F.concat(state["found"], F.array(F.struct(x[1 if group else 0].alias("raw"), (end - F.length(x[1 if group else 0])).alias("start"), end.alias("end")))).alias("found")).cast(kind),
+            ),
+        )
 
-        return F.transform(all_["whole"], span)
+    def spans(parts: Column) -> Column:
+        first = F.struct(F.length(parts[0]).alias("at"), F.array().cast("array<struct<raw:string,start:int,end:int>>").alias("found")).cast(kind)
+        return F.aggregate(F.slice(parts, 2, F.size(parts)), first, add, lambda s: s["found"])
 
-    found = F.struct(F.split(text, pattern, -1).alias("gaps"), F.regexp_extract_all(text, regex, F.lit(0)).alias("whole"), F.regexp_extract_all(text, regex, F.lit(group)).alias("group"))
-    return let(found, spans)
+    return let(F.split(replaced, OPEN, -1), spans)
 
 
 HIT = "array<struct<rule_no:int,match_no:int,raw:string,start:int,end:int>>"
@@ -98,12 +111,13 @@ def by_rule(rules: tuple[Rule, ...], value: Callable[[Rule], Column], no: str =
 
 
 def hits(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Lines with a row per hit: value (cleaned), box (not rounded) and style. Lines without a hit cost no more than prefilters."""
-    rows = lines.filter(F.length(strip_space(F.col("text"))) > 0).withColumn("hits", rule_hits(F.col("text"), rules)).filter(F.size("hits") > 0)
-    rows = rows.select("doc_id", "page", "line_no", "segments", F.inline("hits")).withColumn("value", clean_entity(F.col("raw"))).filter(F.col("value") != "")
-    if any(r.validator for r in rules):
-        rows = rows.filter(by_rule(rules, lambda r: r.validator(F.col("value")) if r.validator else F.lit(True)))
-    rows = rows.withColumn("hit_box", span_box(F.col("segments"), F.col("start"), F.col("end"))).filter("hit_box is not null")
+    """Lines with a row per hit: value (cleaned), box (not rounded) and style. Lines without a hit cost no more than
+    prefilters. The rules stand in the generator alone, so that each is evaluated once: a column of hits would be copied
+    into every filter that is pushed below it."""
+    rows = lines.select("doc_id", "page", "line_no", "segments", F.inline(rule_hits(unmarked(F.col("text")), rules)))
+    checked = F.when(F.col("value") == "", False).otherwise(by_rule(rules, lambda r: r.validator(F.col("value")) if r.validator else F.lit(True)))
+    rows = rows.select("*", F.inline(F.array(F.struct(clean_entity(F.col("raw")).alias("value"), span_box(F.col("segments"), F.col("start"), F.col("end")).alias("hit_box")))))
+    rows = rows.filter(checked).filter("hit_box is not null")
     return rows.withColumn("style", span_style(F.col("segments"), F.col("start"), F.col("end"))).drop("segments", "raw")
 
 

@@ -25,10 +25,9 @@ def raw_detections(layout: Layout, model: Callable | None = None) -> DataFrame:
     """All detectors' rows, before repeats are removed."""
     found_lines = lines.group_lines(layout.blocks)
     found = fields.detect_text(found_lines, layout.pages)
-    marked = fields.detect_fields(found_lines, layout.pages)
     if model is not None:
         found = found.unionByName(fields.detect_entities(found_lines, model))
-    return found.unionByName(fields.detect_images(layout.images, marked))
+    return fields.add_images(found, layout.images)
 
 
 def detect_pii(layout: Layout, min_confidence: float = 0.0, model: Callable | None = None, by_text: bool = True) -> DataFrame:
