@@ -36,6 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .sieve import bitmap, sieved
 from .store import Tables, batches_of
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
@@ -48,8 +49,6 @@ CHUNK = 1 << 12
 TILE = 512
 #: Runs that the members of a hot value are dealt to.
 RUNS = 64
-#: Bits of the maps that let through the rows that a join needs.
-BITS = 1 << 23
 
 
 @dataclass(frozen=True)
@@ -258,20 +257,6 @@ def tile_pairs(lists: DataFrame, keys: list[str], s: Settings) -> DataFrame:
     return joined.select(F.least("x.doc", "y.doc").alias("a"), F.greatest("x.doc", "y.doc").alias("b")).distinct()
 
 
-def bitmap(values: DataFrame, column: str) -> DataFrame:
-    """A bit for each hash that a column has: BITS / 64 rows at most, so small enough to broadcast whatever the input."""
-    bit = F.pmod(F.xxhash64(column), F.lit(BITS))
-    return values.select(bit.alias("bit")).groupBy(F.shiftright("bit", 6).alias("__word")).agg(F.bit_or(F.expr("shiftleft(1L, cast(bit & 63 as int))")).alias("__mask"))
-
-
-def sieved(df: DataFrame, column: str, bits: DataFrame, has: bool = True) -> DataFrame:
-    """Rows whose value may be in the bitmap: all that are, and a few others; or the rest."""
-    marked = df.withColumn("__bit", F.pmod(F.xxhash64(column), F.lit(BITS))).withColumn("__word", F.shiftright("__bit", 6))
-    found = marked.join(F.broadcast(bits), "__word", "left")
-    set_ = F.coalesce(F.expr("(__mask & shiftleft(1L, cast(__bit & 63 as int))) <> 0"), F.lit(False))
-    return found.filter(set_ if has else ~set_).select(*df.columns)
-
-
 def ends(*pairs: DataFrame) -> DataFrame:
     """The bitmap of all documents that pairs have."""
     docs = [p.select(F.explode(F.array(*p.columns[:2])).alias("doc")) for p in pairs]

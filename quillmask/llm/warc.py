@@ -4,6 +4,10 @@ Headers (id, payload digest) are shuffled by digest; of the records with equal p
 stays a response and the others become revisit records that refer to it. Archives are then written with fresh headers:
 new record ids, lengths and digests. A revisit record has the HTTP header of its response, without the payload.
 
+Payloads stay where they are: bitmaps of repeated digests, and of those digests with their responses' ids, part the records
+that are written as they are from those that are joined. Revisits are joined by their headers alone; of payloads only those
+of responses that others refer to (and a few that the bitmaps take for such) are shuffled.
+
 Defined results: a null payload is an empty one; payloads of fewer than `least` bytes are never resolved; records that
 repeat both id and payload are all responses; a record without an id is a revisit if another of its payload has one,
 else a response; an empty table gives an archive folder without records; payloads may hold any bytes, record ends
@@ -13,46 +17,58 @@ included, as the reader goes by Content-Length. Other columns are not read.
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
-import zlib
+import io
 from collections.abc import Iterator
+from typing import BinaryIO
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Tasks that the records of one payload are dealt to.
-SALTS = 16
-#: Records of a file at most; with the size that Spark gives a partition, this bounds what a reader holds.
+from .sieve import bitmap, sieved
+from .store import Tables
+
+#: Records of a file at most.
 FILE_RECORDS = 2_000
 BASE32 = "ABCDEFGHIJKLMNOPQRSTUVWXYZ234567"
 
 
 def base32_sha1(data: Column) -> Column:
-    """Upper-case base32 of the SHA-1: five hexadecimal digits are four letters."""
+    """Upper-case base32 of the SHA-1: ten hexadecimal digits are eight of base 32, which have other letters here."""
     digest = F.sha1(data)
-    letters = []
-    for k in range(8):
-        bits = F.conv(F.substring(digest, 5 * k + 1, 5), 16, 10).cast("int")
-        letters += [F.substring(F.lit(BASE32), F.shiftright(bits, s).bitwiseAND(F.lit(31)) + F.lit(1), F.lit(1)) for s in (15, 10, 5, 0)]
-    return F.concat(*letters)
+    parts = [F.lpad(F.conv(F.substring(digest, 10 * k + 1, 10), 16, 32), 8, "0") for k in range(4)]
+    return F.translate(F.concat(*parts), "0123456789ABCDEFGHIJKLMNOPQRSTUV", BASE32)
 
 
 def headers(pages: DataFrame, key: str, payload: str) -> DataFrame:
-    """Adds payload (null: empty), payload_bytes, payload_digest and salt."""
+    """record, url, payload (null: empty), payload_bytes, digest (20 bytes), payload_digest."""
     body = F.coalesce(F.col(payload), F.lit(""))
-    return pages.select(F.col(key).cast("long").alias("record"), F.col("url").cast("string").alias("url"), body.alias("payload")).select(
-        "*", F.octet_length("payload").cast("long").alias("payload_bytes"), base32_sha1(F.col("payload").cast("binary")).alias("payload_digest"), F.pmod(F.xxhash64("record"), F.lit(SALTS)).cast("int").alias("salt")
-    )
+    rows = pages.select(F.col(key).cast("long").alias("record"), F.col("url").cast("string").alias("url"), body.alias("payload"))
+    data = F.col("payload").cast("binary")
+    return rows.select("*", F.octet_length("payload").cast("long").alias("payload_bytes"), F.unhex(F.sha1(data)).alias("digest"), base32_sha1(data).alias("payload_digest"))
 
 
 def resolved(records: DataFrame, least: int) -> DataFrame:
-    """Adds `original`: the record that a revisit refers to, null for responses."""
-    groups = records.filter(F.col("payload_bytes") >= least).groupBy("payload_digest").agg(F.max("record").alias("largest"), F.count(F.lit(1)).alias("n"))
-    groups = groups.filter("n > 1 and largest is not null").select("payload_digest", "largest", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))).alias("salt"))
-    joined = records.join(groups, ["payload_digest", "salt"], "left")
-    return joined.withColumn("original", F.when(~F.col("largest").eqNullSafe(F.col("record")) & (F.col("payload_bytes") >= least), F.col("largest"))).drop("largest")
+    """Adds `original`: the record that a revisit refers to, null for responses. Revisits have no payload."""
+    tables = Tables(records.sparkSession)
+    large = records.filter(F.col("payload_bytes") >= least)
+    groups = tables.written(large.groupBy("digest").agg(F.max("record").alias("largest"), F.count(F.lit(1)).alias("n")), "digests")
+    repeated = tables.written(bitmap(groups.filter("n > 1 and largest is not null"), "digest"), "bits")
+    # all digests that the bitmap takes for repeated ones; those that aren't have a response of their own
+    known = tables.written(sieved(groups, "digest", repeated).select("digest", "largest"), "repeated")
+    pair = lambda record: F.xxhash64("digest", record)
+    first = tables.written(bitmap(known.select(pair("largest").alias("pair")), "pair"), "bits")
+    alone = sieved(large, "digest", repeated, has=False).union(records.filter(F.col("payload_bytes") < least))
+    paired = sieved(large, "digest", repeated).withColumn("pair", pair("record"))
+    perhaps = sieved(paired, "pair", first).join(known, "digest")
+    never = sieved(paired, "pair", first, has=False).withColumn("payload", F.lit("")).join(known, "digest")
+    original = F.when(~F.col("largest").eqNullSafe(F.col("record")), F.col("largest"))
+    columns = ["record", "url", "payload", "payload_bytes", "payload_digest"]
+    out = alone.select(*columns, F.lit(None).cast("long").alias("original"))
+    return out.union(perhaps.select(*columns, original.alias("original"))).union(never.select(*columns, original.alias("original")))
 
 
 def record_uri(record: Column, run: str) -> Column:
@@ -92,20 +108,19 @@ def write_archives(pages: DataFrame, path: str, key: str = "page_id", payload: s
 READ = T.StructType([T.StructField(n, t) for n, t in (("page_id", T.LongType()), ("url", T.StringType()), ("payload_bytes", T.LongType()), ("payload_digest", T.StringType()), ("record_type", T.StringType()), ("refers_to", T.LongType()), ("payload", T.BinaryType()))])
 
 
-def parse(data: bytes) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
-    """WARC header fields (lower-case names), HTTP header and payload of each record of an archive."""
-    at = 0
-    while at < len(data):
-        end = data.index(b"\r\n\r\n", at)
-        version, *lines = data[at:end].decode().split("\r\n")
-        if not version.startswith("WARC/"):
-            raise ValueError(f"no record at byte {at}")
-        fields = {k.lower(): v.strip() for k, _, v in (x.partition(":") for x in lines)}
-        start = end + 4
-        block = data[start : start + int(fields["content-length"])]
+def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
+    """WARC header fields (lower-case names), HTTP header and payload of each record of an archive, one after another."""
+    while version := archive.readline():
+        if not version.startswith(b"WARC/"):
+            raise ValueError(f"no record begins with {version[:40]!r}")
+        fields = {}
+        while line := archive.readline().rstrip(b"\r\n"):
+            name, _, value = line.decode().partition(":")
+            fields[name.lower()] = value.strip()
+        block = archive.read(int(fields["content-length"]))
         cut = block.index(b"\r\n\r\n") + 4
         yield fields, block[:cut], block[cut:]
-        at = start + len(block) + 4
+        archive.read(4)
 
 
 def own_id(uri: str | None) -> int | None:
@@ -120,7 +135,7 @@ def read_archives(spark: SparkSession, path: str) -> DataFrame:
         for batch in batches:
             for data in batch.column(0):
                 rows, held = [], 0
-                for fields, http, payload in parse(zlib.decompress(data.as_py(), 31)):
+                for fields, http, payload in parse(gzip.open(io.BytesIO(data.as_buffer()))):
                     kind, named = fields["warc-type"], fields["warc-payload-digest"].removeprefix("sha1:")
                     size = int(next(x for x in http.decode("latin-1").split("\r\n") if x.lower().startswith("content-length:")).partition(":")[2])
                     if kind == "response":
