@@ -1,161 +1,141 @@
 """Mixing sources to target weights by Pfair scheduling.
 
-Rows of a source are ordered by hash and cut into blocks. With weight w (q of `period` slots), block i of a source is
-released at slot floor(i / w) and due at ceil((i + 1) / w); earliest deadline first, among released blocks, fills every
-slot, and each source is always less than one block from its weight's share. As weights are multiples of 1 / period,
-the schedule repeats, so one period is computed on the driver and every row finds its slot by arithmetic.
+Rows of a source are ordered by hash and cut into blocks. The target is a fluid mix in which each source moves on in
+proportion to its weight among the sources that still have blocks; a source that is used up leaves its share to the
+others. Block i is released in the slot in which the fluid mix begins it, and due by the slot in which the fluid mix ends
+it: with weight w, floor(i / w) and ceil((i + 1) / w) until the first source is used up. Earliest deadline first, among
+released blocks, fills every slot, and each source is always less than one block from its target. Weights are taken as
+they are, however many sources there are and however small their weights.
 
-When a source is used up, the weights of the others are scaled to fill the slots and a new phase begins: all rows are
-placed, each once. The driver holds sources x period numbers, both bounded: sources beyond `most_sources` (the largest
-stand alone) are one group with the sum of their weights. Inside it they are mixed by hash, so they have no deadlines of
-their own and their own weights count only in the sum.
+The slots are found in one task from one row a source: each block costs about two microseconds and 50 bytes there, so
+choose block_rows so that there are ten million blocks or so at most. Everything that has a row per row or block of the
+input is a distributed table; nothing is collected to the driver, and joins are left to Spark, which knows their sizes.
 
 Defined results: a null source is a source of its own; null ids, empty or very long texts, and repeated rows are placed
-like other rows, in hash order; a source without a weight has weight 0 and comes after the others; an empty table gives
-an empty table. Added columns replace those of the same name.
+like other rows, in hash order; sources without a weight (or one that isn't above 0) come after the others, evenly
+mixed; an empty table gives an empty table. Added columns replace those of the same name.
 """
 
 from __future__ import annotations
 
 import heapq
-import math
-from dataclasses import dataclass
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from .store import written
 
-MOST_SOURCES = 128
-#: Groups of a source that are ordered apart, at most; and their rows, about, while there are fewer groups.
-GROUPS = 4096
+#: Rows, about, of a group of a source that is ordered in one task.
 GROUP_ROWS = 256
-#: Stands for what shares a group; a source's name begins with another letter.
-REST, NULL, NAMED = "*", "-", "="
-
-
-@dataclass(frozen=True)
-class Phase:
-    """From slot `start`; `slots` has, for each source, the slots of its blocks in a period, `first` the blocks used up before."""
-
-    start: int
-    period: int
-    first: dict[str, int]
-    end: dict[str, int]
-    slots: dict[str, list[int]]
-
-
-def shares(weights: dict[str, float], period: int) -> dict[str, int]:
-    """Whole slots of a period by largest remainder; a source with a weight gets one at least."""
-    total = sum(weights.values())
-    exact = {s: w / total * period for s, w in weights.items() if w > 0}
-    out = {s: max(1, math.floor(x)) for s, x in exact.items()}
-    by_rest = sorted(exact, key=lambda s: (math.floor(exact[s]) - exact[s], s))
-    for s in by_rest[: max(0, period - sum(out.values()))]:
-        out[s] += 1
-    while sum(out.values()) > period:
-        out[max(out, key=lambda s: (out[s] - exact[s], out[s]))] -= 1
-    return out
-
-
-def schedule(quota: dict[str, int], period: int) -> dict[str, list[int]]:
-    """Slots of each source's blocks in one period, by earliest deadline first among released blocks."""
-    waiting = [(0, s, 0) for s in quota]  # release, source, block
-    heapq.heapify(waiting)
-    ready: list[tuple[int, str, int]] = []
-    out: dict[str, list[int]] = {s: [] for s in quota}
-    for slot in range(period):
-        while waiting and waiting[0][0] <= slot:
-            _, s, i = heapq.heappop(waiting)
-            heapq.heappush(ready, (-(-(i + 1) * period // quota[s]), s, i))
-        due, s, i = heapq.heappop(ready)
-        if due <= slot:
-            raise AssertionError("a block missed its deadline")
-        out[s].append(slot)
-        if i + 1 < quota[s]:
-            heapq.heappush(waiting, ((i + 1) * period // quota[s], s, i + 1))
-    return out
-
-
-def phases(blocks: dict[str, int], weights: dict[str, float]) -> list[Phase]:
-    """The phases that use up `blocks` of each source."""
-    left, used, start, out = {s: n for s, n in blocks.items() if n}, dict.fromkeys(blocks, 0), 0, []
-    while left:
-        live = {s: weights.get(s, 0.0) for s in left}
-        live = {s: w for s, w in live.items() if w > 0} or dict.fromkeys(live, 1.0)
-        period = max(1024, 1 << (16 * len(live) - 1).bit_length())
-        quota = shares(live, period)
-        slots = schedule(quota, period)
-        ends = min((left[s] - 1) // quota[s] * period + slots[s][(left[s] - 1) % quota[s]] + 1 for s in live)
-        now = {s: ends // period * quota[s] + sum(x < ends % period for x in slots[s]) for s in live}
-        out.append(Phase(start, period, {s: used[s] for s in live}, {s: used[s] + now[s] for s in live}, slots))
-        start += ends
-        for s in live:
-            used[s] += now[s]
-            left[s] -= now[s]
-        left = {s: n for s, n in left.items() if n}
-    return out
-
-
-def slot_of(plan: list[Phase], source: str, block: int) -> int:
-    for p in plan:
-        if source in p.slots and p.first[source] <= block < p.end[source]:
-            n, i = len(p.slots[source]), block - p.first[source]
-            return p.start + i // n * p.period + p.slots[source][i % n]
-    raise KeyError((source, block))
-
-
-def tempered(rows: dict[str, int], exponent: float) -> dict[str, float]:
+#: Stands for the null source; a source's name begins with another letter.
+NULL, NAMED = "-", "="
+#: Part of a slot by which the ends of windows may be off, as they are floating-point numbers.
+EPSILON = 1e-9
+
+
+class Fluid:
+    """The fluid mix of `blocks` of each source at `weights` (all above 0)."""
+
+    def __init__(self, blocks: np.ndarray, weights: np.ndarray):
+        self.blocks, self.weights = blocks.astype(np.float64), weights / weights.sum()
+        order = np.argsort(self.blocks / self.weights, kind="stable")
+        # by the virtual time in which a source moves on by its weight: who has ended, how many blocks they had, what weight goes on
+        self.ends = (self.blocks / self.weights)[order]
+        self.over = np.concatenate(([0.0], np.cumsum(self.blocks[order])))
+        self.rest = np.concatenate((np.cumsum(self.weights[order][::-1])[::-1], [0.0]))
+
+    def slot(self, virtual: np.ndarray) -> np.ndarray:
+        """Slots filled at virtual times."""
+        k = np.searchsorted(self.ends, virtual, side="left")
+        return self.over[k] + self.rest[k] * virtual
+
+    def windows(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Of every block: its source, its number, the slot that it is released in and the slot that it is due by."""
+        n = self.blocks.astype(np.int64)
+        source = np.repeat(np.arange(len(n)), n)
+        block = np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+        w = self.weights[source]
+        release = np.floor(self.slot(block / w) + EPSILON).astype(np.int64)
+        due = np.ceil(self.slot(np.minimum((block + 1) / w, self.ends[-1])) - EPSILON).astype(np.int64)
+        return source, block, release, due
+
+
+def schedule(blocks: np.ndarray, weights: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Source and number of the block of each slot, by earliest deadline first among released blocks. No blocks or weights of 0."""
+    if not len(blocks):
+        return np.zeros(0, np.int64), np.zeros(0, np.int64)
+    source, block, release, due = Fluid(blocks, weights).windows()
+    order = np.argsort(release, kind="stable")
+    total = len(order)
+    waiting, at = release[order].tolist(), 0
+    # a block's deadline and its place in `source`, in one number
+    ranked = (due.astype(object) * total + np.arange(total)).tolist() if total > 1 << 31 else (due * total + np.arange(total)).tolist()
+    ahead, ready, out = order.tolist(), [], []
+    for slot in range(total):
+        while at < total and (waiting[at] <= slot or not ready):
+            heapq.heappush(ready, ranked[ahead[at]])
+            at += 1
+        out.append(heapq.heappop(ready) % total)
+    return source[out], block[out]
+
+
+def tempered(exponent: float, rows: str = "rows"):
     """Weights in proportion to a power of the rows: below 1, small sources gain on large ones."""
-    return {s: n**exponent for s, n in rows.items()}
-
-
-def pooled_weight(pooled: DataFrame, weights: dict[str, float] | None, exponent: float) -> float:
-    """The sum of the weights of the sources in the common group. pooled: s, count."""
-    if weights is None:
-        return pooled.agg(F.sum(F.pow("count", F.lit(exponent)))).first()[0]
-    given = [(NULL if s is None else NAMED + s, float(w)) for s, w in weights.items() if w > 0]
-    table = pooled.sparkSession.createDataFrame(given, "s string, w double")
-    return pooled.join(F.broadcast(table), "s").agg(F.sum("w")).first()[0] or 0.0
-
-
-def mixed(docs: DataFrame, block_rows: int, weights: dict[str, float] | None = None, exponent: float = 0.5, source: str = "source", key: str = "doc_id", most_sources: int = MOST_SOURCES, seed: int = 3) -> DataFrame:
+    return F.pow(F.col(rows).cast("double"), F.lit(exponent))
+
+
+def planned(sources: DataFrame, block_rows: int) -> DataFrame:
+    """mix_source, mix_block, mix_slot of all blocks. sources: mix_source, rows, weight (null: none)."""
+
+    def plan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found = pa.Table.from_batches(list(batches)) if (batches := list(batches)) else None
+        if found is None or not found.num_rows:
+            return
+        found = found.sort_by("mix_source")
+        names, start = found.column("mix_source").combine_chunks(), 0
+        blocks = -(-found.column("rows").to_numpy() // block_rows)
+        weights = np.nan_to_num(found.column("weight").to_numpy().astype(np.float64), nan=0.0)
+        for live, w in ((weights > 0, weights), (weights <= 0, np.ones(len(weights)))):
+            at = np.flatnonzero(live)
+            source, block = schedule(blocks[at], w[at])
+            for i in range(0, len(source), 10_000):
+                s, b = at[source[i : i + 10_000]], block[i : i + 10_000]
+                slots = np.arange(start + i, start + i + len(s))
+                yield pa.RecordBatch.from_arrays([names.take(pa.array(s)), pa.array(b), pa.array(slots)], ["mix_source", "mix_block", "mix_slot"])
+            start += len(source)
+
+    one = sources.select("mix_source", "rows", F.col("weight").cast("double")).repartition(1)
+    return one.mapInArrow(plan, "mix_source string, mix_block long, mix_slot long")
+
+
+def mixed(docs: DataFrame, block_rows: int, weights: dict[str | None, float] | None = None, exponent: float = 0.5, source: str = "source", key: str = "doc_id", seed: int = 3, group_rows: int = GROUP_ROWS) -> DataFrame:
     """Adds mix_source, mix_block, mix_slot and mix_position, by which the mixed rows are ordered."""
     spark = docs.sparkSession
     name = F.when(F.col(source).isNull(), F.lit(NULL)).otherwise(F.concat(F.lit(NAMED), F.col(source).cast("string")))
-    counts = docs.groupBy(name.alias("s")).count()
-    top = counts.orderBy(F.desc("count"), "s").limit(most_sources).collect()
-    if len(top) < most_sources:
-        own = [r["s"] for r in top]
-    else:
-        own = [r["s"] for r in top[: most_sources - 1]]
-    own_set = spark.createDataFrame([(s, s) for s in own], "s string, mix_source string")
     order = F.xxhash64(F.lit(seed), F.col(key), *(F.col(c) for c in docs.columns if c != key and dict(docs.dtypes)[c] in ("string", "bigint", "int")))
-    total = sum(r["count"] for r in top)
-    groups = max(1, min(GROUPS, total // GROUP_ROWS))
-    keyed = docs.withColumn("__s", name).join(F.broadcast(own_set.withColumnRenamed("s", "__s")), "__s", "left").drop("__s")
-    keyed = keyed.withColumn("mix_source", F.coalesce("mix_source", F.lit(REST))).withColumn("__order", order).withColumn("__group", F.pmod(F.shiftright("__order", 17), F.lit(groups)).cast("int"))
-    # rows of a source and group are few; the groups' counts, sources x GROUPS at most, give where each begins
+    counts = docs.groupBy(name.alias("mix_source")).agg(F.count(F.lit(1)).alias("rows"))
+    if weights is None:
+        weighed = counts.withColumn("weight", tempered(exponent))
+    else:
+        given = spark.createDataFrame([(NULL if s is None else NAMED + str(s), float(w)) for s, w in weights.items()], "mix_source string, weight double")
+        weighed = counts.join(given, "mix_source", "left")
+    sources = written(weighed, "sources")
+    groups = sources.select("mix_source", F.greatest(F.lit(1), F.ceil(F.col("rows") / group_rows)).alias("__groups"))
+    keyed = docs.withColumn("mix_source", name).join(groups, "mix_source")
+    keyed = keyed.withColumn("__order", order).withColumn("__group", F.pmod(F.shiftrightunsigned("__order", 17), F.col("__groups"))).drop("__groups")
+    # rows of a source and group are few; the groups' counts give where each begins
     sizes = keyed.groupBy("mix_source", "__group").agg(F.count(F.lit(1)).alias("n"))
     before = Window.partitionBy("mix_source").orderBy("__group").rowsBetween(Window.unboundedPreceding, -1)
-    starts = written(sizes.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0))), "groups")
-    rows = {r["mix_source"]: r["n"] for r in starts.groupBy("mix_source").agg(F.sum("n").alias("n")).collect()}
-    wanted = tempered(rows, exponent) if weights is None else {s: weights.get(s[1:] if s[0] == NAMED else None, 0.0) for s in rows}
-    if REST in rows:
-        wanted[REST] = pooled_weight(counts.join(F.broadcast(own_set.select("s")), "s", "left_anti"), weights, exponent)
-    plan = phases({s: -(-n // block_rows) for s, n in rows.items()}, wanted)
-    kind = T.ArrayType(T.StructType([T.StructField("first", T.LongType()), T.StructField("end", T.LongType()), T.StructField("start", T.LongType()), T.StructField("period", T.LongType()), T.StructField("slots", T.ArrayType(T.LongType()))]))
-    table = [(s, [(p.first[s], p.end[s], p.start, p.period, p.slots[s]) for p in plan if s in p.slots]) for s in rows]
-    slots = spark.createDataFrame(table, T.StructType([T.StructField("mix_source", T.StringType()), T.StructField("__plan", kind)]))
+    starts = sizes.withColumn("__before", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    blocks = F.sequence(F.floor(F.col("__before") / block_rows), F.floor((F.col("__before") + F.col("n") - 1) / block_rows))
+    needed = starts.select("mix_source", "__group", "__before", F.explode(blocks).alias("mix_block"))
+    slots = needed.join(planned(sources, block_rows), ["mix_source", "mix_block"]).groupBy("mix_source", "__group").agg(F.first("__before").alias("__before"), F.array_sort(F.collect_list(F.struct("mix_block", "mix_slot"))).alias("__slots"))
     inside = Window.partitionBy("mix_source", "__group").orderBy("__order", key)
-    at = F.col("__before") + F.row_number().over(inside) - 1
-    placed = keyed.join(F.broadcast(starts.drop("n")), ["mix_source", "__group"]).withColumn("__at", at).withColumn("mix_block", F.floor(F.col("__at") / block_rows))
-    placed = placed.join(F.broadcast(slots), "mix_source")
-    phase = F.element_at(F.filter("__plan", lambda p: (p["first"] <= F.col("mix_block")) & (F.col("mix_block") < p["end"])), 1)
-    placed = placed.withColumn("__phase", phase)
-    i = F.col("mix_block") - F.col("__phase")["first"]
-    n = F.size(F.col("__phase")["slots"]).cast("long")
-    placed = placed.withColumn("mix_slot", F.col("__phase")["start"] + F.floor(i / n) * F.col("__phase")["period"] + F.element_at(F.col("__phase")["slots"], (i % n + 1).cast("int")))
-    placed = placed.withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("__at") % block_rows)
+    placed = keyed.join(written(slots, "slots"), ["mix_source", "__group"]).withColumn("__at", F.col("__before") + F.row_number().over(inside) - 1)
+    placed = placed.withColumn("mix_block", F.floor(F.col("__at") / block_rows))
+    slot = F.col("__slots")[(F.col("mix_block") - F.floor(F.col("__before") / block_rows)).cast("int")]["mix_slot"]
+    placed = placed.withColumn("mix_slot", slot).withColumn("mix_position", F.col("mix_slot") * block_rows + F.col("__at") % block_rows)
     return placed.select(*(c for c in docs.columns if not c.startswith("mix_")), "mix_source", "mix_block", "mix_slot", "mix_position")

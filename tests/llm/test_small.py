@@ -8,6 +8,7 @@ import os
 import random
 import re
 import zlib
+from fractions import Fraction
 
 import duckdb
 import numpy as np
@@ -175,30 +176,88 @@ def check_mix(rows, block):
 
 
 def test_mixing(spark):
-    rows = [(i, None if i % 13 == 0 else f"s{min(i % 7, 3)}", None if i % 5 else "t", i) for i in range(900)] + [(5, "s1", None, 5)] * 20 + [(None, "s2", None, 1)]
+    rows = [(i, None if i % 13 == 0 else f"s{min(i % 7, 3)}", None if i % 5 else "t", i) for i in range(900)] + [(5, "s1", None, 5)] * 20 + [(None, "s2", None, 1), (None, None, "", 1), (None, None, "", 1), (1000, "s1", "word " * 200_000, 1)]
     docs = spark.createDataFrame(rows, "doc_id long, source string, text string, mix_block int")
     check_mix(mixing.mixed(docs, 8).collect(), 8)
-    got = mixing.mixed(docs, 8, weights={"s0": 3.0, "s1": 1.0}, most_sources=9).collect()
+    got = mixing.mixed(docs, 8, weights={"s0": 3.0, "s1": 1.0, None: 0.0, "nowhere": 9.0}, group_rows=50).collect()
     check_mix(got, 8)
     assert len(got) == len(rows)
-    check_mix(mixing.mixed(docs, 8, most_sources=2).collect(), 8)
+    weighted = {r["mix_slot"] for r in got if r["source"] in ("s0", "s1")}
+    assert max(weighted) == len(weighted) - 1
     assert mixing.mixed(docs.limit(0), 8).count() == 0
 
 
-def test_pfair_lag():
+def by_hand(blocks, weights):
+    """Earliest deadline first in exact arithmetic, slot by slot, with the fluid mix it is held against."""
+    done, fluid, lag, slots = [0] * len(blocks), [Fraction(0)] * len(blocks), Fraction(0), []
+
+    def time_of(s, target):
+        """When the fluid mix has done `target` blocks of source s."""
+        at, now = [Fraction(0)] * len(blocks), Fraction(0)
+        while at[s] < target:
+            live = [k for k in range(len(blocks)) if at[k] < blocks[k]]
+            total = sum(weights[k] for k in live)
+            step = min([(blocks[k] - at[k]) * total / weights[k] for k in live] + [(target - at[s]) * total / weights[s]])
+            for k in live:
+                at[k] += step * weights[k] / total
+            now += step
+        return now
+
+    ends = [[time_of(s, i) for i in range(n + 1)] for s, n in enumerate(blocks)]
+    for slot in range(sum(blocks)):
+        ready = [(-(-ends[s][done[s] + 1] // 1), s) for s in range(len(blocks)) if done[s] < blocks[s] and ends[s][done[s]] // 1 <= slot]
+        due, s = min(ready)
+        assert due > slot
+        done[s] += 1
+        slots.append(s)
+        left, rest = Fraction(1), None
+        while left:
+            live = [k for k in range(len(blocks)) if fluid[k] < blocks[k]]
+            if not live:
+                break
+            total = sum(weights[k] for k in live)
+            step = min([left] + [(blocks[k] - fluid[k]) * total / weights[k] for k in live])
+            for k in live:
+                fluid[k] += step * weights[k] / total
+            left -= step
+        lag = max([lag, *(abs(fluid[k] - done[k]) for k in range(len(blocks)))])
+    return slots, lag
+
+
+def test_schedule_is_earliest_deadline_first():
     rnd = random.Random(8)
-    for _ in range(30):
-        weights = {f"={i}": rnd.random() ** 3 + 1e-6 for i in range(rnd.randint(1, 20))}
-        period = 1024
-        quota = mixing.shares(weights, period)
-        assert sum(quota.values()) == period and min(quota.values()) >= 1
-        slots = mixing.schedule(quota, period)
-        for s, found in slots.items():
-            done = np.cumsum(np.isin(np.arange(period), found))
-            assert np.abs(done - quota[s] / period * np.arange(1, period + 1)).max() < 1
-    plan = mixing.phases({"=a": 5000, "=b": 10, "=c": 0, "=d": 300}, {"=a": 1.0, "=b": 1.0, "=d": 2.0})
-    seen = [mixing.slot_of(plan, s, b) for s, n in (("=a", 5000), ("=b", 10), ("=d", 300)) for b in range(n)]
-    assert sorted(seen) == list(range(5310))
+    for _ in range(12):
+        blocks = [rnd.randint(1, 25) for _ in range(rnd.randint(1, 6))]
+        weights = [Fraction(rnd.randint(1, 40), 7) for _ in blocks]
+        wanted, lag = by_hand(blocks, weights)
+        source, block = mixing.schedule(np.array(blocks), np.array([float(w) for w in weights]))
+        assert source.tolist() == wanted and lag < 1
+        for s, n in enumerate(blocks):
+            assert block[source == s].tolist() == list(range(n))
+
+
+@pytest.mark.parametrize("weights", [[0.6180339887, 0.2718281828, 0.1100878, 0.00003, 0.00001], [(i % 17 + 0.1) ** 1.5 for i in range(200)]])
+def test_lag_stays_below_a_block(weights):
+    w = np.array(weights) / sum(weights)
+    blocks = np.ceil(w * 120_000).astype(np.int64) + 2
+    source, _ = mixing.schedule(blocks, w)
+    first = min(int(np.flatnonzero(source == s)[-1]) for s in range(len(w)))  # until then no source has run out
+    slots = min(100_000, first) + 1
+    for s in range(len(w)):
+        assert np.abs(np.cumsum(source[:slots] == s) - w[s] * np.arange(1, slots + 1)).max() < 1
+    assert slots > 90_000
+
+
+def test_mixed_rows_follow_the_schedule_whatever_the_number_of_sources(spark):
+    rnd = random.Random(4)
+    sizes = {f"s{i:03}": rnd.randint(1, 60) for i in range(200)}
+    weights = {s: rnd.random() + 0.01 for s in sizes}
+    rows = [(k * 1000 + i, s) for k, (s, n) in enumerate(sizes.items()) for i in range(n)]
+    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), 4, weights=weights, group_rows=16).collect()
+    check_mix(got, 4)
+    names = sorted(sizes)
+    source, block = mixing.schedule(np.array([-(-sizes[s] // 4) for s in names]), np.array([weights[s] for s in names]))
+    assert {(r["mix_slot"], r["source"], r["mix_block"]) for r in got} == {(t, names[s], b) for t, (s, b) in enumerate(zip(source.tolist(), block.tolist(), strict=True))}
 
 
 def components_by_hand(values, percent):
@@ -367,15 +426,6 @@ def test_deeper_quotes_link_where_shallower_ones_have_no_original(spark):
     assert {r["turn"]: (r["parent_turn"], r["root_turn"], r["reply_depth"]) for r in out} == {0: (None, 0, 0), 1: (0, 0, 1), 2: (0, 0, 1), 3: (0, 0, 1), 4: (3, 0, 2), 5: (4, 0, 3)}
 
 
-@pytest.mark.parametrize("weights,share", [(None, (100**0.5 * 8) / (100**0.5 * 8 + 800**0.5)), ({"big": 1.0, "s1": 2.0, "s2": 1.0, None: 9.0}, 0.75)])
-def test_pooled_sources_have_the_sum_of_their_weights(spark, weights, share):
-    rows = [(i, "big") for i in range(800)] + [(1000 + i, f"s{i % 8}") for i in range(800)]
-    got = mixing.mixed(spark.createDataFrame(rows, "doc_id long, source string"), 8, weights=weights, most_sources=2).collect()
-    check_mix(got, 8)
-    first = {r["mix_slot"]: r["mix_source"] for r in got if r["mix_slot"] < 100}
-    assert abs(sum(x == mixing.REST for x in first.values()) - 100 * share) <= 2
-
-
 @pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test tables")
 def test_recall_on_a_full_shard():
     found = duckdb.sql(f"SELECT vec_id, embedding FROM read_parquet('{LARGE}/*.parquet') ORDER BY hash(vec_id) LIMIT {graphann.SHARD_NODES}").fetchall()
