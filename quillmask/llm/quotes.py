@@ -4,8 +4,9 @@ A message's lines have a quote level: the number of `>` marks that they begin wi
 own; each quoted line, normalised (marks and outer white space gone, inner white space as one space, lower case), is a
 passage with a hash. A passage's original is the first message of the conversation that has it as a line of its own.
 The parent of a message is the earlier message with most originals of its passages of one level, the latest if several
-have as many; the shallowest level that has an original decides, so that deeper levels are the fallback. Parents give each message its root and depth by pointer jumping, and conversations are put in reply order:
-root, depth, turn, with the quotes taken out.
+have as many; the shallowest level that has an original decides, so that deeper levels are the fallback. Parents give
+each message its root and depth by pointer jumping, and conversations are put in reply order: root, depth, turn, with
+the quotes taken out.
 
 Defined results: a null text is empty; a message without quotes, or whose quotes have no earlier original, is a root;
 a quote never links to its own or a later turn; rows without conv_id or turn are roots of their own with a null order;
@@ -15,67 +16,79 @@ empty table gives an empty table. Other columns stay; added columns replace thos
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from .cascade import let
+from .store import Tables
+
+#: What a quoted line begins with.
+MARKS = r"^[ \t]*(?:>[ \t]?)+"
+
 
-MARKS = r"^[ \t]*((?:>[ \t]?)*)"
+def split_lines(text: Column) -> Column:
+    return F.split(F.coalesce(text, F.lit("")), r"\r?\n")
 
 
-def lines(text: Column) -> Column:
-    """Structs of level, text without marks, and hash of the normalised text (null for blank lines)."""
+def passages(text: Column) -> Column:
+    """Structs of level and hash (16 bytes) of the normalised text of each line that isn't blank."""
 
     def of(line: Column) -> Column:
-        marks = F.regexp_extract(line, MARKS, 1)
-        bare = F.when(F.length(marks) > 0, F.regexp_replace(line, MARKS, "")).otherwise(line)
-        normal = F.trim(F.lower(F.regexp_replace(bare, r"\s+", " ")))
-        return F.struct(F.length(F.regexp_replace(marks, r"[ \t]", "")).alias("level"), bare.alias("bare"), F.when(F.length(normal) > 0, F.sha2(normal, 256)).alias("passage"))
+        marks = F.when(F.contains(line, F.lit(">")), F.regexp_extract(line, MARKS, 0)).otherwise(F.lit(""))
+        return let(marks, lambda m: let(normal(F.substring(line, F.length(m) + F.lit(1), F.length(line))), lambda x: F.struct(F.length(F.translate(m, " \t", "")).alias("level"), F.when(F.length(x) > 0, F.unhex(F.md5(x))).alias("passage"))))
+
+    return F.filter(F.transform(split_lines(text), of), lambda x: x["passage"].isNotNull())
+
 
-    return F.transform(F.split(F.coalesce(text, F.lit("")), r"\r?\n"), of)
+def normal(line: Column) -> Column:
+    return F.trim(F.lower(F.regexp_replace(line, r"\s+", " ")))
 
 
-def own_text(parsed: Column) -> Column:
-    """The lines of level 0, without outer blank lines."""
-    joined = F.array_join(F.transform(F.filter(parsed, lambda x: x["level"] == 0), lambda x: x["bare"]), "\n")
+def own_text(text: Column) -> Column:
+    """The lines that aren't quoted, without outer blank lines."""
+    joined = F.array_join(F.filter(split_lines(text), lambda x: ~F.rlike(x, F.lit(MARKS))), "\n")
     return F.regexp_replace(joined, r"\A\s+|\s+\z", "")
 
 
-def parents(passages: DataFrame) -> DataFrame:
-    """conv_id, turn and parent of messages that quote. passages: conv_id, turn, level, passage."""
-    originals = passages.filter("level = 0").groupBy("conv_id", "passage").agg(F.min("turn").alias("original"))
-    quoted = passages.filter("level > 0").select("conv_id", "turn", "level", "passage").distinct()
+def parents(found: DataFrame) -> DataFrame:
+    """conv_id, turn and parent of messages that quote. found: conv_id, turn, level, passage."""
+    originals = found.filter("level = 0").groupBy("conv_id", "passage").agg(F.min("turn").alias("original"))
+    quoted = found.filter("level > 0").select("conv_id", "turn", "level", "passage").distinct()
     votes = quoted.join(originals, ["conv_id", "passage"]).filter("original < turn").groupBy("conv_id", "turn", "level", "original").agg(F.count(F.lit(1)).alias("n"))
     return votes.groupBy("conv_id", "turn").agg(F.max_by("original", F.struct((-F.col("level")).alias("near"), "n", "original")).alias("parent"))
 
 
-def rooted(nodes: DataFrame) -> DataFrame:
-    """conv_id, turn, parent, root, depth by pointer jumping: the rounds are the logarithm of the deepest reply."""
-    state = nodes.select("conv_id", "turn", "parent", F.coalesce("parent", "turn").alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"))
-    moving = None
-    while True:
-        state = written(state, "roots")
-        sums = state.agg(F.sum("depth"), F.sum("root")).first()
-        if sums == moving:
-            return state
-        moving = sums
-        up = state.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"))
-        joined = state.join(up, ["conv_id", "root"], "left")
-        state = joined.select("conv_id", "turn", "parent", F.coalesce("up", "root").alias("root"), (F.col("depth") + F.coalesce("more", F.lit(0))).alias("depth"))
+def rooted(nodes: DataFrame, tables: Tables) -> DataFrame:
+    """conv_id, turn, parent, root, depth by pointer jumping: the rounds are the logarithm of the deepest reply. Rows go on
+    only until their pointer is at a root; each round's table goes when the next is written."""
+    pointer = F.coalesce("parent", "turn")
+    state = nodes.select("conv_id", "turn", "parent", pointer.alias("root"), F.when(F.col("parent").isNull(), 0).otherwise(1).cast("long").alias("depth"), F.col("parent").isNull().alias("ended"))
+    state = tables.written(state, "roots")
+    ended, moving = [state.filter("ended")], state.filter("not ended")
+    while not moving.isEmpty():
+        all_ = reduce(DataFrame.union, [*ended, moving])
+        up = all_.select("conv_id", F.col("turn").alias("root"), F.col("root").alias("up"), F.col("depth").alias("more"), F.col("ended").alias("up_ended"))
+        jumped = moving.drop("ended").join(up, ["conv_id", "root"])
+        state = tables.written(jumped.select("conv_id", "turn", "parent", F.col("up").alias("root"), (F.col("depth") + F.col("more")).alias("depth"), F.col("up_ended").alias("ended")), "roots")
+        ended, moving = [*ended, state.filter("ended")], state.filter("not ended")
+    return reduce(DataFrame.union, ended).drop("ended")
 
 
 def linked(messages: DataFrame, conversation: str = "conv_id", turn: str = "turn", text: str = "text") -> DataFrame:
     """Adds own_text, parent_turn, root_turn and reply_depth, in reply order."""
-    rows = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), lines(F.col(text)).alias("parsed"))
-    passages = rows.filter("conv_id is not null and turn is not null").select("conv_id", "turn", F.inline("parsed")).filter("passage is not null").select("conv_id", "turn", "level", "passage")
-    passages = written(passages, "passages")
-    nodes = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn")).filter("conv_id is not null and turn is not null").distinct()
-    tree = rooted(nodes.join(parents(passages), ["conv_id", "turn"], "left"))
+    tables = Tables(messages.sparkSession)
+    keyed = messages.select(F.col(conversation).alias("conv_id"), F.col(turn).alias("turn"), F.col(text).alias("text")).filter("conv_id is not null and turn is not null")
+    found = tables.written(keyed.select("conv_id", "turn", F.inline(passages(F.col("text")))), "passages")
+    tree = rooted(keyed.select("conv_id", "turn").distinct().join(parents(found), ["conv_id", "turn"], "left"), tables)
+    tables.drop(found)
     tree = tree.select(F.col("conv_id").alias("__conv"), F.col("turn").alias("__turn"), F.col("parent").alias("parent_turn"), F.col("root").alias("root_turn"), F.col("depth").alias("reply_depth"))
     added = ("own_text", "parent_turn", "root_turn", "reply_depth")
-    kept = messages.select(*(c for c in messages.columns if c not in added))
+    # own_text is made before the shuffles, so that the whole text moves only if it is asked for
+    kept = messages.select(*(c for c in messages.columns if c not in added), own_text(F.col(text)).alias("own_text"))
     out = kept.join(tree, (kept[conversation] == tree["__conv"]) & (kept[turn] == tree["__turn"]), "left").drop("__conv", "__turn")
-    return out.withColumn("own_text", own_text(lines(F.col(text)))).repartitionByRange(conversation, "root_turn", "reply_depth", turn).sortWithinPartitions(conversation, "root_turn", "reply_depth", turn)
+    return out.repartitionByRange(conversation, "root_turn", "reply_depth", turn).sortWithinPartitions(conversation, "root_turn", "reply_depth", turn)
 
 
 def replies(conversations: DataFrame) -> DataFrame:
