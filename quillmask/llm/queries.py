@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import bpe, cascade, compaction, graphann, mixing, neardup, quotes, resample, store, warc, wavelet
+from . import bpe, cascade, compaction, graphann, mixing, neardup, oracles, quotes, resample, store, warc, wavelet
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -84,5 +84,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 }
 
 SQL: dict[str, str] = {
+    "op3_quote_linking": oracles.OP3,
+    "op4_warc_revisits": oracles.OP4,
+    "op5_rule_cascade": oracles.OP5,
     "op6_tiered_shards": "SELECT doc_id, lang, source, n_chars, sha256(text) AS text_sha256 FROM documents",
+    "op9_bottom_k_near_duplicates": oracles.OP9,
 }
