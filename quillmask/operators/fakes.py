@@ -18,6 +18,7 @@ PLACEHOLDER = "Generated Signature"
 SUFFIXES = ("A.S.", "Ltd. Sti.", "Grup", "Holding", "Teknoloji", "Insaat", "Danismanlik")
 PREFIXES = ("Anadolu", "Akdeniz", "Bogazici", "Karadeniz", "Toros", "Ege", "Marmara", "Yildiz", "Atlas", "Altin", "Günes", "Demir", "Celik", "Kartal", "Bahar")
 DENIED = ("öcalan", "ocalan", "pkk", "apocular")
+ATTEMPTS = 10
 
 #: Our own names; the contract is a plausible name for each text, not particular ones.
 FIRST = ("Alice", "Brian", "Carla", "David", "Elena", "Frank", "Grace", "Henry", "Irene", "James", "Karen", "Louis", "Maria", "Nolan", "Olivia", "Peter")
@@ -105,9 +106,15 @@ def person(s: Column) -> Column:
     return F.concat_ws(" ", pick(FIRST, seed_mod(s, len(FIRST))), pick(LAST, seed_mod(s, len(LAST), len(FIRST))))
 
 
-def organization(s: Column) -> Column:
-    """A prefix and a suffix of the fixed lists; none of them holds a denied name."""
-    return F.concat_ws(" ", pick(PREFIXES, seed_mod(s, len(PREFIXES))), pick(SUFFIXES, seed_mod(s, len(SUFFIXES), len(PREFIXES))))
+def organization(s: Column, names: tuple[str, ...] = ()) -> Column:
+    """A firm of `names`: that of the seed, or the next of ATTEMPTS that holds no denied name. Without one (and without
+    names) a prefix and a suffix of the fixed lists."""
+    safe = F.concat_ws(" ", pick(PREFIXES, seed_mod(s, len(PREFIXES))), pick(SUFFIXES, seed_mod(s, len(SUFFIXES), len(PREFIXES))))
+    if not names:
+        return safe
+    tries = F.transform(F.sequence(F.lit(0), F.lit(ATTEMPTS - 1)), lambda k: pick(names, F.pmod(seed_mod(s, len(names)) + k, F.lit(len(names))).cast("int")))
+    allowed = F.filter(tries, lambda x: ~F.rlike(F.lower(x), F.lit("|".join(DENIED))))
+    return F.coalesce(F.get(allowed, F.lit(0)), safe)
 
 
 def email(text: Column, s: Column) -> Column:
@@ -122,7 +129,7 @@ def email(text: Column, s: Column) -> Column:
     return F.when(at == 0, F.concat(local, F.lit("@"), host, F.lit(".com"))).otherwise(shaped)
 
 
-def fake_value(pii_type: Column, text: Column, salt: Column | None = None) -> Column:
+def fake_value(pii_type: Column, text: Column, salt: Column | None = None, firms: tuple[str, ...] = ()) -> Column:
     """The replacement of a text by its type; null for types without one."""
     kind = F.upper(pii_type)
     return let(
@@ -133,7 +140,7 @@ def fake_value(pii_type: Column, text: Column, salt: Column | None = None) -> Co
         .when(kind == "IBAN", iban(text, s))
         .when(kind == "EMAIL", email(text, s))
         .when(kind == "PERSON", person(s))
-        .when(kind == "ORGANIZATION", organization(s))
+        .when(kind == "ORGANIZATION", organization(s, firms))
         .when(kind == "SIGNATURE", F.lit(PLACEHOLDER)),
     )
 
@@ -149,21 +156,33 @@ def mapping(found: DataFrame, order: Column, scope: str = "doc") -> DataFrame:
     return found.groupBy(*keys).agg(F.min_by("type", F.struct("doc_id", order)).alias("first_type"))
 
 
-def replacements(found: DataFrame, order: Column, run_key: str | None, scope: str = "doc", strict: bool = False) -> DataFrame:
+def replacements(found: DataFrame, order: Column, run_key: str | None, scope: str = "doc", strict: bool = False, known: DataFrame | None = None) -> DataFrame:
     """Detections with first_type, fake_text, unsupported (a type without replacement) and, for signatures, metadata. The first
-    detection of a text decides its value, whatever type later ones have. strict: an unsupported type is an error."""
+    detection of a text decides its value, whatever type later ones have. strict: an unsupported type is an error. known: values
+    given before (original_text, fake_text, and doc_id if they are a document's own), which are used again; see mapped_values()."""
     kind = F.upper("type")
-    known = kind.isin(*TYPES)
+    typed = kind.isin(*TYPES)
     if scope == "run":
-        rows = found.join(mapping(found.filter(known), order, scope), "original_text", "left")
+        rows = found.join(mapping(found.filter(typed), order, scope), "original_text", "left")
     else:  # a document's rows of one text are few, and a window reads the detections once
-        first = F.min_by("type", F.when(known, order)).over(Window.partitionBy("doc_id", "original_text"))
+        first = F.min_by("type", F.when(typed, order)).over(Window.partitionBy("doc_id", "original_text"))
         rows = found.withColumn("first_type", first)
-    supported = known
+    supported = typed
     if strict:
         supported = F.when(supported, F.lit(True)).otherwise(F.raise_error(F.concat(F.lit("no replacement for type "), F.coalesce(kind, F.lit("null")))).cast("boolean"))
     rows = rows.withColumn("type", kind)
     salt = None if run_key is None else run_salt(run_key, scope)
     metadata = F.when(F.col("type") == "SIGNATURE", F.struct(F.lit(True).alias("placeholder"), F.lit("pending").alias("signature_generation"), F.length("original_text").alias("original_length")))
     fake = F.when(supported, fake_value(F.col("first_type"), F.col("original_text"), salt))
-    return rows.withColumn("fake_text", fake).withColumn("unsupported", ~F.upper("type").isin(*TYPES)).withColumn("metadata", metadata)
+    if known is not None:
+        keys = [c for c in ("doc_id", "original_text") if c in known.columns]
+        given = known.groupBy(*keys).agg(F.min("fake_text").alias("given"))
+        rows = rows.join(given, keys, "left")
+        fake = F.when(supported, F.coalesce("given", fake))
+    return rows.withColumn("fake_text", fake).drop("given").withColumn("unsupported", ~F.upper("type").isin(*TYPES)).withColumn("metadata", metadata)
+
+
+def mapped_values(replaced: DataFrame, scope: str = "doc") -> DataFrame:
+    """The values that replacements() gave, for its `known`: a later run over other detections gives the same texts the same values."""
+    keys = ["original_text"] if scope == "run" else ["doc_id", "original_text"]
+    return replaced.filter("fake_text is not null").groupBy(*keys).agg(F.min("fake_text").alias("fake_text"))

@@ -94,6 +94,36 @@ def add_images(found: DataFrame, images: DataFrame) -> DataFrame:
 LABELS = {"PER": "PERSON", "PERSON": "PERSON", "ORG": "ORGANIZATION", "GPE": "LOCATION", "LOC": "LOCATION"}
 
 
+# Entity models that are tried when none is named, first found first.
+MODELS = ("tr_core_news_trf", "tr_core_news_lg", "tr_core_news_sm", "en_core_web_trf", "en_core_web_lg", "en_core_web_sm", "pl_core_news_lg", "pl_core_news_sm")
+
+
+def find_model(name: str | None = None, wanted: bool = True) -> tuple[Callable | None, str]:
+    """A loader for detect_entities() and the status that a result file has: disabled, enabled, or why there is no model. The model must be on the workers too."""
+    if not wanted:
+        return None, "disabled"
+    try:
+        import spacy
+    except ImportError:
+        return None, "unavailable: spaCy is not installed"
+    reasons = []
+    for candidate in (name,) if name else MODELS:
+        try:
+            spacy.load(candidate)
+        except Exception as exc:
+            reasons.append(f"{candidate}: {exc}")
+            continue
+
+        def load(found: str = candidate) -> Callable[[str], list[tuple[str, int, int]]]:
+            import spacy
+
+            model = spacy.load(found)
+            return lambda text: [(e.label_, e.start_char, e.end_char) for e in model(text).ents]
+
+        return load, "enabled"
+    return None, "unavailable: " + "; ".join(reasons)
+
+
 def label_type(label: Column) -> Column:
     out = F.when(F.lit(False), F.lit(""))
     for name, kind in LABELS.items():

@@ -34,9 +34,9 @@ def detect_pii(layout: Layout, min_confidence: float = 0.0, model: Callable | No
     return dedup.at_least(dedup.deduplicate(raw_detections(layout, model), by_text), min_confidence)
 
 
-def build_replacements(found: DataFrame, run_key: str | None = "", scope: str = "doc", strict: bool = False) -> DataFrame:
-    """run_key: '' draws one for this call; None uses no salt."""
-    return fake.replacements(found, dedup.order_key(), secrets.token_hex(8) if run_key == "" else run_key, scope, strict)
+def build_replacements(found: DataFrame, run_key: str | None = "", scope: str = "doc", strict: bool = False, known: DataFrame | None = None) -> DataFrame:
+    """run_key: '' draws one for this call; None uses no salt. known: values of an earlier call, to be used again."""
+    return fake.replacements(found, dedup.order_key(), secrets.token_hex(8) if run_key == "" else run_key, scope, strict, known)
 
 
 def run_pipeline(layout: Layout, run_key: str | None = "", min_confidence: float = 0.0) -> tuple[DataFrame, DataFrame, DataFrame]:

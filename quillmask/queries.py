@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from .functions import columns as c
 from .operators import dedup, fakes, fields, lines, plan, rules
 from .plans import pipeline
-from .sources import forms, layout
+from .sources import forms, layout, redaction
 
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
@@ -176,11 +176,13 @@ def q_lines_grouped(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_box(lines.group_lines(form_layout(spark, sf_dir).blocks).drop("segments", "page"))
 
 
-@query(f"WITH {V} SELECT k AS doc_id, 0 AS segment_no, 'Name:' AS text, 0 AS \"start\", 5 AS \"end\" FROM v UNION ALL SELECT k, 1, person, 6, 6 + length(person)::INT FROM v")
+_NUMBERED = f"{_LINE_TEXTS}, n AS (SELECT k, o, text, (row_number() OVER (PARTITION BY k ORDER BY o) - 1)::INT AS line_no FROM t)"
+
+
+@query(f"{_NUMBERED} SELECT k AS doc_id, line_no, 0 AS segment_no, CASE WHEN o = 1 THEN 'Name:' ELSE text END AS text, 0 AS \"start\", CASE WHEN o = 1 THEN 5 ELSE length(text) END::INT AS \"end\" FROM n UNION ALL SELECT k, line_no, 1, substr(text, 7), 6, length(text)::INT FROM n WHERE o = 1")
 def q_line_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.group_lines(form_layout(spark, sf_dir).blocks).filter("line_no = 0")
-    rows = found.select("doc_id", F.posexplode("segments").alias("segment_no", "s"))
-    return rows.select("doc_id", "segment_no", "s.text", "s.start", "s.end")
+    rows = lines.group_lines(form_layout(spark, sf_dir).blocks).select("doc_id", "line_no", F.posexplode("segments").alias("segment_no", "s"))
+    return rows.select("doc_id", "line_no", "segment_no", "s.text", "s.start", "s.end")
 
 
 # rules on real text
@@ -216,10 +218,12 @@ def q_phone_doc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _in_text(spark, sf_dir, "documents", "doc_id", "text", named_rule("phone"))
 
 
-@query("SELECT doc_id, x AS digits FROM (SELECT doc_id, unnest(regexp_split_to_array(text, '[^0-9]+')) AS x FROM documents) WHERE regexp_full_match(x, '[1-9][0-9]{10}')")
+@query(f"WITH {V}, c AS (SELECT doc_id, unnest(regexp_split_to_array(text, '[^0-9]+')) AS digits FROM documents UNION ALL SELECT k, tc FROM v UNION ALL SELECT k, student FROM v) SELECT doc_id, digits FROM c WHERE regexp_full_match(digits, '[1-9][0-9]{{10}}')")
 def q_tc_candidates(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").filter(F.col("text").rlike(r"[0-9]{11}"))
-    return docs.select("doc_id", F.explode(rules.matches(F.col("text"), rules.NATIONAL_ID, 0)).alias("m")).select("doc_id", F.col("m.raw").alias("digits"))
+    """Runs of eleven digits, right or wrong, in the documents and on the forms."""
+    texts = table(spark, sf_dir, "documents").select("doc_id", "text").union(lines.group_lines(form_layout(spark, sf_dir).blocks).select("doc_id", "text"))
+    found = texts.filter(F.col("text").rlike(r"[0-9]{11}")).select("doc_id", F.explode(rules.matches(F.col("text"), rules.NATIONAL_ID, 0)).alias("m"))
+    return found.select("doc_id", F.col("m.raw").alias("digits"))
 
 
 @query(_truth("tc", "tc2"))
@@ -310,12 +314,12 @@ def q_sub_bbox(spark: SparkSession, sf_dir: str) -> DataFrame:
     return got.select("p_partkey", c.exact_round(F.col("b.x0"), 2).alias("x0"), c.exact_round(F.col("b.x1"), 2).alias("x1"))
 
 
-@query(f"WITH {V} SELECT k AS doc_id, 'Body' AS whole_font, 'Bold' AS value_font, 12.0 AS value_size, 65793 AS value_color FROM v WHERE length(person) <= 5 UNION ALL SELECT k, 'Bold', 'Bold', 12.0, 65793 FROM v WHERE length(person) > 5")
+@query(f"{_NUMBERED} SELECT k AS doc_id, line_no, CASE WHEN o = 1 AND length(text) > 11 THEN 'Bold' ELSE 'Body' END AS whole_font, CASE WHEN o = 1 THEN 'Bold' ELSE 'Body' END AS value_font, 12.0 AS value_size, (o * 65793)::INT AS value_color FROM n")
 def q_span_style(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = lines.group_lines(form_layout(spark, sf_dir).blocks).filter("line_no = 0")
+    found = lines.group_lines(form_layout(spark, sf_dir).blocks)
     whole = lines.span_style(F.col("segments"), F.lit(0), F.length("text"))
     value = lines.span_style(F.col("segments"), F.lit(3), F.length("text") - 1)
-    return found.select("doc_id", whole["font"].alias("whole_font"), value["font"].alias("value_font"), value["size"].alias("value_size"), value["color"].alias("value_color"))
+    return found.select("doc_id", "line_no", whole["font"].alias("whole_font"), value["font"].alias("value_font"), value["size"].alias("value_size"), value["color"].alias("value_color"))
 
 
 # detections
@@ -504,6 +508,24 @@ def q_replacements(spark: SparkSession, sf_dir: str) -> DataFrame:
     return flat_box(checked.select("doc_id", "type", "original_text", "first_type", "unsupported", F.col("metadata.original_length").alias("original_length"), "box"))
 
 
+_VALUES = f"""CASE first_type WHEN 'TURKISH_ID' THEN {_fill_sql("o", _TC_NEW)}
+  WHEN 'STUDENT_ID' THEN CASE WHEN o[1] <> '0' AND s % 10 = 0 THEN '1' || substr({_run_sql("length(o)")}, 2) ELSE {_run_sql("length(o)")} END
+  WHEN 'PHONE' THEN CASE WHEN starts_with(o, '+90') THEN '+90' || {_fill_sql('substr(o, 4)', _PHONE_NEW)} ELSE {_fill_sql('o', _PHONE_NEW)} END
+  WHEN 'IBAN' THEN {_fill_sql("o", "('TR' || " + _run_sql("24") + ")", "[A-Za-z0-9]")}
+  WHEN 'EMAIL' THEN rpad({_LOCAL}, greatest(instr(o, '@') - 1, 3)::INT, 'x') || '@' || {_pick_sql(fakes.HOSTS, 1000)} || '.com'
+  WHEN 'PERSON' THEN {_pick_sql(fakes.FIRST)} || ' ' || {_pick_sql(fakes.LAST, len(fakes.FIRST))}
+  WHEN 'ORGANIZATION' THEN {_pick_sql(fakes.PREFIXES)} || ' ' || {_pick_sql(fakes.SUFFIXES, len(fakes.PREFIXES))}
+  WHEN 'SIGNATURE' THEN '{fakes.PLACEHOLDER}' END"""
+_DOC_SEED = f"('0x' || substr(sha256(substr(sha256('{SALT}/' || doc_id), 1, 16) || ':' || original_text), 1, 16))::UBIGINT"
+
+
+@query(f"{_FIRST}, f AS (SELECT doc_id, original_text, original_text AS o, first_type, {_DOC_SEED} AS s FROM m){_TC_MORE}, w AS (SELECT doc_id, original_text, {_VALUES} AS value FROM h) SELECT kept.doc_id, type, original_text, y0, CASE WHEN type IN {_SUPPORTED} THEN value END AS fake_text FROM kept LEFT JOIN w USING (doc_id, original_text)")
+def q_replacement_values(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values of a run, salted by document."""
+    rows = pipeline.build_replacements(pipeline.detect_pii(form_layout(spark, sf_dir)), SALT)
+    return rows.select("doc_id", "type", "original_text", F.col("box.y0").alias("y0"), "fake_text")
+
+
 _COLOR = "CASE type WHEN 'PERSON' THEN 1 WHEN 'PHONE' THEN 2 WHEN 'EMAIL' THEN 3 WHEN 'TURKISH_ID' THEN 4 WHEN 'IBAN' THEN 5 WHEN 'STUDENT_ID' THEN 6 WHEN 'ORGANIZATION' THEN 7 END"
 _MAP = f"{KEPT}, s AS (SELECT doc_id, original_text, last(CASE WHEN type = 'PHONE' AND y0 = 210 OR type = 'TURKISH_ID' AND y0 = 210 THEN 6 ELSE {_COLOR} END ORDER BY y0, x0, type, -confidence) AS block FROM kept GROUP BY ALL), a AS (SELECT kept.doc_id, type AS pii_type, original_text, x0, y0, x1, y1, CASE WHEN block = 1 THEN 'Bold' WHEN block > 1 THEN 'Body' END AS font, CASE WHEN block >= 1 THEN 12.0 END AS size, coalesce(block * 65793, 0)::INT AS color FROM kept JOIN s USING (doc_id, original_text))"
 
@@ -520,6 +542,13 @@ def q_redaction_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return planned.select("doc_id", "pii_type", "original_text", F.col("redact_box.x0").alias("redact_x0"), F.col("redact_box.x1").alias("redact_x1"), F.col("insert_box.x1").alias("insert_x1"), F.col("rgb.b").alias("blue"), c.exact_round(F.element_at("font_sizes", 5), 2).alias("least_size"))
 
 
+@query(f"{_MAP} SELECT doc_id, 1 AS page, count(*)::INT AS n, string_agg(pii_type || '=' || original_text, '|' ORDER BY y0, x0, pii_type, original_text) AS redactions FROM a GROUP BY doc_id")
+def q_redactions_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
+    _, _, planned = pipeline.run_pipeline(form_layout(spark, sf_dir), SALT)
+    named = F.transform("redactions", lambda r: F.concat_ws("=", r["pii_type"], r["original_text"]))
+    return redaction.by_page(planned).select("doc_id", "page", F.size("redactions").alias("n"), F.array_join(named, "|").alias("redactions"))
+
+
 @query("SELECT doc_id FROM documents WHERE NOT list_bool_or(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, '" + _EMAIL + "')))")
 def q_no_pii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without an e-mail address."""

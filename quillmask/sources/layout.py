@@ -74,14 +74,35 @@ def write_json(rows: DataFrame, path: str) -> None:
     rows.select(*(as_list(F.col(c)).alias(c.replace("box", "bbox")) if c in boxes else F.col(c) for c in rows.columns)).write.json(path)
 
 
-def envelope(found: DataFrame) -> DataFrame:
-    """A document's detections with their counts by type, as a result file has them. One document meets in one row."""
+def envelope(found: DataFrame, ner_status: str = "disabled") -> DataFrame:
+    """A document's detections with their counts by type, as a result file has them. One document meets in one row. ner_status: what fields.find_model() says of the entity model."""
     row = F.struct("page", "type", "original_text", as_list(F.col("box")).alias("bbox"), "confidence", "method", "rule", "font", "size", "color")
     order = F.struct("page", F.col("box")["y0"], F.col("box")["x0"], "ord")
     rows = found.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), row.alias("d")))), lambda x: x["d"]).alias("detections"))
     counts = found.groupBy("doc_id", "type").agg(F.count(F.lit(1)).alias("n")).groupBy("doc_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("type", "n")))).alias("summary"))
     # The tags of the result format.
-    return rows.join(counts, "doc_id").select("doc_id", F.lit("person2-pii-v1").alias("schema_version"), F.lit("disabled").alias("ner_status"), "detections", "summary")
+    return rows.join(counts, "doc_id").select("doc_id", F.lit("person2-pii-v1").alias("schema_version"), F.lit("Person 2 - PII Detection").alias("source"), F.lit(ner_status).alias("ner_status"), "detections", "summary")
+
+
+def replacement_envelope(replaced: DataFrame) -> DataFrame:
+    """A document's replacements as a result file has them: doc_id, replacements."""
+    row = F.struct("page", "type", "original_text", "fake_text", as_list(F.col("box")).alias("bbox"), "metadata")
+    order = F.struct("page", F.col("box")["y0"], F.col("box")["x0"], "type", "original_text")
+    return replaced.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), row.alias("d")))), lambda x: x["d"]).alias("replacements"))
+
+
+def map_envelope(mapped: DataFrame) -> DataFrame:
+    """A document's anonymisation map as a result file has it: doc_id, redactions."""
+    names = ("original_text", "fake_text", "pii_type", "font", "size", "color", "is_handwritten", "is_signature")
+    row = F.struct("page", as_list(F.col("box")).alias("bbox"), *names)
+    order = F.struct("page", F.col("box")["y0"], F.col("box")["x0"], "pii_type", "original_text")
+    return mapped.groupBy("doc_id").agg(F.transform(F.array_sort(F.collect_list(F.struct(order.alias("o"), row.alias("d")))), lambda x: x["d"]).alias("redactions"))
+
+
+def result_files(envelopes: DataFrame, suffix: str, bare: str | None = None) -> DataFrame:
+    """name and content (JSON text, indented) of one file a document, for redaction.save_files(). bare: the column that is the whole file."""
+    body = F.col(bare) if bare else F.struct(*(c for c in envelopes.columns if c != "doc_id"))
+    return envelopes.select(F.concat(F.col("doc_id").cast("string"), F.lit(suffix)).alias("name"), F.to_json(body, {"pretty": "true", "ignoreNullFields": "false"}).alias("content"))
 
 
 # scans
