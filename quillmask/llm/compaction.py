@@ -3,7 +3,8 @@
 Arrivals are appended as small immutable Parquet shards. Shards are in tiers by size, each `fan` times the one below;
 when a tier has `fan` shards they are merged into one, until a shard has the target size. Each change is a new version
 of the manifest, a small file that is written aside and renamed to its number: the rename fails if another writer has
-taken the number, so a reader sees one version or the other, never a mixture. Merging reads each group's files in one
+taken the number, so a reader sees one version or the other, never a mixture (a rename is atomic where the file system's is).
+A writer that comes second reads the new version and tries again. Merging reads each group's files in one
 task and writes one file, without a shuffle; a task that is lost is run again by Spark's commit protocol, and files of
 a failed attempt are in no manifest.
 
@@ -16,6 +17,7 @@ from __future__ import annotations
 import json
 import math
 import uuid
+from collections.abc import Callable
 from dataclasses import asdict, dataclass
 from functools import reduce
 
@@ -25,6 +27,8 @@ from pyspark.sql import types as T
 
 #: Groups merged by one job.
 GROUPS = 32
+#: Times that a commit is tried while other writers are first.
+TRIES = 20
 
 
 @dataclass(frozen=True)
@@ -100,8 +104,22 @@ class ShardedTable:
         return self._write(df, f"data/arrival-{uuid.uuid4().hex}", rows_per_file)
 
     def append(self, files: list[File], schema: T.StructType) -> int:
-        version, _, old = self.manifest()
-        return self.commit(version, schema.json(), old + files)
+        """Adds staged files in a new version. Where another writer was first, its version is read and the commit tried again."""
+        return self._committed(lambda old: old + files, schema.json())
+
+    def _committed(self, change: Callable[[list[File]], list[File] | None], schema: str | None = None) -> int | None:
+        """Commits what `change` makes of the latest version's files. Returns the new version; None, and nothing is committed, if that is None."""
+        for _ in range(TRIES):
+            version, known, files = self.manifest()
+            new = change(files)
+            if new is None:
+                return None
+            try:
+                return self.commit(version, schema or known, new)
+            except Exception:
+                if version + 1 not in self.versions():
+                    raise
+        raise RuntimeError(f"{TRIES} other writers were first")
 
     def tier(self, f: File) -> int:
         return max(0, math.ceil(math.log(max(f.bytes, 1) / self.least, self.fan)))
@@ -134,7 +152,13 @@ class ShardedTable:
             gone = {f.path for g in groups for f in g}
             if sum(f.rows for f in made) != sum(f.rows for f in files if f.path in gone):
                 raise AssertionError("merged shards don't have the rows of their sources")
-            self.commit(version, schema, [f for f in files if f.path not in gone] + made)
+
+            def merged(now: list[File], gone: set[str] = gone, made: list[File] = made) -> list[File] | None:
+                """None if another writer has merged some of the sources already."""
+                return [f for f in now if f.path not in gone] + made if gone <= {f.path for f in now} else None
+
+            if self._committed(merged) is None:
+                self._system().delete(self._path(made[0].path.rpartition("/")[0]), True)  # their rows are in the other writer's files
             self.expire()
 
     def expire(self) -> None:
