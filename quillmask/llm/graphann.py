@@ -25,9 +25,11 @@ from pyspark.sql import functions as F
 
 from .store import written
 
-#: Nodes of a shard, about; queries of a block.
-SHARD_NODES, QUERY_BLOCK = 4096, 4096
+#: Nodes of a shard, about; queries of a block; blocks that one task puts to a shard.
+SHARD_NODES, QUERY_BLOCK, TASK_BLOCKS = 4096, 4096, 16
 DEGREE, ALPHA, BUILD_BEAM, BEAM = 32, 1.2, 64, 96
+#: Nodes of a shard where searches begin.
+ENTRIES = 32
 SALTS = 64
 
 
@@ -55,14 +57,17 @@ def distances(x: np.ndarray, points: np.ndarray) -> np.ndarray:
     return np.einsum("nmd,nmd->nm", d, d)
 
 
-def beam(points: np.ndarray, graph: np.ndarray, entry: int, queries: np.ndarray, width: int, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
-    """Best-first search of all queries together. Returns the `width` nearest found (ids, squared distances; -1 and inf where fewer) and, if asked, what each query expanded."""
+def beam(points: np.ndarray, graph: np.ndarray, entry: np.ndarray, queries: np.ndarray, width: int, keep: bool = False) -> tuple[np.ndarray, np.ndarray, list[np.ndarray]]:
+    """Best-first search of all queries together, from the nodes of `entry` (`width` at most). Returns the `width` nearest found (ids, squared distances; -1 and inf where fewer) and, if asked, what each query expanded."""
     n, m = len(queries), len(points)
     ids = np.full((n, width), -1, np.int64)
     dist = np.full((n, width), np.inf, np.float32)
     done = np.ones((n, width), bool)
-    ids[:, 0], done[:, 0] = entry, False
-    dist[:, 0] = distances(queries, np.broadcast_to(points[entry], (n, 1, points.shape[1])))[:, 0]
+    first = distances(queries, np.broadcast_to(points[entry], (n, len(entry), points.shape[1])))
+    order = np.argsort(first, 1, kind="stable")
+    at = np.arange(len(entry))
+    ids[:, at], done[:, at] = entry[order], False
+    dist[:, at] = np.take_along_axis(first, order, 1)
     seen = np.zeros((n, m), bool)
     seen[:, entry] = True
     steps: list[tuple[np.ndarray, np.ndarray]] = []
@@ -114,12 +119,14 @@ def pruned(points: np.ndarray, at: int, candidates: np.ndarray, degree: int, alp
     return c[kept]
 
 
-def build(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, width: int = BUILD_BEAM, seed: int = 1, batch: int = 256) -> tuple[np.ndarray, int]:
-    """The graph (a row of neighbours per point, -1 where fewer) and the point where searches begin."""
+def build(points: np.ndarray, degree: int = DEGREE, alpha: float = ALPHA, width: int = BUILD_BEAM, seed: int = 1, batch: int = 256) -> tuple[np.ndarray, np.ndarray]:
+    """The graph (a row of neighbours per point, -1 where fewer) and the points where searches begin: the medoid, and others by
+    chance, as points in clusters may not be reached from one."""
     n = len(points)
     degree = min(degree, max(1, n - 1))
     rng = np.random.default_rng(seed)
-    entry = int(((points - points.mean(0)) ** 2).sum(1).argmin())
+    medoid = int(((points - points.mean(0)) ** 2).sum(1).argmin())
+    entry = np.unique(np.append(rng.choice(n, min(n, ENTRIES - 1), replace=False), medoid))
     graph = np.full((n, degree), -1, np.int64)
     for i in range(n if n > 1 else 0):
         pick = rng.integers(0, n - 1, degree)
@@ -155,7 +162,7 @@ def lengthened(x: np.ndarray, most: float | None = None) -> tuple[np.ndarray, fl
     return np.hstack((x, np.sqrt(np.maximum(most - square, 0))[:, None])).astype(np.float32), most
 
 
-INDEX = "shard int, entry int, dim int, nodes binary, vectors binary, graph binary"
+INDEX = "shard int, entry binary, dim int, nodes binary, vectors binary, graph binary"
 
 
 def indexed(found: DataFrame, shards: int) -> DataFrame:
@@ -167,25 +174,31 @@ def indexed(found: DataFrame, shards: int) -> DataFrame:
         x = np.array(t.column("v").to_pylist(), np.float64)[order]
         points, _ = lengthened(x)
         graph, entry = build(points)
-        row = {"shard": [t.column("shard")[0].as_py()], "entry": [entry], "dim": [x.shape[1]], "nodes": [ids[order].astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()]}
-        return pa.table(row, pa.schema([("shard", pa.int32()), ("entry", pa.int32()), ("dim", pa.int32()), ("nodes", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary())]))
+        row = {"shard": [t.column("shard")[0].as_py()], "entry": [entry.astype("<i4").tobytes()], "dim": [x.shape[1]], "nodes": [ids[order].astype("<i8").tobytes()], "vectors": [x.astype("<f8").tobytes()], "graph": [graph.astype("<i4").tobytes()]}
+        return pa.table(row, pa.schema([("shard", pa.int32()), ("entry", pa.binary()), ("dim", pa.int32()), ("nodes", pa.binary()), ("vectors", pa.binary()), ("graph", pa.binary())]))
 
     dealt = found.withColumn("shard", F.pmod(F.xxhash64("v"), F.lit(shards)).cast("int"))
     return dealt.select("shard", "node", "v").groupBy("shard").applyInArrow(make, INDEX)
 
 
-def search_shard(index: dict, queries: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Ids and exact scores of the k best nodes that the beam found for each query (-1 where fewer)."""
-    ids = np.frombuffer(index["nodes"], "<i8")
-    x = np.frombuffer(index["vectors"], "<f8").reshape(len(ids), index["dim"])
-    graph = np.frombuffer(index["graph"], "<i4").reshape(len(ids), -1)
-    points, most = lengthened(x)
-    lengths = np.maximum(np.sqrt((queries**2).sum(1, keepdims=True)), 1e-300)
-    found, _, _ = beam(points, graph, index["entry"], lengthened(queries / lengths * math.sqrt(most), most)[0], width)
-    scores = np.where(found >= 0, np.einsum("qd,qmd->qm", queries, x[np.maximum(found, 0)]), -np.inf)
-    best = np.lexsort((np.where(found >= 0, ids[np.maximum(found, 0)], 2**62), -scores), axis=1)[:, :k]
-    picked = np.take_along_axis(found, best, 1)
-    return np.where(picked >= 0, ids[np.maximum(picked, 0)], -1), np.take_along_axis(scores, best, 1)
+class Shard:
+    """A shard's graph and vectors, ready to be searched."""
+
+    def __init__(self, index: dict):
+        self.ids = np.frombuffer(index["nodes"], "<i8")
+        self.x = np.frombuffer(index["vectors"], "<f8").reshape(len(self.ids), index["dim"])
+        self.graph = np.frombuffer(index["graph"], "<i4").reshape(len(self.ids), -1)
+        self.entry = np.frombuffer(index["entry"], "<i4")
+        self.points, self.most = lengthened(self.x)
+
+    def search(self, queries: np.ndarray, k: int, width: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids and exact scores of the k best nodes that the beam found for each query (-1 where fewer)."""
+        lengths = np.maximum(np.sqrt((queries**2).sum(1, keepdims=True)), 1e-300)
+        found, _, _ = beam(self.points, self.graph, self.entry, lengthened(queries / lengths * math.sqrt(self.most), self.most)[0], width)
+        scores = np.where(found >= 0, np.einsum("qd,qmd->qm", queries, self.x[np.maximum(found, 0)]), -np.inf)
+        best = np.lexsort((np.where(found >= 0, self.ids[np.maximum(found, 0)], 2**62), -scores), axis=1)[:, :k]
+        picked = np.take_along_axis(found, best, 1)
+        return np.where(picked >= 0, self.ids[np.maximum(picked, 0)], -1), np.take_along_axis(scores, best, 1)
 
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_nodes: int = SHARD_NODES, width: int = BEAM) -> DataFrame:
@@ -195,21 +208,32 @@ def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec
     index = written(indexed(found, shards), "graphs")
     asked = usable(queries, key, vector).dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).cast("int"))
     blocks = asked.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))  # QUERY_BLOCK queries or so
-    work = index.join(blocks.withColumn("shard", F.explode(F.sequence(F.lit(0), F.lit(shards - 1)))), "shard").repartition(shards, "shard", "block")
+    # a task gets a shard's index first and then, one after another, the blocks that it puts to it
+    slices = max(1, -(-queries.count() // (QUERY_BLOCK * TASK_BLOCKS)))
+    parts = ("entry", "dim", "nodes", "vectors", "graph")
+    first = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(-1).alias("block"), *parts, F.lit(None).cast(blocks.schema["asked"].dataType).alias("asked"))
+    none = [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in parts]
+    then = blocks.select(F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), (F.col("block") % slices).alias("slice"), "block", *none, "asked")
+    work = first.union(then).repartition(shards * slices, "shard", "slice").sortWithinPartitions("shard", "slice", "block")
 
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, shard = None, None
         for batch in batches:
             for i in range(batch.num_rows):
-                row = {c: batch.column(c)[i].as_py() for c in ("entry", "dim", "nodes", "vectors", "graph")}
+                if batch.column("block")[i].as_py() < 0:
+                    at, shard = batch.column("shard")[i].as_py(), Shard({c: batch.column(c)[i].as_py() for c in parts})
+                    continue
+                if batch.column("shard")[i].as_py() != at:
+                    continue  # a shard without nodes
                 of = batch.column("asked")[i].values
                 ids, v = of.field("id").to_numpy(), np.array(of.field("v").to_pylist(), np.float64)
-                for at in range(0, len(ids), 512):
-                    got, scores = search_shard(row, v[at : at + 512], k + 1, width)
-                    q = np.repeat(ids[at : at + 512], got.shape[1])
+                for k0 in range(0, len(ids), 512):
+                    got, scores = shard.search(v[k0 : k0 + 512], k + 1, width)
+                    q = np.repeat(ids[k0 : k0 + 512], got.shape[1])
                     ok = got.ravel() >= 0
                     yield pa.RecordBatch.from_arrays([pa.array(q[ok]), pa.array(got.ravel()[ok]), pa.array(scores.ravel()[ok])], ["query_id", "node", "score"])
 
-    hits = work.select("entry", "dim", "nodes", "vectors", "graph", "asked").mapInArrow(search, "query_id long, node long, score double")
+    hits = work.select("shard", "block", *parts, "asked").mapInArrow(search, "query_id long, node long, score double")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "node")
     top = hits.withColumn("r", F.row_number().over(best)).filter(F.col("r") <= k + 1).drop("r")
     rows = top.join(found.select("node", "ids"), "node").select("query_id", F.explode("ids").alias("vec_id"), "score").filter("vec_id <> query_id").distinct()
