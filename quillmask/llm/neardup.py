@@ -26,7 +26,6 @@ from __future__ import annotations
 
 import hashlib
 import math
-import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
@@ -39,14 +38,14 @@ from pyspark.sql import functions as F
 from .sieve import bitmap, sieved
 from .store import Tables, batches_of
 
-WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 REMEMBERED = 300_000
 #: Counters of the table that orders values from rare to common.
 COUNTERS = 1 << 20
 CHUNK = 1 << 12
 #: Members of a side of a tile.
 TILE = 512
+#: What a list has in common after the first round: the pivot, and either a value that it lacks or being near it.
+KEYS = ["group", "near", "value"]
 #: Runs that the members of a hot value are dealt to.
 RUNS = 64
 
@@ -86,7 +85,7 @@ class Settings:
 
 
 class Hashes(dict):
-    def __missing__(self, word: str) -> int:
+    def __missing__(self, word: bytes) -> int:
         import xxhash
 
         h = xxhash.xxh64_intdigest(word)
@@ -99,8 +98,8 @@ _HASHES = Hashes()
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
-    """Sorted distinct 64-bit hashes of a text's shingles."""
-    ws = WORDS((text or "").translate(LOWER))
+    """Sorted distinct 64-bit hashes of a text's shingles. Of bytes, lower() and split() know ASCII's letters and white space alone."""
+    ws = (text or "").encode().lower().split()
     if not ws:
         return np.zeros(0, np.uint64)
     h = np.array(list(map(_HASHES.__getitem__, ws)), np.uint64)
@@ -110,7 +109,8 @@ def shingles(text: str | None, words: int) -> np.ndarray:
     for i in range(width):
         out = (out ^ (out >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9) + h[i : i + n]
     out = (out ^ (out >> np.uint64(30))) * np.uint64(0x94D049BB133111EB)
-    return np.unique(out ^ (out >> np.uint64(31)))
+    out = np.sort(out ^ (out >> np.uint64(31)))
+    return out[np.concatenate(([True], out[1:] != out[:-1]))]
 
 
 def signed(values: list[np.ndarray]) -> pa.Array:
@@ -366,13 +366,13 @@ def _links(classes: DataFrame, docs: DataFrame, s: Settings, key: str, text: str
         links = tables.written(links.union(direct), "links")
         lists = tables.written(_relisted(members, components(links, tables)), "lists")
         tables.drop(meetings, members)
-        short = short_pairs(lists.filter(F.col("members") <= s.later), ["group", "value"], ["doc", "n", "of"], lambda x, y: (x["of"] != y["of"]) & similar_sizes(s, x, y))
+        short = short_pairs(lists.filter(F.col("members") <= s.later), KEYS, ["doc", "n", "of"], lambda x, y: (x["of"] != y["of"]) & similar_sizes(s, x, y))
         found = confirmed(tables.written(short, "pairs"), sets, s, tables)
         long = lists.filter(F.col("members") > s.later)
         if level < s.levels - 1:
             meetings = tables.written(_meetings(long), "meetings")
         else:
-            found = found.union(confirmed(tables.written(tile_pairs(long, ["group", "value"], s), "tiles"), sets, s, tables))
+            found = found.union(confirmed(tables.written(tile_pairs(long, KEYS, s), "tiles"), sets, s, tables))
         links = tables.written(links.union(found), "links")
         tables.drop(lists)
     return links
@@ -384,15 +384,15 @@ def _meetings(long: DataFrame) -> DataFrame:
 
 
 def _relisted(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Lists by group (the pivot met) and value outside it, null for those near it, that have members of different
-    components: group, value, doc, n, score, of, members, pivot."""
-    named = members.withColumnRenamed("pivot", "group").join(component, "doc", "left").withColumn("of", F.coalesce("component", "doc"))
+    """Lists by group (the pivot met) and value outside it, or of those near it, that have members of different components:
+    KEYS, doc, n, score, of, members, pivot."""
+    named = members.withColumnRenamed("pivot", "group").withColumnRenamed("near", "is_near").join(component, "doc", "left").withColumn("of", F.coalesce("component", "doc"))
     several = named.groupBy("group").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("group")
-    under = F.concat("outside", F.when(F.col("near"), F.array(F.lit(None).cast("long"))).otherwise(F.array().cast("array<bigint>")))
-    rows = named.join(several, "group", "left_semi").select("group", F.explode(under).alias("value"), "doc", "n", "score", "of")
-    lists = rows.groupBy("group", "value").agg(F.count(F.lit(1)).alias("members"), pivot().alias("pivot"), F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high")
-    same = (F.col("r.group") == F.col("l.group")) & F.col("r.value").eqNullSafe(F.col("l.value"))
-    return rows.alias("r").join(lists.alias("l"), same).select("r.*", "l.members", "l.pivot")
+    key = lambda near, value: F.struct(F.lit(near).alias("near"), value.cast("long").alias("value"))
+    under = F.concat(F.transform("outside", lambda v: key(False, v)), F.when(F.col("is_near"), F.array(key(True, F.lit(0)))).otherwise(F.array().cast("array<struct<near:boolean,value:bigint>>")))
+    rows = named.join(several, "group", "left_semi").select("group", "doc", "n", "score", "of", F.inline(under))
+    lists = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("members"), pivot().alias("pivot"), F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high")
+    return rows.join(lists.drop("low", "high"), KEYS)
 
 
 def _repeats(some: DataFrame, reps: DataFrame) -> DataFrame:
