@@ -15,11 +15,12 @@ read.
 
 from __future__ import annotations
 
+import gc
 import json
 import os
 import struct
 import zlib
-from collections.abc import Callable, Iterator
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,7 +29,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .chunks import Chunked
+from . import remember
+from .bpe import byte_alphabet
+from .chunks import Chunked, packed, splitter
 
 MAGIC = b"QWM1"
 BLOCK = 512
@@ -40,11 +43,13 @@ def planes_of(ids: np.ndarray, bits: int) -> Iterator[tuple[np.ndarray, int]]:
     """From the highest bit: the packed plane, and how many of its bits are 0."""
     now = ids
     for bit in range(bits - 1, -1, -1):
-        plane = ((now >> ids.dtype.type(bit)) & ids.dtype.type(1)).astype(bool)
-        ones, zeros = np.flatnonzero(plane), np.flatnonzero(~plane)
+        if bit == 7:
+            now = now.astype(np.uint8)  # half as much to move
+        plane = (now & now.dtype.type(1 << bit)).astype(bool)
+        zeros = np.compress(~plane, now)
         yield np.packbits(plane, bitorder="little"), len(zeros)
         if bit:
-            now = np.concatenate((now.take(zeros), now.take(ones)))
+            now = np.concatenate((zeros, np.compress(plane, now)))
 
 
 def block_ranks(plane: np.ndarray) -> np.ndarray:
@@ -162,13 +167,15 @@ class Shard:
 
     def ids(self) -> np.ndarray:
         """All tokens: the partitions are undone from the last plane to the first."""
-        kind = np.uint16 if self.bits <= 16 else np.uint32
-        out = np.zeros(self.tokens, kind)
+        out = np.zeros(self.tokens, np.uint8)
         for k in range(self.bits - 1, -1, -1):
+            bit = self.bits - 1 - k
+            if bit in (8, 16):
+                out = out.astype(np.uint16 if bit == 8 else np.uint32)
             plane = np.unpackbits(self.section(f"plane{k}", "u1"), count=self.tokens, bitorder="little").view(bool)
             back = np.empty_like(out)
             back[np.flatnonzero(~plane)] = out[: self.zeros[k]]
-            back[np.flatnonzero(plane)] = out[self.zeros[k] :] | kind(1 << (self.bits - 1 - k))
+            back[np.flatnonzero(plane)] = out[self.zeros[k] :] | out.dtype.type(1 << bit)
             out = back
         return out
 
@@ -182,29 +189,41 @@ def shards_in(data: bytes) -> Iterator[Shard]:
         at += shard.length + 1
 
 
-def json_tokenizer(text: str) -> tuple[Callable, Callable]:
-    """From a tokenizer file's text: the splitting into pre-tokens and the ids of a list of them, without special tokens."""
-    os.environ["TOKENIZERS_PARALLELISM"] = "false"
-    import regex
-    from public_tokenizers import PATTERN
-    from tokenizers import Tokenizer
+class JsonTokenizer:
+    """From the text of a byte-level tokenizer file of that library: packed ids, as its encode() without added special tokens gives them."""
 
-    tokenizer = Tokenizer.from_str(text)
-    tokenizer.encode_special_tokens = True
-    return regex.compile(PATTERN).findall, lambda x: [e.ids for e in tokenizer.encode_batch_fast(x, add_special_tokens=False)]
+    def __init__(self, text: str):
+        os.environ["TOKENIZERS_PARALLELISM"] = "false"
+        from public_tokenizers import PATTERN
+        from tokenizers import Tokenizer
 
+        self.whole = Tokenizer.from_str(text)
+        merges = self.whole.model
+        if hasattr(merges, "_resize_cache"):
+            merges._resize_cache(0)  # pre-tokens are remembered here
+        letters = {b: ord(c) for b, c in byte_alphabet().items()}
+        # added tokens are cut out of a text before the pattern splits it: such texts are left to the library as they are
+        self.added = [t.content for t in self.whole.get_added_tokens_decoder().values()]
+        self.chunked = Chunked(splitter(PATTERN), lambda t: [x.id for x in merges.tokenize(t.encode().decode("latin-1").translate(letters))])
 
-_CHUNKED: dict[int, Chunked] = {}
+    def encode(self, text: str | None) -> bytes:
+        if text and any(t in text for t in self.added):
+            return packed(self.whole.encode(text, add_special_tokens=False).ids)
+        return self.chunked.encode(text)
+
+
+_TOKENIZERS: dict[int, JsonTokenizer] = remember.kept({})
 
 
 def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_tokens: int = SHARD_TOKENS, key: str = "doc_id", text: str = "text") -> None:
     """Writes a file per shard to `path`, in ascending order of the key. tokenizer: the text of a byte-level tokenizer file."""
 
     def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        if hash(tokenizer) not in _CHUNKED:
-            _CHUNKED.clear()
-            _CHUNKED[hash(tokenizer)] = Chunked(*json_tokenizer(tokenizer))
-        chunked, end = _CHUNKED[hash(tokenizer)], np.array([end_id], "<u4").tobytes()
+        remember.only(_TOKENIZERS)
+        if hash(tokenizer) not in _TOKENIZERS:
+            _TOKENIZERS.clear()
+            _TOKENIZERS[hash(tokenizer)] = JsonTokenizer(tokenizer)
+        encoder, end = _TOKENIZERS[hash(tokenizer)], np.array([end_id], "<u4").tobytes()
         part, number, docs_, parts, sizes = TaskContext.get().partitionId(), 0, [], [], []
 
         def close() -> pa.RecordBatch:
@@ -212,8 +231,9 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
             data = to_file(np.frombuffer(b"".join(parts), "<u4"), docs_, starts, (part, number))
             return pa.RecordBatch.from_arrays([pa.array([data], pa.binary())], ["data"])
 
+        gc.disable()  # nothing here has cycles, and the many small lists would have them looked for again and again
         for batch in (b.slice(i, 500) for b in batches for i in range(0, b.num_rows, 500)):
-            for doc, ids in zip(batch.column(0).to_pylist(), chunked.encode_all(batch.column(1).to_pylist()), strict=True):
+            for doc, ids in zip(batch.column(0).to_pylist(), map(encoder.encode, batch.column(1).to_pylist()), strict=True):
                 if docs_ and sum_ + len(ids) // 4 + 1 > shard_tokens:
                     yield close()
                     number, docs_, parts, sizes = number + 1, [], [], []
@@ -221,6 +241,7 @@ def write_shards(docs: DataFrame, path: str, tokenizer: str, end_id: int, shard_
                 docs_.append(doc)
                 parts += (ids, end)
                 sizes.append(len(ids) // 4 + 1)
+        gc.enable()
         if docs_:
             yield close()
 
