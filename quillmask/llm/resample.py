@@ -31,7 +31,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .store import written
+from . import remember
+from .store import batches_of, written
 
 BUCKETS = 1 << 18
 CHUNK = 1 << 12
@@ -48,7 +49,9 @@ LEAST_MEAN = -2.0
 MEAN_ONLY = np.array([0.0, 1.0, 0.0, 0.0])
 #: Kinds of labelled documents.
 TARGET, TOXIC, LOW = 0, 1, 2
-REMEMBERED = 300_000
+REMEMBERED = 200_000
+#: Documents of an Arrow batch at most.
+BATCH_ROWS = 1000
 
 
 class Hashes(dict):
@@ -63,7 +66,7 @@ class Hashes(dict):
         return h
 
 
-_HASHES = Hashes()
+_HASHES = remember.kept(Hashes())
 _TOKENS = re.compile(r"\w+|[^\w\s]").findall
 
 
@@ -95,8 +98,10 @@ class Models:
         b = buckets(text)
         if not len(b):
             return (0.0,) * (1 + len(self.marks))
-        once = self.marks[:, np.unique(b)].astype(np.float64)
-        worst = np.sort(once, 1)[:, :MARKS].mean(1)
+        once = np.sort(b)
+        once = self.marks[:, once[np.concatenate(([True], once[1:] != once[:-1]))]]
+        most = min(MARKS, once.shape[1])
+        worst = np.partition(once, most - 1, 1)[:, :most].astype(np.float64).mean(1)
         return (max(float(self.ratio[b].mean(dtype=np.float64)), LEAST_MEAN), *worst.tolist())
 
 
@@ -106,6 +111,7 @@ def fitted(docs: DataFrame, chosen: DataFrame, key: str = "doc_id", text: str =
     n = 5  # n-grams of all and of targets, documents of each kind
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember.only(_HASHES)
         sums, sizes = np.zeros((n, BUCKETS), np.int64), [0, 0, 0]
         for batch in batches:
             for text_, kind in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
@@ -176,6 +182,7 @@ def best_bound(weights: np.ndarray, y: np.ndarray) -> float:
 def log_weight(text: Column, models: Models, weights: np.ndarray) -> Column:
     @F.arrow_udf("double")
     def weigh(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        remember.only(_HASHES)
         for batch in batches:
             yield pa.array([float(weights[0] + weights[1:] @ np.array(models.features(x))) if x and not x.isspace() else 0.0 for x in batch.to_pylist()], pa.float64())
 
@@ -221,33 +228,37 @@ def kth_largest(values: DataFrame, column: str, k: int, bins: int = 4096, few: i
             k -= r["n"]
 
 
-def drawn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_rows: int = LABEL_ROWS, seed: int = 5) -> tuple[DataFrame, Column, DataFrame | None]:
-    """All rows' (id, log_weight, perturbed), the condition on `docs` columns that a row is drawn, and the docs with log_weight and perturbed added."""
-    chosen = written(labelled(labels, label_rows), "targets")
-    models = fitted(docs, chosen, key, text)
-    noise = gumbel(F.col(key), F.col(text), seed=seed)
-    x, kinds = (None, np.empty(0)) if models is None else held_out(docs, chosen, models, key, text)
-    y = (kinds == TARGET).astype(float)
-    if not y.any():
-        weight = F.lit(0.0) if models is None else log_weight(F.col(text), models, MEAN_ONLY)
-        scored = docs.withColumn("log_weight", weight).withColumn("perturbed", F.col("log_weight") + noise)
-        return scored.select(key, "log_weight", "perturbed"), F.lit(True), scored
-    if y.all():
-        weights = MEAN_ONLY
-        lowest, q1, q3 = np.quantile(x[:, 0], (0.001, 0.25, 0.75))
-        bound = lowest - (q3 - q1)
-    else:
-        weights = log_odds(x, y)
-        bound = best_bound(weights[0] + x @ weights[1:], y)
-    scored = docs.withColumn("log_weight", log_weight(F.col(text), models, weights)).withColumn("perturbed", F.col("log_weight") + noise)
-    table = written(scored.select(key, "log_weight", "perturbed"), "weights")
+def drawn(docs: DataFrame, labels: DataFrame, key: str = "doc_id", text: str = "text", label_rows: int = LABEL_ROWS, seed: int = 5, columns: list[str] | None = None) -> tuple[DataFrame, Column]:
+    """All rows' `columns` (the key by default), log_weight and perturbed, as a written table, and the condition on it that a
+    row is drawn. Texts are read twice: for the models, and for the weights."""
+    columns = [key] if columns is None else columns
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        chosen = written(labelled(labels, label_rows), "targets")
+        models = fitted(docs, chosen, key, text)
+        x, kinds = (None, np.empty(0)) if models is None else held_out(docs, chosen, models, key, text)
+        y = (kinds == TARGET).astype(float)
+        weights, bound = MEAN_ONLY, None
+        if y.any() and y.all():
+            lowest, q1, q3 = np.quantile(x[:, 0], (0.001, 0.25, 0.75))
+            bound = lowest - (q3 - q1)
+        elif y.any():
+            weights = log_odds(x, y)
+            bound = best_bound(weights[0] + x @ weights[1:], y)
+        weight = F.lit(0.0) if models is None else log_weight(F.col(text), models, weights)
+        noise = gumbel(F.col(key), F.col(text), seed=seed)
+        kept = docs.select(*dict.fromkeys((key, text, *columns))).drop("log_weight", "perturbed")
+        scored = kept.withColumn("log_weight", weight).withColumn("__noise", noise)
+        table = written(scored.select(*(c for c in columns if c not in ("log_weight", "perturbed")), "log_weight", (F.col("log_weight") + F.col("__noise")).alias("perturbed")), "weights")
+    if bound is None:
+        return table, F.lit(True)
     k = table.filter(F.col("log_weight") >= float(bound)).count()
     if k == 0:
-        return table, F.lit(False), scored
-    return table, F.col("perturbed") >= F.lit(kth_largest(table, "perturbed", k)), scored
+        return table, F.lit(False)
+    return table, F.col("perturbed") >= F.lit(kth_largest(table, "perturbed", k))
 
 
 def resampled(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
-    """The drawn documents, with the columns of `docs`."""
-    _, condition, scored = drawn(docs, labels, **options)
-    return scored.filter(condition).select(*docs.columns)
+    """The drawn documents, with the columns of `docs`. They are written once with their weights, which costs less than weighing them again."""
+    own = {c: f"__own_{c}" for c in ("log_weight", "perturbed") if c in docs.columns}
+    table, condition = drawn(docs.withColumnsRenamed(own), labels, columns=[own.get(c, c) for c in docs.columns], **options)
+    return table.filter(condition).select(*(F.col(own.get(c, c)).alias(c) for c in docs.columns))
