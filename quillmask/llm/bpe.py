@@ -12,15 +12,18 @@ from __future__ import annotations
 
 import base64
 import struct
+import sys
+from array import array
 from collections.abc import Iterator
-from functools import lru_cache
+from functools import cached_property, lru_cache
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .chunks import Chunked
-from .store import lower_batches
+from . import remember
+from .chunks import Chunked, splitter
+from .store import batches_of, written
 
 #: Documents of an Arrow batch at most: their ids take half again as much memory as their text, in the JVM and in Python.
 BATCH_ROWS = 1000
@@ -83,32 +86,37 @@ class Codec:
     """Encodes and decodes with a serialised model; `pattern` splits texts into pre-tokens."""
 
     def __init__(self, model: bytes, pattern: str):
-        import regex
         import sentencepiece
 
         self.pieces = sentencepiece.SentencePieceProcessor(model_proto=model)
-        self.split = regex.compile(pattern).findall
-        self.letters = {b: ord(c) for b, c in byte_alphabet().items()}
-        self.chunked = Chunked(self.split, self._ids)
-
-    def _ids(self, tokens: list[str]) -> list[list[int]]:
-        return self.pieces.encode([t.encode().decode("latin-1").translate(self.letters) for t in tokens], num_threads=1)
+        letters = {b: ord(c) for b, c in byte_alphabet().items()}
+        encode = self.pieces.encode_as_ids
+        self.chunked = Chunked(splitter(pattern), lambda t: encode(t.encode().decode("latin-1").translate(letters)))
 
     def encode(self, text: str | None) -> bytes:
         """Ids as little-endian unsigned 32-bit integers."""
         return self.chunked.encode(text)
 
+    def decode(self, ids: bytes | None) -> bytes:
+        """The bytes of packed ids; null ids have none."""
+        numbers = array("I", ids or b"")
+        if sys.byteorder == "big":
+            numbers.byteswap()
+        return b"".join(map(self.table.__getitem__, numbers))
+
+    @cached_property
     def table(self) -> list[bytes]:
         """Bytes of each id, by the inverse of the alphabet."""
         back = {c: b for b, c in byte_alphabet().items()}
         return [bytes(back[c] for c in self.pieces.id_to_piece(i)) for i in range(self.pieces.get_piece_size() - 1)]
 
 
-_CODECS: dict[tuple[int, str], Codec] = {}
+_CODECS: dict[tuple[int, str], Codec] = remember.kept({})
 
 
 def _codec(model: bytes, pattern: str) -> Codec:
     """One for each Python worker: what it remembers serves the next task too."""
+    remember.only(_CODECS)
     key = hash(model), pattern
     if key not in _CODECS:
         _CODECS.clear()
@@ -123,7 +131,7 @@ def encoded(text: Column, model: bytes, pattern: str) -> Column:
     def encode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codec = _codec(model, pattern)
         for batch in batches:
-            yield pa.array(codec.chunked.encode_all(x.as_py() for x in batch), pa.binary())
+            yield pa.array((codec.encode(x.as_py()) for x in batch), pa.binary())
 
     return encode(text)
 
@@ -133,18 +141,29 @@ def decoded(ids: Column, model: bytes, pattern: str) -> Column:
 
     @F.arrow_udf("binary")
     def decode(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        import numpy as np
-
-        table = _codec(model, pattern).table()
+        codec = _codec(model, pattern)
         for batch in batches:
-            yield pa.array((b"".join(map(table.__getitem__, np.frombuffer(x.as_py() or b"", "<u4").tolist())) for x in batch), pa.binary())
+            yield pa.array((codec.decode(x.as_py()) for x in batch), pa.binary())
 
     return decode(ids)
 
 
+def round_trip(text: Column, model: bytes, pattern: str) -> Column:
+    """Struct of ids (packed) and decoded (the bytes that these ids decode to), in one worker."""
+
+    @F.arrow_udf("struct<ids:binary,decoded:binary>")
+    def code(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        codec = _codec(model, pattern)
+        for batch in batches:
+            ids = [codec.encode(x.as_py()) for x in batch]
+            yield pa.StructArray.from_arrays([pa.array(ids, pa.binary()), pa.array(map(codec.decode, ids), pa.binary())], ["ids", "decoded"])
+
+    return code(text)
+
+
 def encode_documents(docs: DataFrame, model: bytes, pattern: str, text: str = "text") -> DataFrame:
-    """Adds `token_ids` (binary, packed little-endian uint32) and `n_tokens`."""
-    lower_batches(docs.sparkSession, BATCH_ROWS)
+    """Adds `token_ids` (binary, packed little-endian uint32) and `n_tokens`. Run what uses it inside store.batches_of(spark,
+    BATCH_ROWS): Arrow batches by the ten thousand rows, as Spark makes them by default, are much memory outside the heap."""
     out = docs.withColumn("token_ids", encoded(F.col(text), model, pattern))
     return out.withColumn("n_tokens", (F.octet_length("token_ids") / 4).cast("long"))
 
@@ -152,3 +171,12 @@ def encode_documents(docs: DataFrame, model: bytes, pattern: str, text: str = "t
 def decode_documents(docs: DataFrame, model: bytes, pattern: str, ids: str = "token_ids") -> DataFrame:
     """Adds `decoded` (binary), the bytes of the text that the ids came from."""
     return docs.withColumn("decoded", decoded(F.col(ids), model, pattern))
+
+
+def digests(docs: DataFrame, model: bytes, pattern: str, text: str = "text") -> DataFrame:
+    """The other columns, n_tokens, and SHA-256 of the ids and of the bytes decoded from them, as a written table."""
+    coded = docs.withColumn("__coded", round_trip(F.col(text), model, pattern))
+    ids, back = F.col("__coded")["ids"], F.col("__coded")["decoded"]
+    made = {"n_tokens": (F.octet_length(ids) / 4).cast("long"), "ids_sha256": F.sha2(ids, 256), "decoded_sha256": F.sha2(back, 256)}
+    with batches_of(docs.sparkSession, BATCH_ROWS):
+        return written(coded.withColumns(made).drop("__coded", text), "bpe")

@@ -17,9 +17,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op1_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     model, pattern = bpe.model_proto(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))), public_tokenizers.PATTERN
-    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    both = bpe.decode_documents(bpe.encode_documents(docs, model, pattern), model, pattern)
-    return both.select("doc_id", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(table(spark, sf_dir, "documents").select("doc_id", "text"), model, pattern)
 
 
 def op4_warc_revisits(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -48,7 +46,7 @@ def op2_pfair_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op3_quote_linking(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The table's turns, which quote nothing, are first made replies that quote what they answer."""
-    messages = quotes.replies(table(spark, sf_dir, "conversations"))
+    messages = store.written(quotes.replies(table(spark, sf_dir, "conversations")), "replies")
     out = quotes.linked(messages)
     return out.select("conv_id", "turn", "parent_turn", "root_turn", "reply_depth", F.sha2("own_text", 256).alias("own_sha256"))
 
@@ -64,7 +62,7 @@ def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, condition, _ = resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    weights, condition = resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
     return weights.select("doc_id", "log_weight", condition.alias("kept"))
 
 

@@ -74,10 +74,3 @@ def batches_of(spark: SparkSession, rows: int) -> Iterator[None]:
         yield
     finally:
         spark.conf.set(name, before)
-
-
-def lower_batches(spark: SparkSession, rows: int) -> None:
-    """The same bound for results that run later: it stays in the session, which can't have it for one query alone."""
-    name = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    if not 0 < int(spark.conf.get(name)) <= rows:
-        spark.conf.set(name, rows)
