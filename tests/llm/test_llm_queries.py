@@ -1,3 +1,4 @@
+import collections
 import os
 
 import duckdb
@@ -31,7 +32,7 @@ def test_pipeline(spark):
     assert sorted(r["mix_rank"] for r in out) == list(range(len(out)))
     text = {d[0]: d[1] for d in docs}
     kept = sorted(ids)
-    assert all(len(WORDS(text[i])) >= 50 for i in kept)
+    assert all(WORDS(text[i]) for i in kept)
     assert [c for _, c in components_by_hand([text[i] for i in kept], 80)] == list(range(len(kept)))
 
 
@@ -49,3 +50,20 @@ def test_mix_order_reaches_the_last_stage(spark, tmp_path):
     assert ranks == [r["doc_id"] for r in wanted]
     alone = spark.createDataFrame([(1, "a b", "en", "s", 3)], read.schema)
     assert p.byte_bpe(spark, alone, SMALL).first()["mix_rank"] is None
+
+
+def test_pipeline_on_odd_rows(spark, tmp_path):
+    import corpus_pipeline as p
+
+    prose = "the quick brown fox jumps over a lazy dog while seven more words follow here {} and there {}"
+    rows = [(i, prose.format(f"w{i}", f"v{i}x"), "en", "s", 1) for i in range(40)] + [(None, prose.format("null", "id"), None, None, None), (50, None, "en", "s", 0), (51, "", "en", None, 0), (52, " \n ", "en", "s", 3), (53, "$ # $ # $", "en", "s", 9), (7, prose.format("w7", "v7x"), "en", "s", 1), (54, "long words " * 60_000, "en", "t", 1)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long")
+    labels = spark.createDataFrame([], "doc_id long, quality int, toxic int")
+    docs.write.parquet(str(tmp_path / "some/documents.parquet"))
+    labels.write.parquet(str(tmp_path / "some/labels.parquet"))
+    out = p.run(spark, str(tmp_path / "some")).collect()
+    assert collections.Counter(r["doc_id"] for r in out) == collections.Counter([*range(40), None, 7])
+    assert sorted(r["mix_rank"] for r in out) == list(range(42))
+    docs.limit(0).write.parquet(str(tmp_path / "none/documents.parquet"))
+    labels.write.parquet(str(tmp_path / "none/labels.parquet"))
+    assert p.run(spark, str(tmp_path / "none")).count() == 0

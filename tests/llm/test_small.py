@@ -20,7 +20,8 @@ from quillmask.llm import bpe, cascade, compaction, graphann, mixing, neardup, q
 
 LARGE = "/root/testdata/check_l/embeddings.parquet"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
-ODD = ["", None, "  ", "a", "it's  x\n\n y ", "é漢字 ٣ 😀\x00<|endoftext|>", "a  b\tc d", "word " * 3000, "same text", "same text"]
+LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
+ODD = ["", None, "  ", "a", "it's  x\n\n y ", "é漢字 ٣ 😀\x00<|endoftext|>", "É\u00a0È\u2003 \x1c\x85 ÀB", "a  b\tc d", "word " * 3000, "same text", "same text"]
 
 
 def texts(spark, values, more="extra string", extra=("x",)):
@@ -52,6 +53,31 @@ def test_bpe_matches_the_reference_library(spark, ranks):
         bpe.model_proto({b"a": 0})
 
 
+def test_splitter_is_the_pattern():
+    import regex
+
+    from quillmask.llm import chunks
+
+    rnd = random.Random(5)
+    own, wanted = chunks.splitter(public_tokenizers.PATTERN), regex.compile(public_tokenizers.PATTERN).findall
+    for _ in range(20_000):
+        kind = rnd.random()
+        pool = " \n\t'strevmld.a9_\x1c\x1f" if kind < 0.4 else " 'sé漢٣²½\x85\u3000\u0301_९Ⅷ😀𝟘" if kind < 0.7 else [chr(rnd.choice([*range(0x3000), *range(0xE000, 0x20000)])) for _ in range(4)]
+        text = "".join(rnd.choice(pool) for _ in range(rnd.randint(0, 12)))
+        assert own(text) == wanted(text), repr(text)
+    assert chunks.splitter(r"\p{Lu}+|.")("ABc") == ["AB", "c"]
+
+
+def test_remembered_tokens_bound_memory_not_results():
+    from quillmask.llm import chunks
+
+    made = []
+    few = chunks.Chunked(str.split, lambda t: made.append(t) or [len(t)], remembered=2)
+    texts_ = ("a bb a", "ccc dddd", "a", "ccc", "eeeee a", "bb", None, "x" * 60, "x" * 60)
+    assert [few.encode(x) for x in texts_] == [chunks.packed(x) for x in ([1, 2, 1], [3, 4], [1], [3], [5, 1], [2], [], [60], [60])]
+    assert made == ["a", "bb", "ccc", "dddd", "a", "eeeee", "bb", "x" * 60, "x" * 60]
+
+
 def pages(spark):
     rows = [(1, "u 1", "same"), (5, None, "same"), (3, "u", "same"), (2, "u", None), (4, "u", ""), (6, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "same"), (7, "u", "alone"), (8, "u", "y" * 70_000), (9, "u", "twice"), (9, "u", "twice")]
     return spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, payload string")
@@ -100,7 +126,6 @@ def test_wavelet_shards(spark):
     with open(public_tokenizers.path("byte_bpe_50k.json"), encoding="utf-8") as f:
         text = f.read()
     own = Tokenizer.from_str(text)
-    own.encode_special_tokens = True
     docs = texts(spark, ODD, "start int", (1,)).union(spark.createDataFrame([(None, "no id", 1), (4, "again", 1)], "doc_id long, text string, start int"))
     path = store.fresh_dir(spark, "wavelet")
     wavelet.write_shards(docs, path, text, end_id=2, shard_tokens=50)
@@ -142,6 +167,11 @@ def test_cascade(spark):
     assert {got[len(values) - k]["rejected_by"] for k in (1, 2, 3)} <= {"capitals", "exclamations", "symbols", "letters", "digits"} - {None}
     assert sorted(e.name for e in cascade.estimates(docs)) == sorted(names)
     assert cascade.judged(docs.limit(0)).count() == 0
+    names += ["few_words", "repetition"]
+    for least, order in ((50, None), (50, names), (1, names[::-1])):
+        wanted = {r["doc_id"] for r in cascade.judged(docs, order=names[:-2], least_words=least).collect() if r["kept"]}
+        assert {r["doc_id"] for r in cascade.accepted(docs, order=order, least_words=least).collect()} == wanted
+    assert cascade.accepted(docs, order=names).columns == docs.columns and cascade.accepted(docs.limit(0)).count() == 0
 
 
 def test_compaction(spark):
@@ -165,6 +195,29 @@ def test_compaction(spark):
     assert count(table.read()) == count(docs)
 
 
+def test_compaction_beside_another_writer(spark, monkeypatch):
+    docs = texts(spark, [str(i) for i in range(60)])
+    folder = store.fresh_dir(spark, "sharded")
+    table, other = (compaction.ShardedTable(spark, folder, fan=3, least_bytes=2_000, target_bytes=60_000, keep_versions=99) for _ in range(2))
+    table.append([], docs.schema)  # an empty first arrival
+    assert table.read().count() == 0
+    commit, rivals = table.commit, [lambda: other.append(other.stage(docs.limit(10), 5), docs.schema), other.compact]
+
+    def second(*args):
+        if rivals:
+            rivals.pop(0)()
+        return commit(*args)
+
+    monkeypatch.setattr(table, "commit", second)
+    table.append(table.stage(docs, 10), docs.schema)  # the other's arrival comes first
+    assert table.read().count() == 70
+    table.compact()  # the other merges the same shards first
+    assert not rivals and table.read().count() == 70 and not table.due(table.manifest()[2])
+    named = {f.path for v in table.versions() for f in table.manifest(v)[2]}
+    there = {r[0].rpartition("/data/")[2] for r in spark.read.format("binaryFile").option("recursiveFileLookup", "true").option("pathGlobFilter", "*.parquet").load(f"{folder}/data").select("path").collect()}
+    assert {f"data/{x}" for x in there} == named
+
+
 def check_mix(rows, block):
     """Every row once, whole blocks in every slot, and less than a block from the weights while no source has run out."""
     slots = collections.defaultdict(set)
@@ -263,15 +316,44 @@ def test_mixed_rows_follow_the_schedule_whatever_the_number_of_sources(spark):
 def components_by_hand(values, percent):
     sets = []
     for v in values:
-        w = WORDS((v or "").translate(neardup.LOWER))
+        w = WORDS((v or "").translate(LOWER))
         sets.append(frozenset(tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))) if w else frozenset())
     label = list(range(len(values)))
-    for _ in values:
-        for i, a in enumerate(sets):
-            for j, b in enumerate(sets[:i]):
-                if a and b and 100 * len(a & b) >= percent * len(a | b) and label[i] != label[j]:
-                    label[i] = label[j] = min(label[i], label[j])
-    return [(len(s), c) for s, c in zip(sets, label, strict=True)]
+
+    def root(i):
+        while label[i] != i:
+            i = label[i]
+        return i
+
+    for i, a in enumerate(sets):
+        for j, b in enumerate(sets[:i]):
+            if a and b and 100 * len(a & b) >= percent * len(a | b):
+                low, high = sorted((root(i), root(j)))
+                label[high] = low
+    return [(len(s), root(i)) for i, s in enumerate(sets)]
+
+
+@pytest.mark.parametrize("settings", [neardup.Settings(short=1, later=2, levels=2, hot=1), neardup.Settings(percent=70, short=2, later=3, levels=1), neardup.Settings(percent=80, short=1, later=1, levels=6, hot=1)])
+def test_pivots_lose_no_link(spark, settings):
+    """Families of a text with changed, missing and added words, some without their base; all lists are long, hot ones are dealt out."""
+    rnd = random.Random(settings.percent)
+    word = lambda: "".join(rnd.choice("abcdefgh") for _ in range(4))
+    values = []
+    for size in (12, 30, 60, 100):
+        base = [word() for _ in range(size)]
+        for _ in range(45):
+            other = list(base)
+            for _ in range(rnd.randint(0, 4)):
+                at = rnd.randrange(len(other))
+                other[at : at + 1] = rnd.choice([[word()], [], [other[at], word()]])
+            values.append(" ".join(other))
+        for _ in range(5):  # a passage of it in another text
+            values.append(" ".join([word() for _ in range(size)] + base[: size // 2]))
+    rnd.shuffle(values)
+    got = {r["doc"]: (r["n_shingles"], r["component_id"]) for r in neardup.clustered(texts(spark, values), settings).collect()}
+    wanted = components_by_hand(values, settings.percent)
+    assert [got[i] for i in range(len(values))] == wanted
+    assert len({c for _, c in wanted}) > 20 and max(collections.Counter(c for _, c in wanted).values()) > 10
 
 
 @pytest.mark.parametrize("percent,k", [(85, 256), (80, 24)])
@@ -434,7 +516,7 @@ def test_recall_on_a_full_shard():
     first = first[np.argsort(ids[first])]
     ids, x = ids[first], x[first]
     graph, entry = graphann.build(graphann.lengthened(x)[0])
-    index = {"nodes": ids.astype("<i8").tobytes(), "vectors": x.astype("<f8").tobytes(), "graph": graph.astype("<i4").tobytes(), "entry": entry, "dim": x.shape[1]}
-    got, _ = graphann.search_shard(index, x[::10], 21, graphann.BEAM)
+    index = {"nodes": ids.astype("<i8").tobytes(), "vectors": x.astype("<f8").tobytes(), "graph": graph.astype("<i4").tobytes(), "entry": entry.astype("<i4").tobytes(), "dim": x.shape[1]}
+    got, _ = graphann.Shard(index).search(x[::10], 21, graphann.BEAM)
     wanted = ids[np.argsort(-(x[::10] @ x.T), axis=1, kind="stable")[:, :21]]
     assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(got.tolist(), wanted.tolist(), strict=True)]) >= 0.9
