@@ -24,8 +24,8 @@ def quality_classifier(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Dat
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that no rule of the cascade rejects."""
-    return cascade.judged(docs).filter("kept").select(*docs.columns)
+    """Documents that no rule of the cascade rejects. A short text isn't a bad one here: only those without words are too short."""
+    return cascade.accepted(docs, least_words=1)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -42,8 +42,7 @@ def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def byte_bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, mix_rank (place in the mix, from 0), n_tokens, and digests of the ids and of the bytes decoded from them."""
     model, pattern = bpe.model_proto(bpe.read_ranks(public_tokenizers.path("byte_bpe_50k.tiktoken"))), public_tokenizers.PATTERN
-    both = bpe.decode_documents(bpe.encode_documents(with_rank(docs), model, pattern), model, pattern)
-    return both.select("doc_id", "mix_rank", "n_tokens", F.sha2("token_ids", 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+    return bpe.digests(with_rank(docs), model, pattern)
 
 
 def with_rank(docs: DataFrame) -> DataFrame:
