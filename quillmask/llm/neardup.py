@@ -29,21 +29,25 @@ import math
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from functools import reduce
+from itertools import count
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from . import remember
 from .sieve import bitmap, sieved
 from .store import Tables, batches_of
 
-REMEMBERED = 300_000
+REMEMBERED = 200_000
 #: Counters of the table that orders values from rare to common.
 COUNTERS = 1 << 20
 CHUNK = 1 << 12
 #: Members of a side of a tile.
 TILE = 512
+#: Rounds for components that only spare comparisons within them.
+ROUNDS = 3
 #: What a list has in common after the first round: the pivot, and either a value that it lacks or being near it.
 KEYS = ["group", "near", "value"]
 #: Runs that the members of a hot value are dealt to.
@@ -94,7 +98,7 @@ class Hashes(dict):
         return h
 
 
-_HASHES = Hashes()
+_HASHES = remember.kept(Hashes())
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -123,6 +127,7 @@ def sketched(docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
     """A row per row: doc, n (size of the set), signature (of the whole set), sketch."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember.only(_HASHES)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -137,6 +142,7 @@ def sets_of(docs: DataFrame, s: Settings, key: str, text: str) -> DataFrame:
     """doc and its whole set as an array."""
 
     def make(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remember.only(_HASHES)
         for batch in batches:
             for at in range(0, batch.num_rows, 500):
                 part = batch.slice(at, 500)
@@ -283,8 +289,8 @@ def confirmed(pairs: DataFrame, sets: DataFrame, s: Settings, tables: Tables) ->
 
 
 def met(pairs: DataFrame, sets: DataFrame, s: Settings, tables: Tables) -> DataFrame:
-    """Members against their pivots, on full sets. pairs (a written table): doc, pivot, score. Adds n, linked, near and `outside`, the values
-    that the member is listed under next.
+    """Members against their pivots, on full sets. pairs (a written table): doc, pivot, score, n. Adds linked, near and `outside`, the
+    values that the member is listed under next.
 
     Let x and y be similar members of the pivot P's lists, m the size of its smallest member. They share at least
     need(x) = t / (1 + t) * (|x| + max(m, t|x|)) values, and need(y) alike. If c > 0 of them are not in P, then c is at
@@ -295,22 +301,24 @@ def met(pairs: DataFrame, sets: DataFrame, s: Settings, tables: Tables) -> DataF
     or are smaller than it, and those share one list.
     """
     whole = sieved(sets, "doc", tables.written(ends(pairs), "bits"))
-    both = pairs.join(whole, "doc").withColumnRenamed("whole", "w").join(whole.select(F.col("doc").alias("pivot"), F.col("whole").alias("wp")), "pivot")
-    sized = both.select("pivot", "doc", "score", F.size("w").alias("n"), F.size("wp").alias("np"), F.array_except("w", "wp").alias("rest"))
-    least = sized.groupBy("pivot").agg(F.min("n").alias("least"))
+    # the least sizes come first, so that nothing after the joins needs a pivot's rows together: Spark can split them
+    sized = tables.written(pairs.join(pairs.groupBy("pivot").agg(F.min("n").alias("least")), "pivot").drop("n"), "sized")
+    both = sized.join(whole, "doc").withColumnRenamed("whole", "w").join(whole.select(F.col("doc").alias("pivot"), F.col("whole").alias("wp")), "pivot")
+    known = both.select("pivot", "doc", "score", "least", F.size("w").alias("n"), F.size("wp").alias("np"), F.array_except("w", "wp").alias("rest"))
     common = F.col("n") - F.size("rest")
     need = F.ceil(s.percent * (F.col("n") + F.greatest("least", F.ceil(s.percent * F.col("n") / 100))) / (100 + s.percent)).cast("int")
     linked = 100 * common >= s.percent * (F.col("n") + F.col("np") - common)
-    known = sized.join(least, "pivot").withColumns({"common": common, "need": need, "linked": linked})
+    known = known.withColumns({"common": common, "need": need, "linked": linked})
     near = (F.col("common") >= F.col("need")) & (~F.col("linked") | (F.col("n") < F.col("np")))
     return known.select("pivot", "doc", "score", "n", "linked", near.alias("near"), F.slice("rest", F.lit(1), F.greatest(F.col("n") - F.col("need") + 1, F.lit(0))).alias("outside"))
 
 
-def components(links: DataFrame, tables: Tables) -> DataFrame:
-    """doc and the smallest document that it is linked with, for documents of the links (a < b)."""
+def components(links: DataFrame, tables: Tables, rounds: int | None = None) -> DataFrame:
+    """doc and the smallest document that it is linked with, for documents of the links (a < b). After `rounds` rounds, if
+    given, the smallest one found so far: documents of one component may still have different ones."""
     links = tables.written(links.select("a", "b").filter("a <> b").distinct(), "links")
     seen = None
-    while True:
+    for done in count(1):
         # large star: every larger neighbour of a node is linked to the node's smallest neighbour
         both = links.union(links.select("b", "a")).toDF("u", "v")
         least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
@@ -319,6 +327,8 @@ def components(links: DataFrame, tables: Tables) -> DataFrame:
         least = large.groupBy("b").agg(F.min("a").alias("m"))
         small = large.join(least, "b").select(F.col("m"), F.explode(F.array("a", "b")).alias("x")).filter("m < x").distinct().toDF("a", "b")
         links = tables.written(small, "links")
+        if done == rounds:
+            return links.groupBy(F.col("b").alias("doc")).agg(F.min("a").alias("component"))
         state = links.agg(F.count(F.lit(1)), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)"))).first()
         if state == seen:
             return links.select(F.col("b").alias("doc"), F.col("a").alias("component"))
@@ -354,17 +364,17 @@ def _links(classes: DataFrame, docs: DataFrame, s: Settings, key: str, text: str
     meetings = tables.written(_meetings(whole.filter(F.col("members") > s.short)), "meetings")
     likely = tables.written(promising(pairs, sieved(classes, "doc", tables.written(ends(pairs), "bits")), s), "likely")
     tables.drop(lists, pairs)
-    needed = tables.written(ends(likely, meetings), "bits")
+    needed = tables.written(ends(likely, meetings.select("doc", "pivot")), "bits")
     rows = sieved(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), "doc", needed)
     sets = tables.written(sets_of(rows, s, "doc", "text"), "sets")  # of a document that has several rows: the sets of all
     links = tables.written(confirmed(likely, sets, s, tables), "links")
     for level in range(s.levels):
         if meetings.isEmpty():
-            return links
+            break
         members = tables.written(met(meetings, sets, s, tables), "met")
         direct = members.filter("linked").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
         links = tables.written(links.union(direct), "links")
-        lists = tables.written(_relisted(members, components(links, tables)), "lists")
+        lists = tables.written(_relisted(members, components(links, tables, ROUNDS)), "lists")
         tables.drop(meetings, members)
         short = short_pairs(lists.filter(F.col("members") <= s.later), KEYS, ["doc", "n", "of"], lambda x, y: (x["of"] != y["of"]) & similar_sizes(s, x, y))
         found = confirmed(tables.written(short, "pairs"), sets, s, tables)
@@ -375,12 +385,13 @@ def _links(classes: DataFrame, docs: DataFrame, s: Settings, key: str, text: str
             found = found.union(confirmed(tables.written(tile_pairs(long, KEYS, s), "tiles"), sets, s, tables))
         links = tables.written(links.union(found), "links")
         tables.drop(lists)
+    tables.drop(sets)
     return links
 
 
 def _meetings(long: DataFrame) -> DataFrame:
-    """Members of long lists with the pivots that they meet: doc, pivot, score."""
-    return long.filter("doc <> pivot.doc").groupBy("doc", F.col("pivot.doc").alias("pivot")).agg(F.max("score").alias("score"))
+    """Members of long lists with the pivots that they meet: doc, pivot, score, n."""
+    return long.filter("doc <> pivot.doc").groupBy("doc", F.col("pivot.doc").alias("pivot")).agg(F.max("score").alias("score"), F.min("n").alias("n"))
 
 
 def _relisted(members: DataFrame, component: DataFrame) -> DataFrame:
