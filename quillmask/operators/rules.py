@@ -98,7 +98,7 @@ def rule_hits(text: Column, rules: tuple[Rule, ...]) -> Column:
     parts = []
     for no, rule in enumerate(rules):
         number = F.lit(no).alias("rule_no")
-        hits = F.transform(matches(text, rule.pattern, rule.group), lambda m, k: F.struct(number, k.alias("match_no"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"))).cast(HIT)  # noqa: B023
+        hits = F.transform(matches(unmarked(text), rule.pattern, rule.group), lambda m, k: F.struct(number, k.alias("match_no"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"))).cast(HIT)  # noqa: B023
         parts.append(F.when(text.rlike(rule.prefilter or rule.pattern), hits).otherwise(none))
     return F.concat(*parts)
 
@@ -114,7 +114,7 @@ def hits(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
     """Lines with a row per hit: value (cleaned), box (not rounded) and style. Lines without a hit cost no more than
     prefilters. The rules stand in the generator alone, so that each is evaluated once: a column of hits would be copied
     into every filter that is pushed below it."""
-    rows = lines.select("doc_id", "page", "line_no", "segments", F.inline(rule_hits(unmarked(F.col("text")), rules)))
+    rows = lines.select("doc_id", "page", "line_no", "segments", F.inline(rule_hits(F.col("text"), rules)))
     checked = F.when(F.col("value") == "", False).otherwise(by_rule(rules, lambda r: r.validator(F.col("value")) if r.validator else F.lit(True)))
     rows = rows.select("*", F.inline(F.array(F.struct(clean_entity(F.col("raw")).alias("value"), span_box(F.col("segments"), F.col("start"), F.col("end")).alias("hit_box")))))
     rows = rows.filter(checked).filter("hit_box is not null")
