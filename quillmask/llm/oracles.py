@@ -75,3 +75,75 @@ named AS (SELECT s.doc_id, len(s.s) AS n, least(c.rep, coalesce(m, c.rep)) AS co
 SELECT d.doc_id, coalesce(n, 0)::BIGINT AS n_shingles, coalesce(component_id, d.doc_id) AS component_id, d.doc_id = coalesce(component_id, d.doc_id) AS kept
 FROM documents d LEFT JOIN named USING (doc_id)
 """
+
+
+def product_quantised(rounds: int = 4) -> str:
+    """SQL of op11: each round is a table of codebooks. Distances are exact in double precision at these sizes."""
+    nearest = """
+a{k} AS MATERIALIZED (
+  SELECT i.row, i.p, any_value(i.v) AS v, min({{'d': list_inner_product(i.v, i.v) - 2 * list_inner_product(i.v, b.v) + list_inner_product(b.v, b.v), 'e': e}}) AS best
+  FROM parts i JOIN b{k} b ON i.p = b.p GROUP BY i.row, i.p),"""
+    moved = """
+m{k} AS (SELECT p, best.e AS e, j, floor(sum(v[j]) / count(*)) AS c FROM a{k}, range(1, 17) AS r(j) GROUP BY ALL),
+n{k} AS (SELECT p, e, list(c ORDER BY j) AS v FROM m{k} GROUP BY p, e),
+b{l} AS MATERIALIZED (SELECT b.p, b.e, coalesce(n.v, b.v) AS v FROM b{k} b LEFT JOIN n{k} n ON b.p = n.p AND b.e = n.e),"""
+    steps = "".join(nearest.format(k=k) + moved.format(k=k, l=k + 1) for k in range(rounds)) + nearest.format(k=rounds)
+    return f"""
+WITH kept AS (
+  SELECT row_number() OVER (ORDER BY vec_id) AS row, vec_id, label, list_transform(embedding, lambda x: floor(1024 * x::DOUBLE)) AS x FROM embeddings
+  WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
+parts AS MATERIALIZED (SELECT row, p, x[16 * p + 1:16 * p + 16] AS v FROM kept, range(4) AS r(p)),
+b0 AS (SELECT p, row - 1 AS e, v FROM parts WHERE row <= 256),{steps}
+whole AS (SELECT row, string_agg(printf('%02x', best.e), '' ORDER BY p) AS code, sum(best.d)::BIGINT AS error FROM a{rounds} GROUP BY row),
+books AS (SELECT sha256(string_agg(c::BIGINT::VARCHAR, ',' ORDER BY p, e, j)) AS codebooks_sha256 FROM (SELECT p, e, j, v[j] AS c FROM b{rounds}, range(1, 17) AS r(j)))
+SELECT vec_id, code, error, sum(error) OVER (PARTITION BY label)::BIGINT AS label_error, codebooks_sha256 FROM whole JOIN kept USING (row), books
+"""
+
+
+OP12 = r"""
+WITH rests AS (SELECT page_id, CASE WHEN contains(url, '://') THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS rest FROM pages),
+hosts AS (SELECT page_id, rest, regexp_extract(rest, '^[^/?#]*') AS h FROM rests),
+parted AS (SELECT page_id, translate(h, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host, regexp_extract(substr(rest, length(h) + 1), '^[^?#]*') AS path FROM hosts),
+rules(h, p, v) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'), ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+listed AS (SELECT page_id, max({'n': length(h || p), 'rule': h || p, 'v': v}) AS r FROM parted JOIN rules ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY page_id),
+tokened AS MATERIALIZED (
+  SELECT page_id, host, path, r.rule AS rule, r.v AS v, list_distinct(list_concat(
+    list_transform(list_filter(string_split(host, '.'), lambda x: x <> ''), lambda x: 'h:' || x),
+    list_transform(list_filter(string_split(regexp_replace(path, '[0-9]+', '0', 'g'), '/'), lambda x: x <> ''), lambda x: 'p:' || x))) AS ts
+  FROM parted LEFT JOIN listed USING (page_id)),
+size AS (SELECT (count(*) + 99) // 100 AS least FROM tokened WHERE v IS NOT NULL),
+known AS (SELECT page_id, v, unnest(ts) AS t FROM tokened WHERE v IS NOT NULL),
+often AS (SELECT min(t) AS t FROM (SELECT t, list(page_id ORDER BY page_id) AS ids FROM known GROUP BY t HAVING count(*) >= (SELECT least FROM size)) GROUP BY ids),
+items AS MATERIALIZED (SELECT page_id, v, t FROM known JOIN often USING (t)),
+sets AS (
+  SELECT v, [t] AS ts FROM items
+  UNION ALL SELECT a.v, [a.t, b.t] FROM items a JOIN items b ON a.page_id = b.page_id AND a.t < b.t
+  UNION ALL SELECT a.v, [a.t, b.t, c.t] FROM items a JOIN items b ON a.page_id = b.page_id AND a.t < b.t JOIN items c ON a.page_id = c.page_id AND b.t < c.t),
+counted AS (SELECT ts, label, count(*) AS n_of, count(*) FILTER (v = label) AS n_right FROM sets, (VALUES ('allow'), ('block')) AS l(label) GROUP BY ts, label),
+sure AS (SELECT * FROM counted WHERE n_right >= (SELECT least FROM size) AND n_right >= 0.9::DOUBLE * n_of),
+pruned AS (SELECT * FROM sure r WHERE NOT EXISTS (SELECT 1 FROM sure s WHERE s.label = r.label AND len(s.ts) < len(r.ts) AND list_has_all(r.ts, s.ts) AND s.n_right * r.n_of >= r.n_right * s.n_of)),
+best AS (
+  SELECT page_id, label FROM tokened JOIN pruned r ON v IS NULL AND list_has_all(tokened.ts, r.ts)
+  QUALIFY row_number() OVER (PARTITION BY page_id ORDER BY n_right / n_of DESC, n_right DESC, label DESC) = 1)
+SELECT page_id, host, path, rule, coalesce(v, label, 'allow') AS verdict FROM tokened LEFT JOIN best USING (page_id)
+"""
+
+OP13 = r"""
+WITH crcs AS (
+  SELECT doc_id, list_reduce(list_concat([4294967295::BIGINT], flatten(list_transform(regexp_extract_all(doc_id::VARCHAR, '.'), lambda d: [ascii(d)::BIGINT, -1, -1, -1, -1, -1, -1, -1, -1]))),
+           lambda c, b: CASE WHEN b >= 0 THEN xor(c, b) ELSE xor(c >> 1, 3988292384 * (c & 1)) END) AS c, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS ws FROM documents),
+hashed AS (SELECT doc_id, xor(c, 4294967295) AS h, xor(c, 4294967295) // 10 AS g, ws, len(ws)::BIGINT AS n FROM crcs),
+planted AS (SELECT doc_id, n, ws, CASE WHEN h % 10 = 0 AND n > 0 THEN g % n ELSE n END AS a, CASE WHEN n > 0 THEN 1 + (n - g % n) // (3 + g % 8) ELSE 1 END AS p FROM hashed),
+words AS MATERIALIZED (SELECT doc_id, n, i, ws[CASE WHEN i < a THEN i ELSE a + (i - a) % p END + 1] AS w FROM planted, unnest(range(n)) AS r(i)),
+pairs AS (SELECT x.doc_id, x.i, y.i - x.i AS d FROM words x JOIN words y ON x.doc_id = y.doc_id AND x.w = y.w AND y.i > x.i AND 4 * (y.i - x.i) <= x.n),
+islands AS (SELECT doc_id, i, d, i - row_number() OVER (PARTITION BY doc_id, d ORDER BY i) AS island FROM pairs),
+stretches AS (SELECT doc_id, min(i) AS start, d, count(*) + d AS length FROM islands GROUP BY doc_id, d, island HAVING count(*) + d >= greatest(6, 4 * d)),
+runs AS MATERIALIZED (SELECT doc_id, start, length, min(d) AS period FROM stretches GROUP BY ALL),
+best AS (SELECT * FROM runs QUALIFY row_number() OVER (PARTITION BY doc_id ORDER BY length::DOUBLE / period DESC, start, period) = 1),
+listed AS (SELECT doc_id, count(*) AS n_runs, string_agg(start || ',' || length || ',' || period || chr(10), '' ORDER BY start, period) AS listing FROM runs GROUP BY doc_id),
+again AS (SELECT DISTINCT doc_id, unnest(range(start + period, start + length)) AS i FROM runs),
+kept AS (SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS collapsed FROM words ANTI JOIN again USING (doc_id, i) GROUP BY doc_id)
+SELECT d.doc_id, coalesce(n_runs, 0)::BIGINT AS n_runs, start::BIGINT AS start, length::BIGINT AS length, period::BIGINT AS period, (1000 * length // period)::BIGINT AS exponent_milli,
+       sha256(coalesce(listing, '')) AS runs_sha256, sha256(coalesce(collapsed, '')) AS collapsed_sha256
+FROM documents d LEFT JOIN best USING (doc_id) LEFT JOIN listed USING (doc_id) LEFT JOIN kept USING (doc_id)
+"""

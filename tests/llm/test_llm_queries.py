@@ -13,7 +13,7 @@ pytestmark = pytest.mark.skipif(not os.path.isdir(SMALL), reason="no test tables
 
 
 def test_names():
-    assert [n.split("_")[0] for n in q.QUERIES] == [f"op{i}" for i in range(1, 11)]
+    assert [n.split("_")[0] for n in q.QUERIES] == [f"op{i}" for i in range(1, 14)]
     assert set(q.SQL) <= set(q.QUERIES)
 
 
