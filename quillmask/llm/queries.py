@@ -63,8 +63,8 @@ def op6_tiered_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    weights, condition = resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
-    return weights.select("doc_id", "log_weight", condition.alias("kept"))
+    done = resample.drawn(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+    return done.table.select("doc_id", "log_weight", done.drawn.alias("drawn"), done.toxic.alias("toxic"), (done.drawn & ~done.toxic).alias("kept"))
 
 
 def op9_bottom_k_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -1,10 +1,11 @@
-"""Importance resampling against plain Python: counts, log ratios, features, regression, bound, and the drawn set."""
+"""Importance resampling against plain Python: counts, log ratios, slope, bounds, and the drawn and screened rows."""
 
 import math
 import random
 import re
 from collections import Counter
 
+import numpy as np
 import xxhash
 from pyspark.sql import functions as F
 
@@ -19,15 +20,23 @@ def grams(text):
     return [x % resample.BUCKETS for x in h] + [(x ^ (x >> 32)) % resample.BUCKETS for x in pairs]
 
 
-def features(text, ratio, marks):
+def features(text, ratio, mark):
     g = grams(text)
     if not g:
-        return [0.0, 0.0, 0.0]
-    out = [max(sum(map(ratio, g)) / len(g), resample.LEAST_MEAN)]
-    for mark in marks:
-        worst = sorted(map(mark, set(g)))[: resample.MARKS]
-        out.append(sum(worst) / len(worst))
-    return out
+        return [0.0, 0.0]
+    lowest = sorted(map(mark, set(g)))[: resample.MARKS]
+    return [max(sum(map(ratio, g)) / len(g), resample.LEAST_MEAN), sum(lowest) / len(lowest)]
+
+
+def best_by_hand(rows, cost):
+    """The least loss of a bound on the first of each row; the second is whether it is to be kept."""
+    values = sorted({v for v, _ in rows})
+    bounds = [-math.inf, *((a + b) / 2 for a, b in zip(values, values[1:], strict=False))]
+    return min(loss_by_hand(rows, b, cost) for b in bounds)
+
+
+def loss_by_hand(rows, bound, cost):
+    return sum((cost if good else 1) for v, good in rows if (v >= bound) != good)
 
 
 def test_weights_and_drawn_rows(spark):
@@ -44,8 +53,9 @@ def test_weights_and_drawn_rows(spark):
     rows += [(None, "plain words"), (7, rows[7][1]), (7, rows[7][1]), (600, None), (601, " \n ")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
     given = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
-    scored, condition = resample.drawn(docs, given, columns=["doc_id", "text"])
-    got = scored.withColumn("kept", condition).collect()
+    done = resample.drawn(docs, given, columns=["doc_id", "text"])
+    got = done.table.withColumns({"drawn": done.drawn, "toxic": done.toxic}).collect()
+    resampled = Counter(tuple(r) for r in resample.resampled(docs, given).collect())
     noise = {(r[0], r[1]): r[2] for r in docs.select("doc_id", "text", resample.gumbel(F.col("doc_id"), F.col("text"), seed=5)).collect()}
     chosen = {r["__id"]: (r["kind"], r["fits"]) for r in resample.labelled(given, resample.LABEL_ROWS).collect()}
     assert {i: k for i, (k, _) in chosen.items()} == {i: resample.TOXIC if x else resample.TARGET if q else resample.LOW for i, q, x in labels}
@@ -63,32 +73,30 @@ def test_weights_and_drawn_rows(spark):
     n_raw, n_target = sum(raw.values()) + resample.BUCKETS * resample.SMOOTHING, sum(target.values()) + resample.BUCKETS * resample.SMOOTHING
     ratio = lambda b: math.log((target[b] + resample.SMOOTHING) / n_target) - math.log((raw[b] + resample.SMOOTHING) / n_raw)
     share = lambda k, b: math.log((having[k][b] + resample.MARK_SMOOTHING) / (sizes[k] + 2 * resample.MARK_SMOOTHING))
-    marks = [lambda b, k=k: share(resample.TARGET, b) - share(k, b) for k in (resample.TOXIC, resample.LOW)]
-
-    held = [(features(text, ratio, marks), kind == resample.TARGET) for i, text in rows[:500] for kind, fits in (chosen.get(i, (None, True)),) if not fits]
-    # the weight is linear in the features: its coefficients from four rows, then all rows must agree
-    import numpy as np
-
-    plain = [r for r in got if r["text"] and not r["text"].isspace()]
-    x = np.array([[1.0, *features(r["text"], ratio, marks)] for r in plain])
-    y = np.array([r["log_weight"] for r in plain])
-    w = np.linalg.lstsq(x, y, rcond=None)[0]
-    assert np.abs(x @ w - y).max() < 1e-3 and all(r["log_weight"] == 0 for r in got if not r["text"] or r["text"].isspace())
-    # it is the regression of the held-out rows: the slope of the penalised likelihood is 0 there
-    hx, hy = np.array([[1.0, *f] for f, _ in held]), np.array([float(k) for _, k in held])
-    spread = hx[:, 1:].std(0)
-    slope = hx.T @ (hy - 1 / (1 + np.exp(-np.clip(hx @ w, -30, 30))))
-    centred = (slope[1:] - hx[:, 1:].mean(0) * slope[0]) / spread
-    assert np.abs(slope[0]) < 0.05 and np.abs(centred - 0.01 * w[1:] * spread).max() < 0.05
-
-    score = hx @ w
-    right = lambda bound: sum((s >= bound) == k for s, k in zip(score, hy == 1, strict=True))
-    bounds = sorted(score)
-    best = max(right(b) for b in [-math.inf, *((a + b) / 2 for a, b in zip(bounds, bounds[1:], strict=False) if a < b)])
-    kept = [r for r in got if r["kept"]]
-    k = sum(r["log_weight"] >= resample.best_bound(score, hy) for r in got)
-    assert right(resample.best_bound(score, hy)) == best
+    mark = lambda b: share(resample.TARGET, b) - share(resample.TOXIC, b)
+
+    held = [(*features(text, ratio, mark), kind) for i, text in rows[:500] for kind, fits in (chosen.get(i, (None, True)),) if not fits]
+    # the log weight is linear in the mean log ratio, and in nothing else
+    means = np.array([features(r["text"], ratio, mark)[0] for r in got])
+    y = np.array([r["log_weight"] for r in got])
+    w = np.linalg.lstsq(np.stack((np.ones(len(means)), means), 1), y, rcond=None)[0]
+    assert np.abs(w[0] + w[1] * means - y).max() < 1e-3 and w[1] > 0
+    assert all(abs(r["log_weight"] - w[0]) < 1e-3 for r in got if not r["text"] or r["text"].isspace())
+    # it is the regression of the held-out targets and documents of low quality: the slope of the penalised likelihood is 0 there
+    hx, hy = (np.array(v, float) for v in zip(*((m, k == resample.TARGET) for m, _, k in held if k != resample.TOXIC), strict=True))
+    rest = hy - 1 / (1 + np.exp(-np.clip(w[0] + w[1] * hx, -30, 30)))
+    assert abs(rest.sum()) < 0.05 and abs((rest @ (hx - hx.mean())) / hx.std() - 0.01 * w[1] * hx.std()) < 0.05
+
+    draws = [(w[0] + w[1] * m, k == resample.TARGET) for m, _, k in held if k != resample.TOXIC]
+    bound = resample.best_bound(*(np.array(v, float) for v in zip(*draws, strict=True)))
+    assert loss_by_hand(draws, bound, 1) == best_by_hand(draws, 1)
+    k = sum(r["log_weight"] >= bound for r in got)
     assert all(abs(r["perturbed"] - r["log_weight"] - noise[r["doc_id"], r["text"]]) < 1e-9 for r in got)
     least = sorted((r["perturbed"] for r in got), reverse=True)[k - 1]
-    assert {(r["doc_id"], r["text"]) for r in kept} == {(r["doc_id"], r["text"]) for r in got if r["perturbed"] >= least} and len(got) == len(rows)
-    assert len({r["kept"] for r in got if r["doc_id"] == 7}) == 1
+    assert all(r["drawn"] == (r["perturbed"] >= least) for r in got) and len(got) == len(rows)
+    screen = [(v, k == resample.TARGET) for _, v, k in held if k != resample.LOW]
+    below = max((r["marks"] for r in got if r["toxic"]), default=-math.inf)
+    assert all(r["toxic"] == (r["marks"] <= below) and abs(r["marks"] - features(r["text"], ratio, mark)[1]) < 1e-3 for r in got)
+    assert loss_by_hand(screen, below + 1e-6, resample.CLEAN_COST) == best_by_hand(screen, resample.CLEAN_COST)
+    assert len({(r["drawn"], r["toxic"]) for r in got if r["doc_id"] == 7}) == 1
+    assert resampled == Counter((r["doc_id"], r["text"]) for r in got if r["drawn"] and not r["toxic"])
