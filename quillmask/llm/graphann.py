@@ -7,10 +7,10 @@ vectors of a shard the same length. The graph is built in batches: greedy search
 relaxed distance pruning (alpha) keeps edges in diverse directions, reverse edges are pruned alike. A query's beam
 search goes through every shard; the nodes found are scored again in double precision on the original vectors.
 
-Defined results: vectors that are null, empty, zero, of another length than the commonest, or that hold null or
-non-finite components take no part, neither as queries nor as candidates; neither do rows with a null id; rows that
-repeat an id are one row if their vectors are equal, else each is a candidate by its own vector; with fewer than k
-candidates all are returned; an empty table gives no rows. Other columns are not read.
+Defined results: vectors that are null, empty, zero, of another length than the candidates' commonest (the smallest of
+several), or that hold null or non-finite components take no part, neither as queries nor as candidates; neither do rows
+with a null id; rows that repeat an id are one row if their vectors are equal, else each is a candidate by its own vector,
+and as a query the id asks by the smallest of its vectors (compared component by component); with fewer than k candidates all are returned; an empty table gives no rows. Other columns are not read.
 """
 
 from __future__ import annotations
@@ -24,6 +24,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .store import written
+from .vectors import commonest_width, finite
 
 #: Nodes of a shard, about; queries of a block; blocks that one task puts to a shard.
 SHARD_NODES, QUERY_BLOCK, TASK_BLOCKS = 4096, 4096, 16
@@ -34,13 +35,10 @@ SALTS = 64
 
 
 def usable(vectors: DataFrame, key: str, vector: str) -> DataFrame:
-    """id and v (array of double) of the rows that take part."""
+    """id and v (array of double) of the rows that can take part, whatever their length."""
     v = F.col(vector).cast("array<double>")
     rows = vectors.select(F.col(key).cast("long").alias("id"), v.alias("v")).filter("id is not null and v is not null")
-    good = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists("v", lambda x: x != 0)
-    rows = rows.filter(good)
-    width = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), "d").first()
-    return rows.filter(F.size("v") == (width["d"] if width else 0))
+    return rows.filter(finite(F.col("v")) & F.exists("v", lambda x: x != 0))
 
 
 def nodes(rows: DataFrame, members: int) -> DataFrame:
@@ -203,13 +201,18 @@ class Shard:
 
 def nearest(vectors: DataFrame, queries: DataFrame, k: int = 20, key: str = "vec_id", vector: str = "embedding", shard_nodes: int = SHARD_NODES, width: int = BEAM) -> DataFrame:
     """The k nearest rows of `vectors` to each row of `queries` but itself: query_id, rank, vec_id, score."""
-    found = written(nodes(usable(vectors, key, vector), k + 1), "nodes")
+    rows = usable(vectors, key, vector)
+    dims = commonest_width(rows, "v")
+    found = written(nodes(rows.filter(F.size("v") == dims), k + 1), "nodes")
     shards = max(1, -(-found.count() // shard_nodes))
     index = written(indexed(found, shards), "graphs")
-    asked = usable(queries, key, vector).dropDuplicates(["id"]).withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-queries.count() // QUERY_BLOCK)))).cast("int"))
+    # queries go by the vectors' width; of the vectors of an id the smallest asks, whatever the order of rows
+    asked = usable(queries, key, vector).filter(F.size("v") == dims).groupBy("id").agg(F.min("v").alias("v"))
+    n = asked.count()
+    asked = asked.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(max(1, -(-n // QUERY_BLOCK)))).cast("int"))
     blocks = asked.groupBy("block").agg(F.collect_list(F.struct("id", "v")).alias("asked"))  # QUERY_BLOCK queries or so
     # a task gets a shard's index first and then, one after another, the blocks that it puts to it
-    slices = max(1, -(-queries.count() // (QUERY_BLOCK * TASK_BLOCKS)))
+    slices = max(1, -(-n // (QUERY_BLOCK * TASK_BLOCKS)))
     parts = ("entry", "dim", "nodes", "vectors", "graph")
     first = index.select("shard", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))).alias("slice"), F.lit(-1).alias("block"), *parts, F.lit(None).cast(blocks.schema["asked"].dataType).alias("asked"))
     none = [F.lit(None).cast(index.schema[c].dataType).alias(c) for c in parts]

@@ -24,8 +24,11 @@ from pyspark.sql import functions as F
 from .cascade import let
 from .store import Tables
 
-#: What a quoted line begins with.
-MARKS = r"^[ \t]*(?:>[ \t]?)+"
+#: What a quoted line begins with: blanks, a mark, then marks and blanks of which no two stand side by side. Each step of
+#: the loop takes one character for good, so that a line of any length is read in one go.
+MARKS = r"^[ \t]*+>(?:[> \t](?<![ \t]{2}))*+"
+#: White space that is cut from both ends of an own text.
+BLANKS = " \t\n\x0b\f\r"
 
 
 def split_lines(text: Column) -> Column:
@@ -49,7 +52,7 @@ def normal(line: Column) -> Column:
 def own_text(text: Column) -> Column:
     """The lines that aren't quoted, without outer blank lines."""
     joined = F.array_join(F.filter(split_lines(text), lambda x: ~F.rlike(x, F.lit(MARKS))), "\n")
-    return F.regexp_replace(joined, r"\A\s+|\s+\z", "")
+    return F.btrim(joined, F.lit(BLANKS))
 
 
 def parents(found: DataFrame) -> DataFrame:

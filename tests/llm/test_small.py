@@ -4,13 +4,12 @@ import base64
 import collections
 import hashlib
 import json
-import os
 import random
 import re
+import time
 import zlib
 from fractions import Fraction
 
-import duckdb
 import numpy as np
 import public_tokenizers
 import pytest
@@ -18,7 +17,6 @@ from pyspark.sql import functions as F
 
 from quillmask.llm import bpe, cascade, compaction, graphann, mixing, neardup, quotes, resample, store, warc, wavelet
 
-LARGE = "/root/testdata/check_l/embeddings.parquet"
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
 ODD = ["", None, "  ", "a", "it's  x\n\n y ", "é漢字 ٣ 😀\x00<|endoftext|>", "É\u00a0È\u2003 \x1c\x85 ÀB", "a  b\tc d", "word " * 3000, "same text", "same text"]
@@ -508,15 +506,70 @@ def test_deeper_quotes_link_where_shallower_ones_have_no_original(spark):
     assert {r["turn"]: (r["parent_turn"], r["root_turn"], r["reply_depth"]) for r in out} == {0: (None, 0, 0), 1: (0, 0, 1), 2: (0, 0, 1), 3: (0, 0, 1), 4: (3, 0, 2), 5: (4, 0, 3)}
 
 
-@pytest.mark.skipif(not os.path.isdir(LARGE), reason="no test tables")
+def test_marks_are_what_the_grammar_says(spark):
+    rnd = random.Random(12)
+    lines = ["".join(rnd.choice("> \tx") for _ in range(rnd.randint(0, 14))) for _ in range(3000)]
+    df = spark.createDataFrame([(x,) for x in lines], "x string")
+    grammar = re.compile(r"[ \t]*(?:>[ \t]?)+")
+    for r in df.select("x", F.regexp_extract("x", quotes.MARKS, 0).alias("m"), F.col("x").rlike(quotes.MARKS).alias("quoted")).collect():
+        found = grammar.match(r["x"])
+        assert (r["m"], r["quoted"]) == (found.group() if found else "", bool(found)), repr(r["x"])
+
+
+def test_quotes_of_very_long_texts(spark):
+    blanks, marks = " " * 1_000_000, 100_000
+    rows = [(1, 0, f"  hi{blanks}there\n\n"), (1, 1, "> " * marks + f"hi{blanks}there\nfirst"), (1, 2, ">" * marks + "nothing" + " \n\t" * 300_000), (1, 3, f"{blanks}\n" * 3 + ">first\nlast" + "\n \r\n" * 200_000)]
+    began = time.time()
+    out = {r["turn"]: r for r in quotes.linked(spark.createDataFrame(rows, "conv_id long, turn long, text string")).collect()}
+    assert [(out[t]["parent_turn"], out[t]["reply_depth"]) for t in range(4)] == [(None, 0), (0, 1), (None, 0), (1, 2)]
+    assert [out[t]["own_text"] for t in range(4)] == [f"hi{blanks}there", "first", "", "last"]
+    assert time.time() - began < 60
+    found = spark.createDataFrame(rows[1:2], "conv_id long, turn long, text string").select(F.inline(quotes.passages(F.col("text")))).collect()
+    assert [r["level"] for r in found] == [marks, 0]
+
+
+def test_graph_search_for_odd_queries(spark):
+    """Queries of another width don't ask; an id with several vectors asks by the smallest, however rows are dealt out."""
+    rng = np.random.default_rng(3)
+    x = rng.normal(size=(60, 3))
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    queries = [(i, [1.0, 2.0]) for i in range(0, 180, 20)] + [(20, [0.3, 0.2, 0.1]), (20, [0.3, -0.2, 0.9]), (20, [0.3, 0.2, 0.1]), (40, x[40].tolist()), (777, [1.0, 1.0, 1.0])]
+    wanted = None
+    for parts in (1, 3, 7):
+        asked = spark.createDataFrame(queries, "vec_id long, embedding array<double>").repartition(parts)
+        got = [tuple(r) for r in graphann.nearest(vectors, asked, k=5).orderBy("query_id", "rank").collect()]
+        wanted = wanted or got
+        assert got == wanted
+    assert {r[0] for r in wanted} == {20, 40, 777}
+    for q, v in ((20, [0.3, -0.2, 0.9]), (40, x[40]), (777, [1.0] * 3)):
+        best = [int(i) for i in np.argsort(-(x @ np.array(v)), kind="stable") if i != q][:5]
+        assert [r[2] for r in wanted if r[0] == q] == best
+    none = spark.createDataFrame([(20, [1.0, 2.0])], "vec_id long, embedding array<double>")
+    assert graphann.nearest(vectors, none, k=5).count() == 0
+
+
+def clustered_vectors(n, width=64, groups=40, seed=5):
+    rng = np.random.default_rng(seed)
+    middles = rng.normal(size=(groups, width))
+    x = middles[rng.integers(0, groups, n)] + 0.7 * rng.normal(size=(n, width))
+    return x / np.linalg.norm(x, axis=1, keepdims=True)
+
+
 def test_recall_on_a_full_shard():
-    found = duckdb.sql(f"SELECT vec_id, embedding FROM read_parquet('{LARGE}/*.parquet') ORDER BY hash(vec_id) LIMIT {graphann.SHARD_NODES}").fetchall()
-    ids, x = np.array([r[0] for r in found]), np.array([r[1] for r in found], float)
-    _, first = np.unique(x, axis=0, return_index=True)
-    first = first[np.argsort(ids[first])]
-    ids, x = ids[first], x[first]
+    x = clustered_vectors(graphann.SHARD_NODES)
+    ids = np.arange(len(x))
     graph, entry = graphann.build(graphann.lengthened(x)[0])
     index = {"nodes": ids.astype("<i8").tobytes(), "vectors": x.astype("<f8").tobytes(), "graph": graph.astype("<i4").tobytes(), "entry": entry.astype("<i4").tobytes(), "dim": x.shape[1]}
-    got, _ = graphann.Shard(index).search(x[::10], 21, graphann.BEAM)
-    wanted = ids[np.argsort(-(x[::10] @ x.T), axis=1, kind="stable")[:, :21]]
+    got, _ = graphann.Shard(index).search(x[::20], 21, graphann.BEAM)
+    wanted = ids[np.argsort(-(x[::20] @ x.T), axis=1, kind="stable")[:, :21]]
     assert np.mean([len(set(a) & set(b)) / 21 for a, b in zip(got.tolist(), wanted.tolist(), strict=True)]) >= 0.9
+
+
+def test_recall_over_several_shards(spark):
+    x = clustered_vectors(3000, seed=6)
+    vectors = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "vec_id long, embedding array<double>")
+    got = collections.defaultdict(set)
+    for r in graphann.nearest(vectors, vectors.filter("vec_id % 20 = 0"), k=20, shard_nodes=700).collect():
+        got[r["query_id"]].add(r["vec_id"])
+    wanted = nearest_by_hand(list(range(len(x))), x, 20)
+    assert sum(len(got[q] & set(w)) for q, w in wanted.items()) >= 0.9 * 20 * len(wanted)
