@@ -17,8 +17,30 @@ def let(value: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(value), body), 1)
 
 
+def gathered(items: Column, carry: Column, step: Callable[[Column, Column], Column], hit: str, chunk: int = 128) -> Column:
+    """All hits of a fold in order, as an array of `hit` (a type). step(carry, item): a struct of the next carry and an
+    array of hits. Hits are put together by the chunk first, as appending one by one to a long array copies it each time."""
+    none = F.array().cast(f"array<{hit}>")
+
+    def of_chunk(state: Column, part: Column) -> Column:
+        add = lambda s, x: let(step(s["carry"], x), lambda y: F.struct(y["carry"].alias("carry"), F.concat(s["found"], y["hits"]).alias("found")))
+        return let(F.aggregate(part, F.struct(state["carry"].alias("carry"), none.alias("found")), add), lambda r: F.struct(r["carry"].alias("carry"), F.concat(state["found"], F.array(r["found"])).alias("found")))
+
+    def all_of(whole: Column) -> Column:
+        chunks = F.transform(F.sequence(F.lit(0), F.floor((F.size(whole) - 1) / chunk).cast("int")), lambda i: F.slice(whole, i * chunk + 1, F.lit(chunk)))
+        first = F.struct(carry.alias("carry"), F.array().cast(f"array<array<{hit}>>").alias("found"))
+        return F.when(F.size(whole) > 0, F.flatten(F.aggregate(chunks, first, of_chunk)["found"])).otherwise(none)
+
+    return let(items, all_of)
+
+
+#: What (?U)\\s matches.
+WHITE = "\t\n\x0b\f\r \x85\u00a0\u1680\u2000\u2001\u2002\u2003\u2004\u2005\u2006\u2007\u2008\u2009\u200a\u2028\u2029\u202f\u205f\u3000"
+
+
 def strip_space(x: Column) -> Column:
-    return F.regexp_replace(x, r"(?U)^\s+|\s+$", "")
+    """Without Unicode's white space at both ends. A pattern for the right end would try each run of white space inside from each of its characters."""
+    return F.btrim(x, F.lit(WHITE))
 
 
 def normalize_spaces(x: Column) -> Column:

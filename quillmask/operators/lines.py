@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import box, strip_space, sub_box, union_box
+from ..functions.columns import box, gathered, let, strip_space, sub_box, union_box
 
 # Fixed value: points between a block's centre and its line's mean centre, at most.
 TOLERANCE = 4.0
@@ -17,24 +17,55 @@ def usable_blocks(blocks: DataFrame) -> DataFrame:
     return blocks.filter((F.length(strip_space(F.col("text"))) > 0) & F.col("box").isNotNull())
 
 
+#: Gap between neighbouring centres that parts a page, beyond the tolerance: what rounding may move a mean by, amply.
+SLACK, RELATIVE_SLACK = 1e-3, 1e-9
+
+
+def centre(b: Column) -> Column:
+    return (b["box"]["y0"] + b["box"]["y1"]) / 2
+
+
+def fold_clusters(items: Column, tolerance: float) -> Column:
+    """Items (i, y, b) in order of i to clusters of struct(first, total, n, members). A block joins the first cluster whose mean
+    centre is near, else it opens one. The mean moves with each block, so this is a fold and no window can stand for it."""
+    kind = f"array<struct<first:int,total:double,n:int,members:array<{BLOCK}>>>"
+
+    def add(found: Column, x: Column) -> Column:
+        def placed(at: Column) -> Column:
+            c = F.get(found, at - 1)
+            joined = F.struct(c["first"].alias("first"), (c["total"] + x["y"]).alias("total"), (c["n"] + F.lit(1)).alias("n"), F.concat(c["members"], F.array(x["b"])).alias("members"))
+            opened = F.struct(x["i"].alias("first"), x["y"].alias("total"), F.lit(1).alias("n"), F.array(x["b"]).alias("members"))
+            return F.when(at > 0, F.concat(F.slice(found, F.lit(1), at - 1), F.array(joined), F.slice(found, at + 1, F.size(found)))).otherwise(F.concat(found, F.array(opened)))
+
+        near = F.transform(found, lambda c: F.abs(x["y"] - c["total"] / c["n"]) <= tolerance)
+        return let(F.array_position(near, F.lit(True)).cast("int"), placed)
+
+    return F.aggregate(items, F.array().cast(kind), add)
+
+
 def clusters(blocks: Column, tolerance: float) -> Column:
-    """Sorted blocks to clusters. A block joins the first cluster whose mean centre is near, else it opens one. The mean
-    moves with each block, so this is a fold over the blocks of a page and no window can stand for it."""
-    kind = f"array<struct<total:double,n:int,members:array<{BLOCK}>>>"
+    """Sorted blocks to clusters, in order of their first blocks.
+
+    Blocks are cut into islands first: between two neighbouring centres a < b of the page with b - a > tolerance. A
+    cluster's mean lies between its least and its largest centre. So a cluster whose centres are all at a or below has a mean of a at
+    most, which is more than the tolerance away from every centre at b or above, and the same holds the other way round:
+    whatever the order, no block joins a cluster on the other side, and by induction no cluster has blocks of both sides.
+    Nor does a cluster on the other side ever come first for a block. So each island folds alone, in the page's order, and the
+    clusters are then put in order of their first blocks. SLACK makes up for rounding: a wider gap only means fewer cuts."""
+
+    def islands(by_y: Column) -> Column:
+        def gap(i: Column) -> Column:
+            here, last = F.get(by_y, i)["y"], F.get(by_y, i - 1)["y"]
+            return here - last > tolerance + SLACK + RELATIVE_SLACK * F.abs(here)
 
-    def add(found: Column, b: Column) -> Column:
-        y = (b["box"]["y0"] + b["box"]["y1"]) / 2
-        at = F.array_position(F.transform(found, lambda c: F.abs(y - c["total"] / c["n"]) <= tolerance), F.lit(True))
-        joined = F.transform(
-            found,
-            lambda c, i: F.when(
-                i + 1 == at, F.struct((c["total"] + y).alias("total"), (c["n"] + 1).cast("int").alias("n"), F.concat(c["members"], F.array(b)).alias("members"))
-            ).otherwise(c),
-        )
-        opened = F.concat(found, F.array(F.struct(y.alias("total"), F.lit(1).alias("n"), F.array(b).alias("members"))))
-        return F.when(at > 0, joined).otherwise(opened).cast(kind)
+        starts = F.filter(F.sequence(F.lit(0), F.size(by_y) - 1), lambda i: (i == 0) | gap(i))
+        in_order = lambda part: F.array_sort(F.transform(part, lambda x: F.struct(x["i"].alias("i"), x["y"].alias("y"), x["b"].alias("b"))))
+        cut = lambda s: F.transform(s, lambda low, k: F.slice(by_y, low + 1, F.coalesce(F.get(s, k + 1), F.size(by_y)) - low))
+        folded = F.flatten(F.transform(let(starts, cut), lambda part: fold_clusters(in_order(part), tolerance)))
+        return F.array_sort(folded)
 
-    return F.aggregate(blocks, F.array().cast(kind), add)
+    by_y = F.array_sort(F.transform(blocks, lambda b, i: F.struct(centre(b).alias("y"), i.alias("i"), b.alias("b"))))
+    return let(by_y, islands)
 
 
 def segments(members: Column) -> Column:
@@ -43,15 +74,13 @@ def segments(members: Column) -> Column:
         F.array_sort(F.transform(members, lambda b: F.struct(b["box"]["x0"].alias("x"), b["box"]["y0"].alias("y"), b["block_no"].alias("k"), b.alias("b")))),
         lambda s: s["b"],
     )
-    kind = "struct<at:int,found:array<struct<text:string,box:struct<x0:double,y0:double,x1:double,y1:double>,font:string,size:double,color:int,start:int,end:int>>>"
 
-    def add(state: Column, b: Column) -> Column:
-        end = state["at"] + F.length(b["text"])
-        one = F.struct(b["text"].alias("text"), b["box"].alias("box"), b["font"].alias("font"), b["size"].alias("size"), b["color"].alias("color"), state["at"].alias("start"), end.alias("end"))
-        return F.struct((end + 1).alias("at"), F.concat(state["found"], F.array(one)).alias("found")).cast(kind)
+    def add(at: Column, b: Column) -> Column:
+        end = at + F.length(b["text"])
+        one = F.struct(b["text"].alias("text"), b["box"].alias("box"), b["font"].alias("font"), b["size"].alias("size"), b["color"].alias("color"), at.alias("start"), end.alias("end"))
+        return F.struct((end + 1).alias("carry"), F.array(one).alias("hits"))
 
-    none = F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kind)
-    return F.aggregate(ordered, none, add, lambda s: s["found"])
+    return gathered(ordered, F.lit(0), add, "struct<text:string,box:struct<x0:double,y0:double,x1:double,y1:double>,font:string,size:double,color:int,start:int,end:int>")
 
 
 def group_lines(blocks: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:

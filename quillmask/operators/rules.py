@@ -8,14 +8,15 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.columns import clean_entity, exact_round, let, rounded_box, valid_national_id, valid_phone
+from ..functions.columns import clean_entity, exact_round, gathered, let, rounded_box, valid_national_id, valid_phone
+from ..functions.emails import email_matches
 from .lines import span_box, span_style
 
 
 @dataclass(frozen=True)
 class Rule:
     """`group` is what the pattern captures as the value; a captured group ends where the match ends. Lines that don't
-    match the cheaper `prefilter` aren't put to the pattern."""
+    match the cheaper `prefilter` aren't put to the pattern. `finder`, if given, finds the pattern's matches in another way."""
 
     name: str
     pii_type: str
@@ -25,6 +26,7 @@ class Rule:
     group: int = 0
     validator: Callable[[Column], Column] | None = None
     prefilter: str | None = None
+    finder: Callable[[Column], Column] | None = None
 
 
 # Letter classes, patterns, names and confidences of the rules.
@@ -41,7 +43,7 @@ ORGANIZATION_SUFFIX = rf"(?U)\b([{_U}][{_L}0-9 &'’.,\-]{{2,70}}\s+(?:A\.Ş\.|A
 SIGNATURE = r"(?iU)\b(signature|signed\s*by|imza|ıslak\s*imza|islak\s*imza)\b"
 HANDWRITING = r"(?iU)\b(handwriting|handwritten|el\s*yazısı|el\s*yazisi)\b"
 REGEX_RULES = (
-    Rule("email", "EMAIL", EMAIL, 0.99, prefilter="@"),
+    Rule("email", "EMAIL", EMAIL, 0.99, prefilter="@", finder=email_matches),
     Rule("phone", "PHONE", PHONE, 0.92, validator=valid_phone, prefilter=r"(?U)[2-5]\d\d"),
     Rule("turkish_tc_id", "TURKISH_ID", NATIONAL_ID, 0.98, validator=valid_national_id, prefilter=r"(?U)\d{11}"),
     Rule("iban_tr", "IBAN", IBAN, 0.97, prefilter=r"(?iU)TR\d\d"),
@@ -70,21 +72,18 @@ def matches(text: Column, pattern: str, group: int) -> Column:
     """Array of struct(raw, start, end) of what the group captures, by one pass of the pattern: matches are put between
     marks, and the text is cut there. Starts follow from a running sum over what lies between."""
     replaced = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0" + (f"{INNER}${group}" if group else "") + CLOSE))
-    kind = "struct<at:int,found:array<struct<raw:string,start:int,end:int>>>"
 
-    def add(state: Column, part: Column) -> Column:
+    def add(at: Column, part: Column) -> Column:
         # part: the match, the mark and the group, the mark and what follows
-        return let(
-            F.split(part, f"[{INNER}{CLOSE}]", -1),
-            lambda x: let(
-                state["at"] + F.length(x[0]),
-                lambda end: F.struct((end + F.length(x[2 if group else 1])).alias("at"), F.concat(state["found"], F.array(F.struct(x[1 if group else 0].alias("raw"), (end - F.length(x[1 if group else 0])).alias("start"), end.alias("end")))).alias("found")).cast(kind),
-            ),
-        )
+        def cut(x: Column) -> Column:
+            end = at + F.length(x[0])
+            one = lambda e: F.struct(x[1 if group else 0].alias("raw"), (e - F.length(x[1 if group else 0])).alias("start"), e.alias("end"))
+            return let(end, lambda e: F.struct((e + F.length(x[2 if group else 1])).alias("carry"), F.array(one(e)).alias("hits")))
+
+        return let(F.split(part, f"[{INNER}{CLOSE}]", -1), cut)
 
     def spans(parts: Column) -> Column:
-        first = F.struct(F.length(parts[0]).alias("at"), F.array().cast("array<struct<raw:string,start:int,end:int>>").alias("found")).cast(kind)
-        return F.aggregate(F.slice(parts, 2, F.size(parts)), first, add, lambda s: s["found"])
+        return gathered(F.slice(parts, 2, F.size(parts)), F.length(parts[0]), add, "struct<raw:string,start:int,end:int>")
 
     return let(F.split(replaced, OPEN, -1), spans)
 
@@ -98,7 +97,8 @@ def rule_hits(text: Column, rules: tuple[Rule, ...]) -> Column:
     parts = []
     for no, rule in enumerate(rules):
         number = F.lit(no).alias("rule_no")
-        hits = F.transform(matches(unmarked(text), rule.pattern, rule.group), lambda m, k: F.struct(number, k.alias("match_no"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"))).cast(HIT)  # noqa: B023
+        found = rule.finder(text) if rule.finder else matches(unmarked(text), rule.pattern, rule.group)
+        hits = F.transform(found, lambda m, k: F.struct(number, k.alias("match_no"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"))).cast(HIT)  # noqa: B023
         parts.append(F.when(text.rlike(rule.prefilter or rule.pattern), hits).otherwise(none))
     return F.concat(*parts)
 
