@@ -13,8 +13,8 @@ STRIPPED = " \t\n\r:;-–—,."
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
-    """`body` of a value that is computed once."""
-    return F.element_at(F.transform(F.array(value), body), 1)
+    """`body` of a value that is computed once. An aggregate over nothing doesn't copy what body gives, as transform() does with its elements."""
+    return F.aggregate(F.array().cast("array<int>"), value, lambda x, _: x, body)
 
 
 def gathered(items: Column, carry: Column, step: Callable[[Column, Column], Column], hit: str, chunk: int = 128) -> Column:

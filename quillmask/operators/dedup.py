@@ -53,7 +53,7 @@ def kept_of_crowd(items: Column, by_text: bool) -> Column:
     so a cell has few. Keys of kept texts are in buckets likewise. The fold's state is two arrays of buckets; a bucket's
     number is a hash, so the sizes go with the root of the number of items: a step copies as much as it compares."""
     n = F.size(items)
-    buckets = F.greatest(F.lit(1), (32 * F.sqrt(n)).cast("int"))
+    buckets = F.greatest(F.lit(1), (10 * F.sqrt(n)).cast("int"))
 
     def fold(count: Column) -> Column:
         def prepared(x: Column) -> Column:

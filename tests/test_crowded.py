@@ -3,13 +3,14 @@
 import random
 import time
 
+import numpy as np
 from pyspark.sql import functions as F
 
 from quillmask.functions import columns as c
 from quillmask.functions.emails import email_matches
 from quillmask.operators import dedup, lines, rules
 
-from .test_operators import block_rows, detections, lines_by_hand, overlap, random_blocks
+from .test_operators import block_rows, detections, lines_by_hand, random_blocks
 
 
 def test_emails_are_the_patterns_matches(spark):
@@ -76,11 +77,16 @@ def test_a_page_of_many_blocks(spark):
 
 
 def greedy(rows, by_text=True):
-    kept = []
+    kept, texts, at = set(), set(), np.empty((len(rows), 4))
     for i, r in sorted(enumerate(rows), key=lambda p: (-p[1][4], p[0])):
-        if not any((by_text and k[2].lower() == r[2].lower()) or overlap(k[3], r[3]) > 0.55 for _, k in kept):
-            kept.append((i, r))
-    return {i for i, _ in kept}
+        a, b = np.array(r[3]), at[: len(kept)]
+        both = np.prod(np.maximum(0, np.minimum(b[:, 2:], a[2:]) - np.maximum(b[:, :2], a[:2])), axis=1)
+        union = np.prod(b[:, 2:] - b[:, :2], axis=1) + np.prod(a[2:] - a[:2]) - both
+        if not (by_text and r[2] in texts) and not (both > 0.55 * union).any():
+            at[len(kept)] = a
+            kept.add(i)
+            texts.add(r[2])
+    return kept
 
 
 def boxes(rnd, n, room, texts):
