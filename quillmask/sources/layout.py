@@ -132,24 +132,29 @@ def routed(native: DataFrame, ocr: DataFrame, flags: DataFrame) -> DataFrame:
     return native.join(flags.filter("not is_scanned"), "doc_id", "left_semi").unionByName(ocr.join(flags.filter("is_scanned"), "doc_id", "left_semi"), allowMissingColumns=True)
 
 
+def pdf_pages(data: bytes, part: int = 0, of: int = 1) -> Iterator[dict]:
+    """Pages of a PDF: all, or part k of n of them."""
+    import fitz
+
+    with fitz.open(stream=data, filetype="pdf") as pdf:
+        first, last = (len(pdf) * k // of for k in (part, part + 1))
+        for number in range(first, last):
+            page, blocks, images = pdf[number], [], []
+            for found in page.get_text("dict")["blocks"]:
+                if found["type"] == 1:
+                    images.append({"bbox": list(found["bbox"]), "width": found.get("width"), "height": found.get("height")})
+                for s in (s for line in found.get("lines", ()) for s in line["spans"]):
+                    blocks.append({"text": s["text"], "bbox": list(s["bbox"]), "font": s["font"], "size": round(s["size"], 2), "color": s["color"], "confidence": None})
+            yield {"page": number + 1, "width": page.rect.width, "height": page.rect.height, "blocks": blocks, "images": images}
+
+
 def read_pdf(spark: SparkSession, path: str) -> DataFrame:
     """Layout of PDF files, a row a page. Needs PyMuPDF on the workers; a file is parsed by one task."""
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        import fitz
-
         for batch in batches:
             for doc_id, data in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True):
-                rows = []
-                with fitz.open(stream=data, filetype="pdf") as pdf:
-                    for number, page in enumerate(pdf, 1):
-                        blocks, images = [], []
-                        for part in page.get_text("dict")["blocks"]:
-                            if part["type"] == 1:
-                                images.append({"bbox": list(part["bbox"]), "width": part.get("width"), "height": part.get("height")})
-                            for s in (s for line in part.get("lines", ()) for s in line["spans"]):
-                                blocks.append({"text": s["text"], "bbox": list(s["bbox"]), "font": s["font"], "size": round(s["size"], 2), "color": s["color"], "confidence": None})
-                        rows.append({"doc_id": doc_id, "page": number, "width": page.rect.width, "height": page.rect.height, "blocks": blocks, "images": images})
+                rows = [{"doc_id": doc_id, **page} for page in pdf_pages(data)]
                 if rows:
                     yield pa.RecordBatch.from_pylist(rows, schema)
 
