@@ -12,6 +12,10 @@ Defined results: a null payload is an empty one; payloads of fewer than `least`
 repeat both id and payload are all responses; a record without an id is a revisit if another of its payload has one,
 else a response; an empty table gives an archive folder without records; payloads may hold any bytes, record ends
 included, as the reader goes by Content-Length. Other columns are not read.
+
+A record's id names the run (drawn anew for each call), the payload's digest and the row's id, and for rows that may share
+these a number of their own, so that no two records have one id. Of records that repeat both id and payload one is without
+that number, and it is the one that revisits name.
 """
 
 from __future__ import annotations
@@ -20,7 +24,9 @@ import base64
 import gzip
 import hashlib
 import io
+import uuid
 from collections.abc import Iterator
+from datetime import UTC, datetime
 from typing import BinaryIO
 
 import pyarrow as pa
@@ -52,27 +58,39 @@ def headers(pages: DataFrame, key: str, payload: str) -> DataFrame:
 
 
 def resolved(records: DataFrame, least: int) -> DataFrame:
-    """Adds `original`: the record that a revisit refers to, null for responses. Revisits have no payload."""
+    """Adds `original`: the record that a revisit refers to, null for responses; and `copy`: null, or a number that no other
+    record of this id and payload has. Revisits have no payload."""
     tables = Tables(records.sparkSession)
     large = records.filter(F.col("payload_bytes") >= least)
-    groups = tables.written(large.groupBy("digest").agg(F.max("record").alias("largest"), F.count(F.lit(1)).alias("n")), "digests")
+    equal = large.groupBy("digest", "record").agg(F.count(F.lit(1)).alias("n"))
+    groups = tables.written(equal.groupBy("digest").agg(F.max("record").alias("largest"), F.sum("n").alias("n"), F.max_by("n", "record").alias("ties")), "digests")
     repeated = tables.written(bitmap(groups.filter("n > 1 and largest is not null"), "digest"), "bits")
     # all digests that the bitmap takes for repeated ones; those that aren't have a response of their own
-    known = tables.written(sieved(groups, "digest", repeated).select("digest", "largest"), "repeated")
+    known = tables.written(sieved(groups, "digest", repeated).select("digest", "largest", "ties"), "repeated")
     pair = lambda record: F.xxhash64("digest", record)
     first = tables.written(bitmap(known.select(pair("largest").alias("pair")), "pair"), "bits")
-    alone = sieved(large, "digest", repeated, has=False).union(records.filter(F.col("payload_bytes") < least))
+    alone = sieved(large, "digest", repeated, has=False).withColumn("copy", F.when(F.col("record").isNull(), F.monotonically_increasing_id()))
+    small = records.filter(F.col("payload_bytes") < least).withColumn("copy", F.monotonically_increasing_id())
     paired = sieved(large, "digest", repeated).withColumn("pair", pair("record"))
     perhaps = sieved(paired, "pair", first).join(known, "digest")
     never = sieved(paired, "pair", first, has=False).withColumn("payload", F.lit("")).join(known, "digest")
-    original = F.when(~F.col("largest").eqNullSafe(F.col("record")), F.col("largest"))
+    is_largest = F.col("largest").eqNullSafe(F.col("record"))
+    original = F.when(~is_largest, F.col("largest"))
+    tied = is_largest & F.col("record").isNotNull() & (F.col("ties") > 1)
+    # numbers are fixed by writing them, so that one of each tie can be told
+    ties = tables.written(perhaps.filter(tied).withColumn("row", F.monotonically_increasing_id()), "ties")
+    least_row = ties.groupBy("digest").agg(F.min("row").alias("row")).select("row", F.lit(True).alias("named"))
+    told = ties.join(least_row, "row", "left").withColumn("copy", F.when(F.col("named").isNull(), F.col("row")))
+    numbered = F.when(~is_largest | F.col("record").isNull(), F.monotonically_increasing_id())
     columns = ["record", "url", "payload", "payload_bytes", "payload_digest"]
-    out = alone.select(*columns, F.lit(None).cast("long").alias("original"))
-    return out.union(perhaps.select(*columns, original.alias("original"))).union(never.select(*columns, original.alias("original")))
+    out = alone.union(small).select(*columns, F.lit(None).cast("long").alias("original"), "copy")
+    for part in (perhaps.filter(~tied).withColumn("copy", numbered), told, never.withColumn("copy", numbered)):
+        out = out.union(part.select(*columns, original.alias("original"), "copy"))
+    return out
 
 
-def record_uri(record: Column, run: str) -> Column:
-    return F.concat(F.lit(f"<urn:quillmask:{run}:"), F.coalesce(record.cast("string"), F.lit("none")), F.lit(">"))
+def record_uri(record: Column, copy: Column, run: str) -> Column:
+    return F.concat(F.lit(f"<urn:quillmask:{run}:"), F.concat_ws(":", F.col("payload_digest"), F.coalesce(record.cast("string"), F.lit("none")), copy.cast("string")), F.lit(">"))
 
 
 def record_text(run: str, date: str) -> Column:
@@ -85,11 +103,11 @@ def record_text(run: str, date: str) -> Column:
     return F.concat(
         F.lit(f"WARC/1.1{eol}"),
         field("WARC-Type", F.when(revisit, F.lit("revisit")).otherwise(F.lit("response"))),
-        field("WARC-Record-ID", record_uri(F.col("record"), run)),
+        field("WARC-Record-ID", record_uri(F.col("record"), F.col("copy"), run)),
         field("WARC-Date", F.lit(date)),
         field("WARC-Target-URI", uri),
         field("WARC-Payload-Digest", F.concat(F.lit("sha1:"), F.col("payload_digest"))),
-        F.when(revisit, F.concat(field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), field("WARC-Refers-To", record_uri(F.col("original"), run)))).otherwise(F.lit("")),
+        F.when(revisit, F.concat(field("WARC-Profile", F.lit("http://netpreserve.org/warc/1.1/revisit/identical-payload-digest")), field("WARC-Refers-To", record_uri(F.col("original"), F.lit(None), run)))).otherwise(F.lit("")),
         field("Content-Type", F.lit("application/http; msgtype=response")),
         field("Content-Length", length.cast("string")),
         F.lit(eol),
@@ -98,8 +116,9 @@ def record_text(run: str, date: str) -> Column:
     )
 
 
-def write_archives(pages: DataFrame, path: str, key: str = "page_id", payload: str = "html", least: int = 0, run: str = "r1", date: str = "2026-01-01T00:00:00Z") -> None:
-    """Writes gzip archives, one record for each row, to `path`."""
+def write_archives(pages: DataFrame, path: str, key: str = "page_id", payload: str = "html", least: int = 0, run: str | None = None, date: str | None = None) -> None:
+    """Writes gzip archives, one record for each row, to `path`. run and date (by default drawn, and now) stand in every record."""
+    run, date = run or uuid.uuid4().hex, date or datetime.now(UTC).strftime("%Y-%m-%dT%H:%M:%SZ")
     records = resolved(headers(pages, key, payload), least)
     rows = records.select(record_text(run, date).alias("value"))
     rows.write.option("lineSep", "\r\n\r\n").option("compression", "gzip").option("maxRecordsPerFile", FILE_RECORDS).text(path)
@@ -124,8 +143,9 @@ def parse(archive: BinaryIO) -> Iterator[tuple[dict[str, str], bytes, bytes]]:
 
 
 def own_id(uri: str | None) -> int | None:
-    last = (uri or "").rstrip(">").rpartition(":")[2]
-    return int(last) if last.lstrip("-").isdigit() else None
+    """The row's id in a record's id: run, digest, id and perhaps a number follow the two names of the scheme."""
+    parts = (uri or "").strip("<>").split(":")
+    return int(parts[4]) if len(parts) > 4 and parts[4].lstrip("-").isdigit() else None
 
 
 def read_archives(spark: SparkSession, path: str) -> DataFrame:

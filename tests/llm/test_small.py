@@ -2,7 +2,9 @@
 
 import base64
 import collections
+import gzip
 import hashlib
+import io
 import json
 import random
 import re
@@ -77,7 +79,7 @@ def test_remembered_tokens_bound_memory_not_results():
 
 
 def pages(spark):
-    rows = [(1, "u 1", "same"), (5, None, "same"), (3, "u", "same"), (2, "u", None), (4, "u", ""), (6, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "same"), (7, "u", "alone"), (8, "u", "y" * 70_000), (9, "u", "twice"), (9, "u", "twice")]
+    rows = [(1, "u 1", "same"), (5, None, "same"), (3, "u", "same"), (2, "u", None), (4, "u", ""), (6, "u", "é\r\n\r\nWARC/1.1\r\n"), (None, "u", "same"), (7, "u", "alone"), (8, "u", "y" * 70_000), (9, "u", "twice"), (9, "u", "twice"), (2, "u", "twice"), (2, "u", "twice"), (None, "u", "twice"), (None, "u", "nameless"), (None, "u", "nameless")]
     return spark.createDataFrame([(*r, "z") for r in rows], "page_id long, url string, html string, payload string")
 
 
@@ -99,6 +101,12 @@ def test_warc_round_trip(spark, least):
             revisit = len(data) >= least and largest is not None and i != largest
             wanted[i, len(data), base64.b32encode(hashlib.sha1(data).digest()).decode(), "revisit" if revisit else "response", largest if revisit else None] += 1
     assert collections.Counter((r["page_id"], r["payload_bytes"], r["payload_digest"], r["record_type"], r["refers_to"]) for r in got) == wanted
+    fields = [f for data in spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(path).collect() for f, _, _ in warc.parse(gzip.open(io.BytesIO(data["content"])))]
+    named = collections.Counter(f["warc-record-id"] for f in fields)
+    assert max(named.values()) == 1 and len(named) == rows.count()
+    digests = {f["warc-record-id"]: (f["warc-type"], f["warc-payload-digest"]) for f in fields}
+    assert all(digests[f["warc-refers-to"]] == ("response", f["warc-payload-digest"]) for f in fields if f["warc-type"] == "revisit")
+    assert len({f["warc-record-id"].split(":")[2] for f in fields}) == 1
     empty = store.fresh_dir(spark, "warc")
     warc.write_archives(rows.limit(0), empty)
     assert warc.read_archives(spark, empty).count() == 0
