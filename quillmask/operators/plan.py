@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.columns import box, font_ladder, rgb, strip_space
+from ..functions.textfit import fitting_size
 
 
 def anonymization_map(replaced: DataFrame, found: DataFrame | None, order: Column) -> DataFrame:
@@ -24,7 +25,8 @@ def anonymization_map(replaced: DataFrame, found: DataFrame | None, order: Colum
 
 
 def redaction_plan(mapped: DataFrame, pages: DataFrame) -> DataFrame:
-    """Adds redact_box (wider by 4 points on both sides), insert_box (up to the right margin, 200 points at least where they fit), rgb and font_sizes."""
+    """Adds redact_box (wider by 4 points on both sides), insert_box (up to the right margin, 200 points at least where they fit), rgb, font_sizes
+    and font_size: the first of them at which the replacement fits into insert_box by the widths of the standard font, null where none does."""
     sized = mapped.join(pages.select("doc_id", "page", "width"), ["doc_id", "page"], "left")
     b = F.col("box")
     right = F.least(F.coalesce("width", F.lit(595.0)) - 30, F.greatest(b["x1"], b["x0"] + 200))
@@ -33,6 +35,7 @@ def redaction_plan(mapped: DataFrame, pages: DataFrame) -> DataFrame:
         .withColumn("insert_box", box(b["x0"], b["y0"], right, b["y1"]))
         .withColumn("rgb", rgb(F.col("color")))
         .withColumn("font_sizes", font_ladder(F.col("size")))
+        .withColumn("font_size", fitting_size(F.col("fake_text"), F.col("insert_box.x1") - b["x0"], b["y1"] - b["y0"], F.col("font_sizes")))
         .drop("width")
     )
 

@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .functions import columns as c
+from .functions import textfit
 from .operators import dedup, fakes, fields, lines, plan, rules
 from .plans import pipeline
 from .sources import forms, layout, redaction
@@ -549,6 +550,25 @@ def q_redactions_by_page(spark: SparkSession, sf_dir: str) -> DataFrame:
     return redaction.by_page(planned).select("doc_id", "page", F.size("redactions").alias("n"), F.array_join(named, "|").alias("redactions"))
 
 
+#: Words of customers' names and segments in boxes that are at least as wide as each word, the same widths from character codes.
+_FIT_SQL = f"""WITH RECURSIVE t AS (SELECT c_custkey AS k, replace(c_name, '#', ' ') || ' ' || c_mktsegment AS text, (110 + c_custkey % 160)::DOUBLE AS width, (8 + c_custkey % 37)::DOUBLE AS height FROM customer),
+w AS (SELECT k, i, list_sum(list_transform(string_split(string_split(text, ' ')[i], ''), lambda x: {list(textfit.WIDTHS)}[ascii(x) - 31]))::BIGINT AS wide FROM t, unnest(range(1, len(string_split(text, ' ')) + 1)) AS u(i)),
+s AS (SELECT k, 11.0::DOUBLE * unnest([1.0, 0.9, 0.8, 0.7, 0.6]::DOUBLE[]) AS size, width, height FROM t),
+f AS (SELECT k, size, 0::BIGINT AS i, 1 AS lines, 0::BIGINT AS used, width * 1000 / size AS room FROM s
+  UNION ALL SELECT f.k, f.size, w.i, CASE WHEN used = 0 OR used + 278 + wide <= room THEN lines ELSE lines + 1 END, CASE WHEN used = 0 THEN wide WHEN used + 278 + wide <= room THEN used + 278 + wide ELSE wide END, room FROM f JOIN w ON w.k = f.k AND w.i = f.i + 1),
+last AS (SELECT k, size, max(lines) AS lines FROM f GROUP BY ALL)
+SELECT k AS c_custkey, max(size) FILTER (WHERE lines * size * {textfit.LINE_HEIGHT}::DOUBLE <= height) AS font_size, max(lines) FILTER (WHERE size = 11.0) AS lines FROM last JOIN s USING (k, size) GROUP BY k"""
+
+
+@query(_FIT_SQL)
+def q_font_fit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The font size at which a customer's name and segment fit into a box, and their lines at the full size."""
+    k, size = F.col("c_custkey"), F.lit(11.0)
+    width, height = (110 + k % 160).cast("double"), (8 + k % 37).cast("double")
+    text = F.concat_ws(" ", F.regexp_replace("c_name", "#", " "), "c_mktsegment")
+    return table(spark, sf_dir, "customer").select("c_custkey", textfit.fitting_size(text, width, height, c.font_ladder(size)).alias("font_size"), textfit.lines_at(textfit.measured(text), width, size).alias("lines"))
+
+
 @query("SELECT doc_id FROM documents WHERE NOT list_bool_or(list_transform(string_split(text, chr(10)), lambda x: regexp_matches(x, '" + _EMAIL + "')))")
 def q_no_pii_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Documents without an e-mail address."""
