@@ -109,16 +109,17 @@ def configured(spark: SparkSession, available_now: bool) -> Iterator[None]:
             spark.conf.set(name, value)
 
 
-def results(pages: DataFrame, run_key: str | None, log: MappingLog | None = None, scope: str = "doc") -> dict[str, DataFrame]:
-    """Detections, map and plan of whole documents. pages: rows of WHOLE."""
+def results(pages: DataFrame, run_key: str | None, log: MappingLog | None = None, scope: str = "doc", kept: Callable[[str, DataFrame], DataFrame] = lambda name, rows: rows) -> dict[str, DataFrame]:
+    """Detections, map and plan of whole documents. pages: rows of WHOLE. kept(name, rows) may write a result and give what is read from it,
+    so that the next one doesn't compute it again."""
     spread = pipeline.Layout(lay.blocks_of(pages), lay.images_of(pages), lay.pages_of(pages))
-    found = pipeline.detect_pii(spread)
+    found = kept("detections", pipeline.detect_pii(spread))
     if log is None:
         replaced = pipeline.build_replacements(found, run_key, scope)
     else:
         replaced = log.replacements(found, dedup.order_key(), run_key, scope)
-    mapped = plan.anonymization_map(replaced, None, dedup.order_key())
-    return dict(zip(RESULTS, (found, mapped, plan.redaction_plan(mapped, spread.pages)), strict=True))
+    mapped = kept("map", plan.anonymization_map(replaced, None, dedup.order_key()))
+    return dict(zip(RESULTS, (found, mapped, kept("plan", plan.redaction_plan(mapped, spread.pages))), strict=True))
 
 
 def batch_writer(folder: str, run_key: str | None, log_path: str | None = None, scope: str = "doc") -> Callable[[DataFrame, int], None]:
@@ -126,12 +127,16 @@ def batch_writer(folder: str, run_key: str | None, log_path: str | None = None,
 
     def write(pages: DataFrame, number: int) -> None:
         spark = pages.sparkSession
-        pages = pages.persist()  # state is read once; three results come from it
+        pages = pages.persist()  # the state is read once
+
+        def kept(name: str, rows: DataFrame) -> DataFrame:
+            path = f"{folder}/{name}/batch={number}"
+            rows.write.mode("overwrite").parquet(path)
+            return spark.read.schema(rows.schema).parquet(path)
+
         try:
-            log = None if log_path is None else MappingLog(spark, log_path)
-            for name, rows in results(pages, run_key, log, scope).items():
-                rows.write.mode("overwrite").parquet(f"{folder}/{name}/batch={number}")
-            pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.first("complete").alias("complete")).write.mode("overwrite").parquet(f"{folder}/documents/batch={number}")
+            results(pages, run_key, None if log_path is None else MappingLog(spark, log_path), scope, kept)
+            kept("documents", pages.groupBy("doc_id").agg(F.count(F.lit(1)).alias("pages"), F.first("complete").alias("complete")))
         finally:
             pages.unpersist()
 
