@@ -4,12 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .functions import columns as c
 from .functions import textfit
-from .operators import dedup, fakes, fields, lines, plan, rules
+from .operators import dedup, fakes, fields, lines, metrics, plan, rule_tables, rules
 from .plans import pipeline
 from .sources import forms, layout, redaction
 
@@ -594,3 +594,43 @@ def q_pipeline_end_to_end(spark: SparkSession, sf_dir: str) -> DataFrame:
     _, _, planned = pipeline.run_pipeline(form_layout(spark, sf_dir), SALT)
     width = F.col("redact_box.x1") - F.col("redact_box.x0")
     return planned.groupBy("pii_type", "page").agg(F.count(F.lit(1)).alias("n"), F.count("fake_text").alias("replaced"), F.sum(width).alias("redacted_width"))
+
+
+#: Detections of the second pages: of two signature labels with the same text one stays, as on any page.
+_SECOND = f"""second AS (SELECT doc_id, type, original_text, x0, y0, x1, y1 FROM kept WHERE y0 = 210 OR type = 'EMAIL'
+  UNION ALL SELECT k, 'SIGNATURE', 'Signature', 430.0, 316.0, 571.0, 368.0 FROM v)"""
+
+
+@query(f"""{_MAP}, {_SECOND}, page_rows AS (SELECT doc_id, 1 AS page, pii_type, original_text, x0, y0, x1, y1, font, size, color FROM a
+  UNION ALL SELECT doc_id, 2, type, original_text, x0, y0, x1, y1, CASE WHEN type <> 'SIGNATURE' THEN 'Second' END, CASE WHEN type <> 'SIGNATURE' THEN 9.0 END, CASE WHEN type <> 'SIGNATURE' THEN 77 ELSE 0 END FROM second)
+SELECT *, CASE WHEN pii_type IN {_SUPPORTED} THEN 1 ELSE 0 END AS n_values FROM page_rows""")
+def q_two_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Forms of two pages: styles are a page's own, a text's value is the document's (n_values: how many it has)."""
+    form = form_layout(spark, sf_dir)
+    blocks, pages = forms.second_pages(form.blocks)
+    _, mapped, _ = pipeline.run_pipeline(pipeline.Layout(form.blocks.unionByName(blocks), form.images, form.pages.unionByName(pages)), SALT)
+    values = F.size(F.collect_set("fake_text").over(Window.partitionBy("doc_id", "original_text"))).alias("n_values")
+    return flat_box(mapped.select("doc_id", "page", "pii_type", "original_text", "font", "size", "color", values, "box"))
+
+
+_TABLE_RULES = ("email", "iban_tr", "turkish_tc_id", "student_index_context")
+
+
+@query(f"{RAW} SELECT {_D} FROM raw WHERE rule IN {_TABLE_RULES} UNION ALL SELECT k, 'DIAL_CODE', '+90', 0.5, 'dial_code', 92.0, 90.0, 110.0, 102.0 FROM v")
+def q_rule_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules from a table, to which SQL adds one."""
+    table_ = rule_tables.to_table(spark, (named_rule(n) for n in _TABLE_RULES))
+    added = spark.sql(r"SELECT 'dial_code' AS name, 'DIAL_CODE' AS pii_type, r'Phone: (\+\d+)(?= )' AS pattern, 0.5D AS confidence, NULL AS method, 1 AS capture, NULL AS validator, 'Phone' AS prefilter, NULL AS finder, 9 AS ord")
+    return _flat(rule_tables.detect_by_table(lines.group_lines(form_layout(spark, sf_dir).blocks), table_.unionByName(added)))
+
+
+@query(f"""{KEPT}, t AS (SELECT *, doc_id % 30 // 7 AS week FROM kept)
+SELECT week, count(*) AS detections, count(*) FILTER (WHERE confidence >= 0.9) AS confident, count(DISTINCT original_text) AS exact_texts, count(DISTINCT doc_id) AS exact_pages, true AS texts_close, true AS pages_close FROM t GROUP BY week""")
+def q_metrics_merged(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Weeks put together from days' counts and sketches; the estimates are held against exact numbers of distinct values."""
+    found = pipeline.detect_pii(form_layout(spark, sf_dir)).withColumn("day", F.col("doc_id") % 30)
+    week = F.floor(F.col("day") / 7).alias("week")
+    weeks = metrics.merged(metrics.sketched(found, "day").withColumn("week", week), "week")
+    exact = found.groupBy(week).agg(F.count_distinct("original_text").alias("exact_texts"), F.count_distinct("doc_id", "page").alias("exact_pages"))
+    close = lambda estimate, exact: F.abs(F.col(estimate) - F.col(exact)) <= metrics.ERROR * F.col(exact)
+    return weeks.join(exact, "week").select("week", "detections", "confident", "exact_texts", "exact_pages", close("distinct_texts", "exact_texts").alias("texts_close"), close("pages_with_detections", "exact_pages").alias("pages_close"))

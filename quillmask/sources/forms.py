@@ -58,3 +58,13 @@ def images(customers: DataFrame) -> DataFrame:
 
 def pages(customers: DataFrame) -> DataFrame:
     return customers.select(F.col("c_custkey").alias("doc_id"), F.lit(1).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
+
+
+def second_pages(first: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Blocks and pages of the forms' second pages, from the first pages' blocks: the student id and the e-mail once more, in
+    another style, and two signature labels, of which one ends in the right part of the page."""
+    again = first.filter("block_no in (3, 6)").select("doc_id", F.lit(2).alias("page"), "block_no", "text", "box")
+    label = lambda no, x, y: F.struct(F.lit(no).alias("block_no"), F.lit("Signature:").alias("text"), box(F.lit(x), F.lit(y), F.lit(x + 60), F.lit(y + 12)).alias("box"))
+    labels = first.filter("block_no = 8").select("doc_id", F.lit(2).alias("page"), F.inline(F.array(label(8, 430.0, 300.0), label(9, 50.0, 600.0))))
+    found = again.unionByName(labels).withColumns({"font": F.lit("Second"), "size": F.lit(9.0), "color": F.lit(77)})
+    return found, first.filter("block_no = 8").select("doc_id", F.lit(2).alias("page"), F.lit(WIDTH).alias("width"), F.lit(HEIGHT).alias("height"))
