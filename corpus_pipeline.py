@@ -65,12 +65,14 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Applies the stages to the documents of `sf_dir`."""
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for i, (name, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i < len(STAGES) - 1:
-            path = store.fresh_dir(spark, name)
-            docs.write.parquet(path)
-            docs = spark.read.parquet(path)
-    return docs
+    """Applies the stages to the documents of `sf_dir`. What a stage keeps in the shared folder goes when its result is
+    written, and that result when the next is; the last stage's tables stay, as the result reads them."""
+    docs, before = spark.read.parquet(f"{sf_dir}/documents.parquet"), None
+    for name, stage in STAGES[:-1]:
+        path = store.fresh_dir(spark, name)
+        with store.job(spark):
+            stage(spark, docs, sf_dir).write.parquet(path)
+        if before:
+            store.delete(spark, before)
+        docs, before = spark.read.parquet(path), path
+    return STAGES[-1][1](spark, docs, sf_dir)

@@ -9,6 +9,7 @@ import tempfile
 import uuid
 from collections.abc import Iterator
 from contextlib import contextmanager
+from contextvars import ContextVar
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -26,9 +27,34 @@ def shared_root(spark: SparkSession) -> str:
     return root
 
 
+#: Folders given out by the job that is going on in this thread.
+_given: ContextVar[list[str] | None] = ContextVar("given", default=None)
+
+
 def fresh_dir(spark: SparkSession, name: str) -> str:
     """A path that nothing has been written to."""
-    return f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    path = f"{shared_root(spark)}/{name}-{uuid.uuid4().hex}"
+    if (given := _given.get()) is not None:
+        given.append(path)
+    return path
+
+
+@contextmanager
+def job(spark: SparkSession) -> Iterator[None]:
+    """Removes the folders that operators take inside, on whatever file system, when the block ends, also by an error. Write
+    results inside, to a path of your own (or a `fresh_dir` from before): what still reads those tables can't be read afterwards.
+
+        with store.job(spark):
+            mixing.mixed(docs, 32).write.parquet(path)
+    """
+    token = _given.set([])
+    try:
+        yield
+    finally:
+        paths = _given.get()
+        _given.reset(token)
+        for path in paths:
+            delete(spark, path)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:

@@ -6,6 +6,7 @@ import gzip
 import hashlib
 import io
 import json
+import os
 import random
 import re
 import time
@@ -17,7 +18,7 @@ import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from quillmask.llm import bpe, cascade, compaction, graphann, mixing, neardup, quotes, resample, store, warc, wavelet
+from quillmask.llm import bpe, cascade, codes, compaction, graphann, mixing, neardup, quotes, resample, store, warc, wavelet
 
 WORDS = re.compile(r"[^\x20\x09-\x0D]+").findall
 LOWER = {c: c + 32 for c in range(ord("A"), ord("Z") + 1)}
@@ -295,6 +296,16 @@ def test_schedule_is_earliest_deadline_first():
             assert block[source == s].tolist() == list(range(n))
 
 
+def test_schedule_does_not_depend_on_how_far_windows_are_made_ahead():
+    rnd = np.random.default_rng(5)
+    for n in (1, 2, 7, 60):
+        blocks, weights = rnd.integers(1, 90, n), rnd.random(n) + 1e-3
+        wanted = mixing.schedule(blocks, weights)
+        pieces = list(mixing.slots(blocks, weights, size=37, ahead=1))
+        assert all(len(p[0]) <= 37 for p in pieces)
+        assert [np.concatenate(x).tolist() for x in zip(*pieces, strict=True)] == [x.tolist() for x in wanted]
+
+
 @pytest.mark.parametrize("weights", [[0.6180339887, 0.2718281828, 0.1100878, 0.00003, 0.00001], [(i % 17 + 0.1) ** 1.5 for i in range(200)]])
 def test_lag_stays_below_a_block(weights):
     w = np.array(weights) / sum(weights)
@@ -319,6 +330,46 @@ def test_mixed_rows_follow_the_schedule_whatever_the_number_of_sources(spark):
     assert {(r["mix_slot"], r["source"], r["mix_block"]) for r in got} == {(t, names[s], b) for t, (s, b) in enumerate(zip(source.tolist(), block.tolist(), strict=True))}
 
 
+def test_groups_of_many_spans_follow_the_schedule(spark, monkeypatch):
+    docs = spark.range(3000).select(F.col("id").alias("doc_id"), F.when(F.col("id") % 3 == 0, "a").otherwise("b").alias("source"))
+    columns = ("doc_id", "mix_source", "mix_block", "mix_slot", "mix_position")
+    wanted = sorted(map(tuple, mixing.mixed(docs, 8, group_rows=16).select(*columns).collect()))
+    monkeypatch.setattr(mixing, "SPAN_GROUPS", 7)
+    got = mixing.mixed(docs, 8, group_rows=16)
+    assert sorted(map(tuple, got.select(*columns).collect())) == wanted
+    check_mix(got.collect(), 8)
+
+
+def folders(spark):
+    return set(os.listdir(store.shared_root(spark)))
+
+
+def test_a_job_leaves_nothing_but_its_result(spark, tmp_path):
+    texts = [(i, f"text {i % 40} of some words that are the same in several documents {i % 3}", f"s{i % 3}") for i in range(120)]
+    docs = spark.createDataFrame(texts, "doc_id long, text string, source string")
+    labels = spark.createDataFrame([(i, i % 2, 0) for i in range(120)], "doc_id long, quality int, toxic int")
+    rnd = np.random.default_rng(2)
+    vectors = spark.createDataFrame([(i, rnd.normal(size=4).tolist()) for i in range(60)], "vec_id long, embedding array<double>")
+    steps = {
+        "mix": lambda: mixing.mixed(docs, 8),
+        "draw": lambda: resample.resampled(docs, labels),
+        "near": lambda: neardup.kept_documents(docs, neardup.Settings(percent=80)),
+        "codes": lambda: codes.compressed(vectors, label=None, parts=2)[0],
+        "graph": lambda: graphann.nearest(vectors, vectors, 5),
+    }
+    before = folders(spark)
+    for name, step in steps.items():
+        with store.job(spark):
+            step().write.parquet(str(tmp_path / name))
+            assert folders(spark) > before, name
+        assert folders(spark) == before, name
+        assert spark.read.parquet(str(tmp_path / name)).count() > 0
+    with pytest.raises(RuntimeError), store.job(spark):
+        store.written(docs, "kept")
+        raise RuntimeError
+    assert folders(spark) == before
+
+
 def components_by_hand(values, percent):
     sets = []
     for v in values:
