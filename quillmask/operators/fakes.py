@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.columns import let, national_checks, only_digits
+from ..functions.columns import let, only_digits
 
 # Types that have a replacement, the signature's replacement, name parts of organisations, names never given.
 TYPES = ("PERSON", "ORGANIZATION", "EMAIL", "PHONE", "TURKISH_ID", "IBAN", "STUDENT_ID", "SIGNATURE")
@@ -46,9 +46,10 @@ def digit_at(seed_: Column, i: Column | int) -> Column:
 
 
 def digit_run(seed_: Column, n: Column | int) -> Column:
-    """The first n digits as a string."""
+    """The first n digits as a string: they count down from the seed's last digit, over and over."""
     n = F.lit(n) if isinstance(n, int) else n
-    return F.when(n > 0, F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(n, F.lit(1)) - 1), lambda i: digit_at(seed_, i).cast("string")), "")).otherwise("")
+    down = F.repeat(F.lit("9876543210"), (n / 10).cast("int") + 2)
+    return F.when(n > 0, F.substr(down, 10 - last_digit(seed_), n)).otherwise("")
 
 
 def is_digit(c: Column) -> Column:
@@ -57,21 +58,28 @@ def is_digit(c: Column) -> Column:
 
 def fill(text: Column, values: Column, slot, spare: str = "0") -> Column:
     """Puts the next of `values` into each character of `text` that is a slot; `spare` when they are used up."""
-    step = F.aggregate(
-        F.split(text, ""),
-        F.struct(F.lit("").alias("out"), F.lit(0).alias("used")),
-        lambda acc, c: F.when(slot(c), F.struct(F.concat(acc["out"], F.when(acc["used"] < F.length(values), F.substr(values, acc["used"] + 1, F.lit(1))).otherwise(F.lit(spare))).alias("out"), (acc["used"] + 1).alias("used"))).otherwise(
-            F.struct(F.concat(acc["out"], c).alias("out"), acc["used"].alias("used"))
-        ),
-    )
-    return step["out"]
+
+    def put(ready: Column) -> Column:
+        step = F.aggregate(
+            F.split(text, ""),
+            F.struct(F.lit("").alias("out"), F.lit(0).alias("used")),
+            lambda acc, c: F.when(slot(c), F.struct(F.concat(acc["out"], F.when(acc["used"] < F.length(ready), F.substr(ready, acc["used"] + 1, F.lit(1))).otherwise(F.lit(spare))).alias("out"), (acc["used"] + 1).alias("used"))).otherwise(
+                F.struct(F.concat(acc["out"], c).alias("out"), acc["used"].alias("used"))
+            ),
+        )
+        return step["out"]
+
+    return let(values, put)  # not once a character
 
 
 def national_id(text: Column, s: Column) -> Column:
-    first = digit_at(s, 0)
-    nine = [F.when(first == 0, F.lit(1)).otherwise(first), *(digit_at(s, i) for i in range(1, 9))]
-    tenth, eleventh = national_checks(nine)
-    return fill(text, F.concat(*(d.cast("string") for d in (*nine, tenth, eleventh))), is_digit)
+    def whole(last: int) -> str:
+        nine = [last or 1, *((last - i) % 10 for i in range(1, 9))]
+        tenth = (7 * sum(nine[0:9:2]) - sum(nine[1:8:2])) % 10
+        return "".join(map(str, (*nine, tenth, (sum(nine) + tenth) % 10)))
+
+    # all digits follow from the seed's last one
+    return fill(text, pick(tuple(map(whole, range(10))), last_digit(s)), is_digit)
 
 
 def student_id(text: Column, s: Column) -> Column:
