@@ -183,8 +183,9 @@ def frequencies(classes: DataFrame) -> bytes:
 
 
 def listed(classes: DataFrame, s: Settings, table: bytes) -> DataFrame:
-    """A row for each rare value of a sketch: value, doc, n, place (its rank among the sketch's values, rarest first), score
-    (how common the sketch's values are on the mean) and run (-1, or for a hot value one of RUNS that its members are dealt to)."""
+    """A row for each rare value of a sketch: value, doc, info and run (-1, or for a hot value one of RUNS that its members are dealt to).
+    info packs what unpacked() gives, as most values have one member and go after the shuffle that finds so: n, place (the
+    value's rank among the sketch's values, rarest first) and score (how common the sketch's values are on the mean)."""
     share, percent, k = s.shared(), s.percent, s.k
     scale = np.frombuffer(table, np.uint8)
     hot = 6 * math.log2(max(s.hot, 8 * float(np.mean(2.0 ** (scale / 6)))) + 1)
@@ -206,12 +207,13 @@ def listed(classes: DataFrame, s: Settings, table: bytes) -> DataFrame:
                 scores.append(int(100 * often[a:b].mean()))
             if long:
                 at = np.concatenate(got)
-                place = np.concatenate([np.arange(x, dtype=np.int16) for x in long])
+                place = np.concatenate([np.arange(x, dtype=np.int64) for x in long])
                 doc = np.repeat(docs, long)
                 run = np.where(often[at] >= hot, doc * 0x9E3779B1 >> 13 & RUNS - 1, -1).astype(np.int8)
-                yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), pa.array(doc), pa.array(np.repeat(sizes, long)), pa.array(place), pa.array(np.repeat(np.array(scores, np.int16), long)), pa.array(run)], ["value", "doc", "n", "place", "score", "run"])
+                info = np.repeat(np.array(scores, np.int64) << 48, long) | place << 32 | np.repeat(sizes, long)
+                yield pa.RecordBatch.from_arrays([pa.array(flat[at].view(np.int64)), pa.array(doc), pa.array(info), pa.array(run)], ["value", "doc", "info", "run"])
 
-    return classes.filter("n > 0").select("doc", "n", "sketch").mapInArrow(make, "value long, doc long, n long, place short, score short, run byte")
+    return classes.filter("n > 0").select("doc", "n", "sketch").mapInArrow(make, "value long, doc long, info long, run byte")
 
 
 def pivot() -> Column:
@@ -219,10 +221,18 @@ def pivot() -> Column:
     return F.max(F.struct("score", F.xxhash64("doc").alias("h"), "doc", "n"))
 
 
+def unpacked(values: DataFrame) -> DataFrame:
+    """Values with n, place and score in the place of info."""
+    bits = lambda at, size: F.shiftright("info", at).bitwiseAND(F.lit((1 << size) - 1))
+    return values.withColumns({"n": bits(0, 32), "place": bits(32, 16).cast("short"), "score": bits(48, 15).cast("short")}).drop("info")
+
+
 def with_members(values: DataFrame) -> DataFrame:
     """Values of two documents or more, with `members` and `pivot` (doc, n) of each list. One shuffle; hot values are counted by runs first."""
     run = Window.partitionBy("value", "run")
-    counted = values.withColumn("members", F.count(F.lit(1)).over(run)).withColumn("pivot", pivot().over(run))
+    # shuffled by name, as a window's own shuffle would carry what it computes from a row, too
+    dealt = unpacked(values.repartition("value", "run"))
+    counted = dealt.withColumn("members", F.count(F.lit(1)).over(run)).withColumn("pivot", pivot().over(run))
     return counted.filter("members > 1 or run >= 0")
 
 
@@ -342,28 +352,29 @@ def clustered(docs: DataFrame, s: Settings = Settings(), key: str = "doc_id", te
 
 
 def _clustered(docs: DataFrame, s: Settings, key: str, text: str, tables: Tables) -> DataFrame:
-    rows = tables.written(sketched(docs, s, key, text), "sketches")
-    some = rows.filter("n > 0 and doc is not null")
+    made = tables.written(sketched(docs, s, key, text), "sketches")
+    rows = tables.written(made.drop("sketch"), "signatures")  # what is needed when the sketches are gone
+    known, some = made.filter("n > 0 and doc is not null"), rows.filter("n > 0 and doc is not null")
     reps = some.groupBy("signature").agg(F.min("doc").alias("rep"), F.count(F.lit(1)).alias("copies"))
     # most sets are single: only rows that the bitmap of the others lets through are shuffled
     bits = tables.written(bitmap(reps.filter("copies > 1"), "signature"), "bits")
-    chosen = sieved(some, "signature", bits).join(reps.select("signature", F.col("rep").alias("doc")), ["signature", "doc"], "left_semi").dropDuplicates(["signature"])
-    classes = sieved(some, "signature", bits, has=False).union(chosen.select(*some.columns)).select("doc", "n", "sketch")
-    links = _links(classes, docs, s, key, text, tables)
+    chosen = sieved(known, "signature", bits).join(reps.select("signature", F.col("rep").alias("doc")), ["signature", "doc"], "left_semi").dropDuplicates(["signature"])
+    classes = sieved(known, "signature", bits, has=False).union(chosen.select(*known.columns)).select("doc", "n", "sketch")
+    links = _links(classes, docs, s, key, text, tables, made)
     component = components(links.union(_repeats(some, reps)), tables)
     named = reps.join(component.select(F.col("doc").alias("rep"), "component"), "rep", "left").select("signature", F.coalesce("component", "rep").alias("component"))
     out = rows.select("doc", "n", "signature").join(named, "signature", "left")  # one row a signature on the right: the join splits a class with many copies
     return out.select("doc", F.col("n").alias("n_shingles"), F.when(F.col("doc").isNotNull(), F.coalesce("component", "doc")).alias("component_id"))
 
 
-def _links(classes: DataFrame, docs: DataFrame, s: Settings, key: str, text: str, tables: Tables) -> DataFrame:
-    """Links (a, b) that give the same components as all similar pairs of classes."""
+def _links(classes: DataFrame, docs: DataFrame, s: Settings, key: str, text: str, tables: Tables, made: DataFrame) -> DataFrame:
+    """Links (a, b) that give the same components as all similar pairs of classes. made: the table of sketches, which goes when they have been compared."""
     lists = tables.written(with_members(listed(classes, s, frequencies(classes))), "lists")
     whole = merged_runs(lists)
     pairs = tables.written(short_pairs(whole.filter(F.col("members") <= s.short), ["value"], ["doc", "n", "place"], lambda x, y: possible(s, x, y)), "pairs")
     meetings = tables.written(_meetings(whole.filter(F.col("members") > s.short)), "meetings")
     likely = tables.written(promising(pairs, sieved(classes, "doc", tables.written(ends(pairs), "bits")), s), "likely")
-    tables.drop(lists, pairs)
+    tables.drop(lists, pairs, made)
     needed = tables.written(ends(likely, meetings.select("doc", "pivot")), "bits")
     rows = sieved(docs.select(F.col(key).cast("long").alias("doc"), F.col(text).alias("text")), "doc", needed)
     sets = tables.written(sets_of(rows, s, "doc", "text"), "sets")  # of a document that has several rows: the sets of all
