@@ -310,10 +310,12 @@ def met(pairs: DataFrame, sets: DataFrame, s: Settings, tables: Tables) -> DataF
     P, as |x & P| < t / (1 + t) * (|x| + |P|). So `near` marks members with |x & P| >= need(x) that aren't linked with P
     or are smaller than it, and those share one list.
     """
-    whole = sieved(sets, "doc", tables.written(ends(pairs), "bits"))
+    whole = sieved(sets, "doc", tables.written(bitmap(pairs, "doc"), "bits"))
+    # pivots are few, and often few enough to be broadcast if no other sets are read with them
+    pivots = sieved(sets, "doc", tables.written(bitmap(pairs, "pivot"), "bits")).join(pairs.select(F.col("pivot").alias("doc")).distinct(), "doc", "left_semi")
     # the least sizes come first, so that nothing after the joins needs a pivot's rows together: Spark can split them
     sized = tables.written(pairs.join(pairs.groupBy("pivot").agg(F.min("n").alias("least")), "pivot").drop("n"), "sized")
-    both = sized.join(whole, "doc").withColumnRenamed("whole", "w").join(whole.select(F.col("doc").alias("pivot"), F.col("whole").alias("wp")), "pivot")
+    both = sized.join(whole, "doc").withColumnRenamed("whole", "w").join(pivots.select(F.col("doc").alias("pivot"), F.col("whole").alias("wp")), "pivot")
     known = both.select("pivot", "doc", "score", "least", F.size("w").alias("n"), F.size("wp").alias("np"), F.array_except("w", "wp").alias("rest"))
     common = F.col("n") - F.size("rest")
     need = F.ceil(s.percent * (F.col("n") + F.greatest("least", F.ceil(s.percent * F.col("n") / 100))) / (100 + s.percent)).cast("int")
@@ -372,7 +374,7 @@ def _links(classes: DataFrame, docs: DataFrame, s: Settings, key: str, text: str
     lists = tables.written(with_members(listed(classes, s, frequencies(classes))), "lists")
     whole = merged_runs(lists)
     pairs = tables.written(short_pairs(whole.filter(F.col("members") <= s.short), ["value"], ["doc", "n", "place"], lambda x, y: possible(s, x, y)), "pairs")
-    meetings = tables.written(_meetings(whole.filter(F.col("members") > s.short)), "meetings")
+    meetings = tables.written(_fewer_pivots(_meetings(whole.filter(F.col("members") > s.short)), tables), "meetings")
     likely = tables.written(promising(pairs, sieved(classes, "doc", tables.written(ends(pairs), "bits")), s), "likely")
     tables.drop(lists, pairs, made)
     needed = tables.written(ends(likely, meetings.select("doc", "pivot")), "bits")
@@ -385,13 +387,14 @@ def _links(classes: DataFrame, docs: DataFrame, s: Settings, key: str, text: str
         members = tables.written(met(meetings, sets, s, tables), "met")
         direct = members.filter("linked").select(F.least("doc", "pivot").alias("a"), F.greatest("doc", "pivot").alias("b"))
         links = tables.written(links.union(direct), "links")
-        lists = tables.written(_relisted(members, components(links, tables, ROUNDS)), "lists")
-        tables.drop(meetings, members)
+        under = tables.written(_under(members, components(links, tables, ROUNDS)), "under")
+        lists = tables.written(_relisted(under), "lists")
+        tables.drop(meetings, members, under)
         short = short_pairs(lists.filter(F.col("members") <= s.later), KEYS, ["doc", "n", "of"], lambda x, y: (x["of"] != y["of"]) & similar_sizes(s, x, y))
         found = confirmed(tables.written(short, "pairs"), sets, s, tables)
         long = lists.filter(F.col("members") > s.later)
         if level < s.levels - 1:
-            meetings = tables.written(_meetings(long), "meetings")
+            meetings = tables.written(_meetings(long).filter("doc <> pivot").drop("lists"), "meetings")
         else:
             found = found.union(confirmed(tables.written(tile_pairs(long, KEYS, s), "tiles"), sets, s, tables))
         links = tables.written(links.union(found), "links")
@@ -401,18 +404,32 @@ def _links(classes: DataFrame, docs: DataFrame, s: Settings, key: str, text: str
 
 
 def _meetings(long: DataFrame) -> DataFrame:
-    """Members of long lists with the pivots that they meet: doc, pivot, score, n."""
-    return long.filter("doc <> pivot.doc").groupBy("doc", F.col("pivot.doc").alias("pivot")).agg(F.max("score").alias("score"), F.min("n").alias("n"))
+    """Members of long lists with these lists' pivots (themselves, too): doc, pivot, lists (how many), score, n."""
+    return long.groupBy("doc", F.col("pivot.doc").alias("pivot")).agg(F.count(F.lit(1)).alias("lists"), F.max("score").alias("score"), F.min("n").alias("n"))
 
 
-def _relisted(members: DataFrame, component: DataFrame) -> DataFrame:
-    """Lists by group (the pivot met) and value outside it, or of those near it, that have members of different components:
-    KEYS, doc, n, score, of, members, pivot."""
+def _fewer_pivots(meetings: DataFrame, tables: Tables) -> DataFrame:
+    """Lists whose pivot P is in more lists of another pivot Q than of its own meet Q instead. Any text will do as a pivot (see `met`), if
+    all members of a list meet the same one. Near copies have long lists of many subsets of them, so each had a pivot for
+    every few of its lists and was listed anew for each; now most of a group of copies meet one pivot."""
+    seen = tables.written(meetings, "seen")
+    own = seen.join(seen.select(F.col("pivot").alias("doc")).distinct(), "doc", "left_semi")
+    taken = own.groupBy("doc").agg(F.max_by("pivot", F.struct("lists", F.col("pivot") == F.col("doc"), "pivot")).alias("other"))
+    moved = seen.join(taken.withColumnRenamed("doc", "pivot"), "pivot").select("doc", F.col("other").alias("pivot"), "score", "n")
+    return moved.filter("doc <> pivot").groupBy("doc", "pivot").agg(F.max("score").alias("score"), F.min("n").alias("n"))
+
+
+def _under(members: DataFrame, component: DataFrame) -> DataFrame:
+    """Members by group (the pivot met) and value outside it, or as near it, for groups that have members of different components: KEYS, doc, n, score, of."""
     named = members.withColumnRenamed("pivot", "group").withColumnRenamed("near", "is_near").join(component, "doc", "left").withColumn("of", F.coalesce("component", "doc"))
     several = named.groupBy("group").agg(F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high").select("group")
     key = lambda near, value: F.struct(F.lit(near).alias("near"), value.cast("long").alias("value"))
     under = F.concat(F.transform("outside", lambda v: key(False, v)), F.when(F.col("is_near"), F.array(key(True, F.lit(0)))).otherwise(F.array().cast("array<struct<near:boolean,value:bigint>>")))
-    rows = named.join(several, "group", "left_semi").select("group", "doc", "n", "score", "of", F.inline(under))
+    return named.join(several, "group", "left_semi").select("group", "doc", "n", "score", "of", F.inline(under))
+
+
+def _relisted(rows: DataFrame) -> DataFrame:
+    """Lists that have members of different components. rows (a written table, as it is read twice): KEYS, doc, n, score, of. Adds members and pivot."""
     lists = rows.groupBy(*KEYS).agg(F.count(F.lit(1)).alias("members"), pivot().alias("pivot"), F.min("of").alias("low"), F.max("of").alias("high")).filter("low < high")
     return rows.join(lists.drop("low", "high"), KEYS)
 
