@@ -71,7 +71,17 @@ def unmarked(text: Column) -> Column:
 def matches(text: Column, pattern: str, group: int) -> Column:
     """Array of struct(raw, start, end) of what the group captures, by one pass of the pattern: matches are put between
     marks, and the text is cut there. Starts follow from a running sum over what lies between."""
-    replaced = F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0" + (f"{INNER}${group}" if group else "") + CLOSE))
+    return marked_spans(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0" + (f"{INNER}${group}" if group else "") + CLOSE)), group)
+
+
+def bordered_matches(text: Column, pattern: str) -> Column:
+    """Matches of a pattern of three groups, of which the second is the value and the others are what borders it. A border is part of the match, so
+    that two values need a border each: of two with one character between them, the first is found."""
+    return marked_spans(F.regexp_replace(unmarked(text), F.lit(pattern), F.lit(f"$1{OPEN}$2{CLOSE}$3")), 0)
+
+
+def marked_spans(replaced: Column, group: int) -> Column:
+    """Array of struct(raw, start, end) of the matches that stand between marks."""
     kind = "struct<at:int,found:array<struct<raw:string,start:int,end:int>>>"
 
     def add(state: Column, part: Column) -> Column:
