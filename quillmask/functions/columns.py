@@ -60,9 +60,14 @@ def entity_key(x: Column) -> Column:
     return F.lower(clean_entity(x))
 
 
+#: Doubles from here on count as they did: as text.
+WHOLE = 1e15
+
+
 def exact_round(x: Column, places: int) -> Column:
-    """Rounds the binary value half to even, which round() and bround() of a double don't."""
-    return F.call_function("format_number", x.cast("double"), F.lit("0." + "0" * places)).cast("double")
+    """Rounds the binary value half to even, which round() and bround() of a double don't. Whole numbers, as most boxes have, aren't put to text and back."""
+    value = x.cast("double")
+    return F.when((F.abs(value) < WHOLE) & (F.rint(value) == value), value).otherwise(F.call_function("format_number", value, F.lit("0." + "0" * places)).cast("double"))
 
 
 # boxes: struct of x0, y0, x1, y1

@@ -52,24 +52,19 @@ def digit_run(seed_: Column, n: Column | int) -> Column:
     return F.when(n > 0, F.substr(down, 10 - last_digit(seed_), n)).otherwise("")
 
 
-def is_digit(c: Column) -> Column:
-    return c.rlike(r"(?U)^\d$")
+#: Characters that are replaced.
+DIGIT, LETTER_OR_DIGIT = r"(?U)\d", r"[\p{L}\p{N}]"
 
 
-def fill(text: Column, values: Column, slot, spare: str = "0") -> Column:
-    """Puts the next of `values` into each character of `text` that is a slot; `spare` when they are used up."""
+def fill(text: Column, values: Column, slot: str, spare: str = "0") -> Column:
+    """Puts the next of `values` into each character of `text` that is a slot (a pattern); `spare` when they are used up. What lies
+    between slots is found in one pass of the pattern, so that a step is a slot and not a character put to a pattern."""
 
-    def put(ready: Column) -> Column:
-        step = F.aggregate(
-            F.split(text, ""),
-            F.struct(F.lit("").alias("out"), F.lit(0).alias("used")),
-            lambda acc, c: F.when(slot(c), F.struct(F.concat(acc["out"], F.when(acc["used"] < F.length(ready), F.substr(ready, acc["used"] + 1, F.lit(1))).otherwise(F.lit(spare))).alias("out"), (acc["used"] + 1).alias("used"))).otherwise(
-                F.struct(F.concat(acc["out"], c).alias("out"), acc["used"].alias("used"))
-            ),
-        )
-        return step["out"]
+    def put(between: Column, ready: Column) -> Column:
+        return F.array_join(F.transform(between, lambda part, i: F.when(i == 0, part).otherwise(F.concat(F.substr(ready, i, F.lit(1)), part))), "")
 
-    return let(values, put)  # not once a character
+    enough = lambda between: F.rpad(values, F.size(between), F.lit(spare))
+    return let(F.split(text, slot, -1), lambda between: let(enough(between), lambda ready: put(between, ready)))
 
 
 def national_id(text: Column, s: Column) -> Column:
@@ -79,7 +74,7 @@ def national_id(text: Column, s: Column) -> Column:
         return "".join(map(str, (*nine, tenth, (sum(nine) + tenth) % 10)))
 
     # all digits follow from the seed's last one
-    return fill(text, pick(tuple(map(whole, range(10))), last_digit(s)), is_digit)
+    return fill(text, pick(tuple(map(whole, range(10))), last_digit(s)), DIGIT)
 
 
 def student_id(text: Column, s: Column) -> Column:
@@ -96,14 +91,13 @@ def phone(text: Column, s: Column) -> Column:
     n = F.length(only_digits(text))
     values = F.concat(F.lit("5"), F.substr(digit_run(s, n), F.lit(2)))
     own = F.concat(F.lit("+90 5"), F.substr(digit_run(s, 10), F.lit(2), F.lit(2)), F.lit(" "), F.substr(digit_run(s, 10), F.lit(4), F.lit(3)), F.lit(" "), F.substr(digit_run(s, 10), F.lit(7), F.lit(4)))
-    filled = F.concat(F.substr(text, F.lit(1), kept), fill(F.substr(text, kept + 1), values, is_digit))
+    filled = F.concat(F.substr(text, F.lit(1), kept), fill(F.substr(text, kept + 1), values, DIGIT))
     return F.when(n == 0, own).otherwise(filled)
 
 
 def iban(text: Column, s: Column) -> Column:
-    slot = lambda c: c.rlike(r"^[\p{L}\p{N}]$")
     value = F.concat(F.lit("TR"), digit_run(s, 24))
-    return F.when(text.rlike(r"[\p{L}\p{N}]"), fill(text, value, slot)).otherwise(F.concat(text, value))
+    return F.when(text.rlike(LETTER_OR_DIGIT), fill(text, value, LETTER_OR_DIGIT)).otherwise(F.concat(text, value))
 
 
 def pick(names: tuple[str, ...], i: Column) -> Column:

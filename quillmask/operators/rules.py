@@ -95,6 +95,14 @@ def marked_spans(replaced: Column, group: int) -> Column:
         )
 
     def spans(parts: Column) -> Column:
+        # most lines have a single match, which needs no running sum
+        return F.when(F.size(parts) == 2, let(F.split(parts[1], f"[{INNER}{CLOSE}]", -1), lambda x: let(F.length(parts[0]) + F.length(x[0]), lambda end: alone(x, end)))).otherwise(summed(parts))
+
+    def alone(x: Column, end: Column) -> Column:
+        raw = x[1 if group else 0]
+        return F.array(F.struct(raw.alias("raw"), (end - F.length(raw)).alias("start"), end.alias("end")))
+
+    def summed(parts: Column) -> Column:
         first = F.struct(F.length(parts[0]).alias("at"), F.array().cast("array<struct<raw:string,start:int,end:int>>").alias("found")).cast(kind)
         return F.aggregate(F.slice(parts, 2, F.size(parts)), first, add, lambda s: s["found"])
 
