@@ -88,7 +88,7 @@ def parsed_box(values: Column) -> Column:
 
 
 def rounded_box(b: Column, places: int = 2) -> Column:
-    return let(b, lambda x: F.when(x.isNotNull(), box(*(exact_round(x[c], places) for c in ("x0", "y0", "x1", "y1")))))
+    return F.when(b.isNotNull(), box(*(exact_round(b[c], places) for c in ("x0", "y0", "x1", "y1"))))
 
 
 def union_box(boxes: Column) -> Column:

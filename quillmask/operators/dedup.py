@@ -91,16 +91,19 @@ def deduplicate(found: DataFrame, by_text: bool = True, crowded: int = CROWDED)
     elsewhere on the page is kept too."""
     named = found.filter("box is not null").withColumn("key", entity_key(F.col("original_text")))
     item = F.struct((-F.col("confidence")).alias("less"), F.col("ord"), F.col("key"), F.struct(*(c for c in COLUMNS if c not in ("doc_id", "page", "type"))).alias("d"))
-    groups = named.groupBy("doc_id", "page", "type").agg(F.array_sort(F.collect_list(item)).alias("all"))
+    groups = named.groupBy("doc_id", "page", "type").agg(F.sort_array(F.collect_list(item)).alias("all"))
 
     def same(a: Column, b: Column) -> Column:
         over = iou(a["d"]["box"], b["d"]["box"]) > OVERLAP
         return (a["key"] == b["key"]) | over if by_text else over
 
     few = F.aggregate("all", F.slice("all", 1, 0), lambda acc, x: F.when(F.exists(acc, lambda k: same(k, x)), acc).otherwise(F.concat(acc, F.array(x))))
-    kept = F.when(F.size("all") <= crowded, few).otherwise(kept_of_crowd(F.col("all"), by_text))
-    rows = groups.select("doc_id", "page", "type", F.inline(F.transform(kept, lambda k: k["d"])))
-    return rows.select(*COLUMNS)
+    # most groups are of one; higher-order functions are interpreted, and so is all of a generator that has some
+    kept = F.when(F.size("all") == 1, F.col("all")).when(F.size("all") <= crowded, few).otherwise(kept_of_crowd(F.col("all"), by_text))
+    rows = groups.select("doc_id", "page", "type", kept.alias("kept"))
+    # not a bare column: of one, a filter by size would be made and pushed below, with a copy of the fold
+    rows = rows.select("doc_id", "page", "type", F.inline(F.when(F.size("kept") > 0, F.col("kept"))))
+    return rows.select("doc_id", "page", "type", "d.*").select(*COLUMNS)
 
 
 def at_least(found: DataFrame, confidence: float) -> DataFrame:

@@ -33,8 +33,8 @@ def detect_fields(lines: DataFrame, pages: DataFrame) -> DataFrame:
     rows = hits(lines, FIELD_RULES).join(pages.select("doc_id", "page", "width", "height"), ["doc_id", "page"], "left")
     area = field_box(F.col("hit_box"), F.col("width"), F.col("height"), F.col("rule_no") == 1)
     return detections(
-        rows, pii_type=by_rule(FIELD_RULES, lambda r: F.lit(r.pii_type)), confidence=by_rule(FIELD_RULES, lambda r: F.lit(r.confidence)), method=F.lit("field_heuristic"),
-        rule=by_rule(FIELD_RULES, lambda r: F.lit(r.name)), phase=2, box_=area, style=None, label=F.col("hit_box"),
+        rows, pii_type=by_rule(FIELD_RULES, lambda r: F.lit(r.pii_type)), confidence=by_rule(FIELD_RULES, lambda r: exact_round(F.lit(r.confidence), 3)), method=F.lit("field_heuristic"),
+        rule=by_rule(FIELD_RULES, lambda r: F.lit(r.name)), phase=2, box_=rounded_box(area), style=None, label=F.col("rounded"),
     )
 
 
@@ -46,11 +46,11 @@ def detect_text(lines: DataFrame, pages: DataFrame) -> DataFrame:
     phase = F.when(no < len(REGEX_RULES), 0).when(~field, 1).otherwise(2)
     within = no - F.when(no < len(REGEX_RULES), 0).when(~field, len(REGEX_RULES)).otherwise(first)
     area = field_box(F.col("hit_box"), F.col("width"), F.col("height"), no == len(ALL_RULES) - 1)
-    rows = rows.withColumn("area", F.when(field, area).otherwise(F.col("hit_box"))).withColumn("label", F.when(field, F.col("hit_box"))).withColumn("style", F.when(~field, F.col("style")))
+    rows = rows.withColumn("area", F.when(field, area)).withColumn("label", F.when(field, F.col("rounded"))).withColumn("style", F.when(~field, F.col("style")))
     pick = lambda value: by_rule(ALL_RULES, value)
     found = detections(
-        rows, pii_type=pick(lambda r: F.lit(r.pii_type)), confidence=pick(lambda r: F.lit(r.confidence)), method=pick(lambda r: F.lit(r.method)), rule=pick(lambda r: F.lit(r.name)),
-        phase=phase, box_=F.col("area"), style=F.col("style"), label=F.col("label"), within=within,
+        rows, pii_type=pick(lambda r: F.lit(r.pii_type)), confidence=pick(lambda r: exact_round(F.lit(r.confidence), 3)), method=pick(lambda r: F.lit(r.method)), rule=pick(lambda r: F.lit(r.name)),
+        phase=phase, box_=F.when(field, rounded_box(F.col("area"))).otherwise(F.col("rounded")), style=F.col("style"), label=F.col("label"), within=within,
     )
     return found
 
@@ -69,7 +69,7 @@ def detect_images(images: DataFrame, found: DataFrame) -> DataFrame:
     i = images.filter("box is not null")
     marked = i.join(fields, (i["doc_id"] == fields["d"]) & (i["page"] == fields["p"]) & near_signature(i["box"], fields["field"]), "left_semi")
     rows = marked.select("doc_id", "page", F.lit("<image>").alias("value"), F.col("box").alias("image"), F.lit(0).alias("line_no"), F.lit(0).alias("rule_no"), F.col("image_no").alias("match_no"))
-    return detections(rows, pii_type=F.lit("SIGNATURE_IMAGE"), confidence=F.lit(0.70), method=F.lit("image_bbox_heuristic"), rule=F.lit("image_near_signature_label"), phase=4, box_=F.col("image"), style=None)
+    return detections(rows, pii_type=F.lit("SIGNATURE_IMAGE"), confidence=exact_round(F.lit(0.70), 3), method=F.lit("image_bbox_heuristic"), rule=F.lit("image_near_signature_label"), phase=4, box_=rounded_box(F.col("image")), style=None)
 
 
 def add_images(found: DataFrame, images: DataFrame) -> DataFrame:
@@ -146,4 +146,4 @@ def detect_entities(lines: DataFrame, load: Callable[[], Callable[[str], list[tu
     rows = rows.withColumn("value", clean_entity(F.substring("text", F.col("start") + 1, F.col("end") - F.col("start")))).filter("kind is not null and length(value) >= 2")
     rows = rows.withColumn("hit_box", span_box(F.col("segments"), F.col("start"), F.col("end"))).filter("hit_box is not null").withColumn("rule_no", F.lit(0))
     style = span_style(F.col("segments"), F.col("start"), F.col("end"))
-    return detections(rows, pii_type=F.col("kind"), confidence=F.lit(0.82), method=F.lit("spacy_ner"), rule=F.concat(F.lit("spacy_"), F.lower(F.col("e.label"))), phase=3, box_=F.col("hit_box"), style=style)
+    return detections(rows, pii_type=F.col("kind"), confidence=exact_round(F.lit(0.82), 3), method=F.lit("spacy_ner"), rule=F.concat(F.lit("spacy_"), F.lower(F.col("e.label"))), phase=3, box_=rounded_box(F.col("hit_box")), style=style)

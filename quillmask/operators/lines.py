@@ -59,19 +59,21 @@ def clusters(blocks: Column, tolerance: float) -> Column:
             return here - last > tolerance + SLACK + RELATIVE_SLACK * F.abs(here)
 
         starts = F.filter(F.sequence(F.lit(0), F.size(by_y) - 1), lambda i: (i == 0) | gap(i))
-        in_order = lambda part: F.array_sort(F.transform(part, lambda x: F.struct(x["i"].alias("i"), x["y"].alias("y"), x["b"].alias("b"))))
+        in_order = lambda part: F.sort_array(F.transform(part, lambda x: F.struct(x["i"].alias("i"), x["y"].alias("y"), x["b"].alias("b"))))
         cut = lambda s: F.transform(s, lambda low, k: F.slice(by_y, low + 1, F.coalesce(F.get(s, k + 1), F.size(by_y)) - low))
-        folded = F.flatten(F.transform(let(starts, cut), lambda part: fold_clusters(in_order(part), tolerance)))
-        return F.array_sort(folded)
+        alone = lambda x: F.array(F.struct(x["i"].alias("first"), x["y"].alias("total"), F.lit(1).alias("n"), F.array(x["b"]).alias("members")))
+        folded = F.flatten(F.transform(let(starts, cut), lambda part: F.when(F.size(part) == 1, alone(F.get(part, F.lit(0)))).otherwise(fold_clusters(in_order(part), tolerance))))
+        return F.sort_array(folded)
 
-    by_y = F.array_sort(F.transform(blocks, lambda b, i: F.struct(centre(b).alias("y"), i.alias("i"), b.alias("b"))))
+    by_y = F.sort_array(F.transform(blocks, lambda b, i: F.struct(centre(b).alias("y"), i.alias("i"), b.alias("b"))))
     return let(by_y, islands)
 
 
 def segments(members: Column) -> Column:
-    """Blocks of a line, left to right, with the characters of the line's text that each takes."""
+    """Blocks of a line, left to right, with the characters of the line's text that each takes. Most lines are of one block, which needs no
+    higher-order function: those are interpreted."""
     ordered = F.transform(
-        F.array_sort(F.transform(members, lambda b: F.struct(b["box"]["x0"].alias("x"), b["box"]["y0"].alias("y"), b["block_no"].alias("k"), b.alias("b")))),
+        F.sort_array(F.transform(members, lambda b: F.struct(b["box"]["x0"].alias("x"), b["box"]["y0"].alias("y"), b["block_no"].alias("k"), b.alias("b")))),
         lambda s: s["b"],
     )
     kind = "struct<at:int,found:array<struct<text:string,box:struct<x0:double,y0:double,x1:double,y1:double>,font:string,size:double,color:int,start:int,end:int>>>"
@@ -82,25 +84,30 @@ def segments(members: Column) -> Column:
         return F.struct((end + 1).alias("at"), F.concat(state["found"], F.array(one)).alias("found")).cast(kind)
 
     none = F.struct(F.lit(0).alias("at"), F.array().alias("found")).cast(kind)
-    return F.aggregate(ordered, none, add, lambda s: s["found"])
+    b = F.get(members, F.lit(0))
+    alone = F.struct(*(b[c].alias(c) for c in ("text", "box", "font", "size", "color")), F.lit(0).alias("start"), F.length(b["text"]).alias("end"))
+    return F.when(F.size(members) == 1, F.array(alone)).otherwise(F.aggregate(ordered, none, add, lambda s: s["found"]))
 
 
 def group_lines(blocks: DataFrame, tolerance: float = TOLERANCE) -> DataFrame:
     """doc_id, page, line_no (in order of creation), text, segments, box. One page's blocks meet in one row."""
     packed = F.struct("block_no", "text", "box", "font", "size", "color").cast(BLOCK)
     pages = usable_blocks(blocks).groupBy("doc_id", "page").agg(F.collect_list(F.struct(F.col("box")["y0"].alias("y"), F.col("box")["x0"].alias("x"), F.col("block_no").alias("k"), packed.alias("b"))).alias("all"))
-    found = pages.select("doc_id", "page", clusters(F.transform(F.array_sort("all"), lambda s: s["b"]), tolerance).alias("found"))
+    found = pages.select("doc_id", "page", clusters(F.transform(F.sort_array("all"), lambda s: s["b"]), tolerance).alias("found"))
     rows = found.select("doc_id", "page", F.posexplode("found").alias("line_no", "line"))
     rows = rows.select("doc_id", "page", "line_no", segments(F.col("line")["members"]).alias("segments"))
-    text = F.array_join(F.transform("segments", lambda s: s["text"]), " ")
-    return rows.select("doc_id", "page", "line_no", text.alias("text"), "segments", union_box(F.transform("segments", lambda s: s["box"])).alias("box"))
+    one, single = F.get("segments", F.lit(0)), F.size("segments") == 1
+    text = F.when(single, one["text"]).otherwise(F.array_join(F.transform("segments", lambda s: s["text"]), " "))
+    box_ = F.when(single, one["box"]).otherwise(union_box(F.transform("segments", lambda s: s["box"])))
+    return rows.select("doc_id", "page", "line_no", text.alias("text"), "segments", box_.alias("box"))
 
 
 def span_box(line_segments: Column, start: Column, end: Column) -> Column:
     """The box around what characters start to end take of the segments; null if they take nothing."""
-    met = F.filter(line_segments, lambda s: ~((end <= s["start"]) | (start >= s["end"])))
-    parts = F.transform(met, lambda s: sub_box(s["text"], s["box"], F.greatest(start, s["start"]) - s["start"], F.least(end, s["end"]) - s["start"]))
-    return union_box(parts)
+    takes = lambda s: ~((end <= s["start"]) | (start >= s["end"]))
+    part = lambda s: sub_box(s["text"], s["box"], F.greatest(start, s["start"]) - s["start"], F.least(end, s["end"]) - s["start"])
+    one = F.get(line_segments, F.lit(0))
+    return F.when(F.size(line_segments) == 1, F.when(takes(one), part(one))).otherwise(union_box(F.transform(F.filter(line_segments, takes), part)))
 
 
 def span_style(line_segments: Column, start: Column, end: Column) -> Column:
@@ -110,7 +117,9 @@ def span_style(line_segments: Column, start: Column, end: Column) -> Column:
         lambda s, i: F.struct((F.greatest(start, s["start"]) - F.least(end, s["end"])).alias("less"), i.alias("i"), F.struct(s["font"].alias("font"), s["size"].alias("size"), s["color"].alias("color")).alias("style")),
     )
     best = F.get(F.array_sort(F.filter(shared, lambda x: x["less"] < 0)), F.lit(0))
-    return best["style"]
+    one = F.get(line_segments, F.lit(0))
+    alone = F.when(F.greatest(start, one["start"]) < F.least(end, one["end"]), F.struct(one["font"].alias("font"), one["size"].alias("size"), one["color"].alias("color")))
+    return F.when(F.size(line_segments) == 1, alone).otherwise(best["style"])
 
 
 def single_lines(texts: DataFrame, key: str, text: str, per_page: int = 45) -> DataFrame:

@@ -65,13 +65,18 @@ OPEN, INNER, CLOSE = "\ufdd0", "\ufdd1", "\ufdd2"
 
 
 def unmarked(text: Column) -> Column:
-    return F.translate(text, OPEN + INNER + CLOSE, "\ufffd" * 3)
+    return F.when(text.contains(OPEN) | text.contains(INNER) | text.contains(CLOSE), F.translate(text, OPEN + INNER + CLOSE, "\ufffd" * 3)).otherwise(text)
+
+
+def marked(plain: Column, pattern: str, group: int) -> Column:
+    """A text without marks, with its matches put between marks by one pass of the pattern."""
+    return F.regexp_replace(plain, F.lit(pattern), F.lit(f"{OPEN}$0" + (f"{INNER}${group}" if group else "") + CLOSE))
 
 
 def matches(text: Column, pattern: str, group: int) -> Column:
     """Array of struct(raw, start, end) of what the group captures, by one pass of the pattern: matches are put between
     marks, and the text is cut there. Starts follow from a running sum over what lies between."""
-    return marked_spans(F.regexp_replace(text, F.lit(pattern), F.lit(f"{OPEN}$0" + (f"{INNER}${group}" if group else "") + CLOSE)), group)
+    return marked_spans(marked(text, pattern, group), group)
 
 
 def bordered_matches(text: Column, pattern: str) -> Column:
@@ -109,58 +114,92 @@ def marked_spans(replaced: Column, group: int) -> Column:
     return let(F.split(replaced, OPEN, -1), spans)
 
 
-HIT = "array<struct<rule_no:int,match_no:int,raw:string,start:int,end:int>>"
+def by_rule(rules: tuple[Rule, ...], value: Callable[[Rule], Column], no: str = "rule_no") -> Column:
+    """A rule's value, of literals: looked up, as long chains of cases make methods that are too long to be compiled."""
+    return F.get(F.array(*(value(rule) for rule in rules)), F.col(no))
+
 
+def is_valid(rules: tuple[Rule, ...]) -> Column:
+    out = F.when(F.col("value") == "", False)
+    for i, rule in enumerate(rules):
+        if rule.validator:
+            out = out.when(F.col("rule_no") == i, rule.validator(F.col("value")))
+    return out.otherwise(True)
 
-def rule_hits(text: Column, rules: tuple[Rule, ...]) -> Column:
-    """All hits of all rules on a line, in one expression."""
-    none = F.array().cast(HIT)
-    parts = []
-    for no, rule in enumerate(rules):
-        number = F.lit(no).alias("rule_no")
-        found = rule.finder(text) if rule.finder else matches(unmarked(text), rule.pattern, rule.group)
-        hits = F.transform(found, lambda m, k: F.struct(number, k.alias("match_no"), m["raw"].alias("raw"), m["start"].alias("start"), m["end"].alias("end"))).cast(HIT)  # noqa: B023
-        parts.append(F.when(text.rlike(rule.prefilter or rule.pattern), hits).otherwise(none))
-    return F.concat(*parts)
 
+#: Lines shorter than this are put to the e-mail's pattern itself: its matches are the same, and what a line may cost is bounded.
+SHORT = 256
 
-def by_rule(rules: tuple[Rule, ...], value: Callable[[Rule], Column], no: str = "rule_no") -> Column:
-    out = F.when(F.lit(False), value(rules[0]))
+
+def marked_lines(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """A row for each line and rule with matches: the line with its matches between marks, or as it is where the rule's finder looks for them."""
+    text, plain = F.col("text"), F.col("plain")
+
+    def of(no: int, rule: Rule) -> Column:
+        found, by_finder = marked(plain, rule.pattern, rule.group), F.lit(False)
+        if rule.finder:
+            by_finder = F.length(text) >= SHORT if rule.finder is email_matches and rule.pattern == EMAIL else F.lit(True)
+            found = F.when(by_finder, text).otherwise(found)
+        if rule.prefilter:
+            found = F.when(text.rlike(rule.prefilter), found)
+        return F.struct(F.lit(no).alias("rule_no"), found.alias("marked"), by_finder.alias("by_finder"))
+
+    rows = lines.select("doc_id", "page", "line_no", "segments", "text", unmarked(text).alias("plain"))
+    rows = rows.select("doc_id", "page", "line_no", "segments", F.inline(F.array(*(of(no, rule) for no, rule in enumerate(rules)))))
+    return rows.filter(F.col("marked").isNotNull() & (F.col("by_finder") | F.col("marked").contains(OPEN)))
+
+
+def hit_spans(rows: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows of marked_lines() with a row per hit: match_no, raw, start, end. Most have a single match, whose place is found without a
+    higher-order function, as those are interpreted; they stand in a branch for the others."""
+    text, grouped = F.col("marked"), [i for i, r in enumerate(rules) if r.group]
+    rows = rows.withColumn("before", F.substring_index(text, OPEN, 1))
+    rows = rows.withColumn("rest", F.substr(text, F.length("before") + 2)).withColumn("body", F.substring_index("rest", CLOSE, 1))
+    found = F.when(F.col("rule_no").isin(grouped), marked_spans(text, 1)).otherwise(marked_spans(text, 0)) if grouped else marked_spans(text, 0)
     for i, rule in enumerate(rules):
-        out = out.when(F.col(no) == i, value(rule))
-    return out
+        if rule.finder:
+            found = F.when(F.col("by_finder") & (F.col("rule_no") == i), rule.finder(text)).otherwise(found)
+    many = F.col("by_finder") | F.col("rest").contains(OPEN)
+    # the body is the match, or the match, a mark and the group
+    raw = F.substring_index("body", INNER, -1)
+    end = F.length("before") + F.length(F.substring_index("body", INNER, 1))
+    one = F.struct(raw.alias("raw"), (end - F.length(raw)).alias("start"), end.alias("end"))
+    rows = rows.withColumn("several", F.when(many, found)).drop("marked", "by_finder")
+    # not a bare column: of one, a filter by size would be made and pushed below, with a copy of the spans
+    rows = rows.select("*", F.posexplode(F.coalesce("several", F.array(one))).alias("match_no", "m"))
+    return rows.select("doc_id", "page", "line_no", "segments", "rule_no", "match_no", "m.raw", "m.start", "m.end")
 
 
 def hits(lines: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
-    """Lines with a row per hit: value (cleaned), box (not rounded) and style. Lines without a hit cost no more than
-    prefilters. The rules stand in the generator alone, so that each is evaluated once: a column of hits would be copied
+    """Lines with a row per hit: value (cleaned), hit_box (rounded: to two places) and style. Lines without a hit cost no more than
+    prefilters. The rules stand in a generator, so that each is evaluated once: a column of hits would be copied
     into every filter that is pushed below it."""
-    rows = lines.select("doc_id", "page", "line_no", "segments", F.inline(rule_hits(F.col("text"), rules)))
-    checked = F.when(F.col("value") == "", False).otherwise(by_rule(rules, lambda r: r.validator(F.col("value")) if r.validator else F.lit(True)))
-    rows = rows.select("*", F.inline(F.array(F.struct(clean_entity(F.col("raw")).alias("value"), span_box(F.col("segments"), F.col("start"), F.col("end")).alias("hit_box")))))
-    rows = rows.filter(checked).filter("hit_box is not null")
-    return rows.withColumn("style", span_style(F.col("segments"), F.col("start"), F.col("end"))).drop("segments", "raw")
+    rows = hit_spans(marked_lines(lines, rules), rules)
+    start, end = F.col("start"), F.col("end")
+    rows = rows.withColumns({"v": clean_entity(F.col("raw")), "b": span_box(F.col("segments"), start, end), "style": span_style(F.col("segments"), start, end)}).drop("segments", "raw")
+    rows = rows.select("*", F.inline(F.array(F.struct(F.col("v").alias("value"), F.col("b").alias("hit_box"), rounded_box(F.col("b")).alias("rounded"))))).drop("v", "b")
+    return rows.filter(is_valid(rules)).filter("hit_box is not null")
 
 
 COLUMNS = ("doc_id", "page", "type", "original_text", "box", "confidence", "method", "rule", "font", "size", "color", "label_box", "ord")
 
 
 def detections(rows: DataFrame, *, pii_type: Column, confidence: Column, method: Column, rule: Column, phase: int | Column, box_: Column, style: Column | None, label: Column | None = None, within: Column | None = None) -> DataFrame:
-    """Rows as detections: boxes and sizes to two places, confidences to three; ord is the order of emission."""
+    """Rows as detections: boxes and sizes to two places, confidences to three; ord is the order of emission. What is given is rounded, but for style's size."""
     nothing = F.lit(None)
     return rows.select(
         "doc_id",
         "page",
         pii_type.alias("type"),
         F.col("value").alias("original_text"),
-        rounded_box(box_).alias("box"),
-        exact_round(confidence, 3).alias("confidence"),
+        box_.alias("box"),
+        confidence.alias("confidence"),
         method.alias("method"),
         rule.alias("rule"),
         (style["font"] if style is not None else nothing.cast("string")).alias("font"),
         (exact_round(style["size"], 2) if style is not None else nothing.cast("double")).alias("size"),
         (style["color"] if style is not None else nothing.cast("int")).alias("color"),
-        (rounded_box(label) if label is not None else nothing.cast("struct<x0:double,y0:double,x1:double,y1:double>")).alias("label_box"),
+        (label if label is not None else nothing.cast("struct<x0:double,y0:double,x1:double,y1:double>")).alias("label_box"),
         F.struct(F.lit(phase).alias("phase"), F.col("line_no").cast("int").alias("line_no"), (F.col("rule_no") if within is None else within).cast("int").alias("rule_no"), F.col("match_no").cast("int").alias("match_no")).alias("ord"),
     )
 
@@ -168,6 +207,6 @@ def detections(rows: DataFrame, *, pii_type: Column, confidence: Column, method:
 def detect_with_rules(lines: DataFrame, rules: tuple[Rule, ...], phase: int = 0) -> DataFrame:
     """Detections of a list of rules."""
     return detections(
-        hits(lines, rules), pii_type=by_rule(rules, lambda r: F.lit(r.pii_type)), confidence=by_rule(rules, lambda r: F.lit(r.confidence)), method=by_rule(rules, lambda r: F.lit(r.method)),
-        rule=by_rule(rules, lambda r: F.lit(r.name)), phase=phase, box_=F.col("hit_box"), style=F.col("style"),
+        hits(lines, rules), pii_type=by_rule(rules, lambda r: F.lit(r.pii_type)), confidence=by_rule(rules, lambda r: exact_round(F.lit(r.confidence), 3)), method=by_rule(rules, lambda r: F.lit(r.method)),
+        rule=by_rule(rules, lambda r: F.lit(r.name)), phase=phase, box_=F.col("rounded"), style=F.col("style"),
     )
